@@ -199,11 +199,11 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = b"".join(kept) + data[at:]
             rows.append((len(data), sum(e - s for s, e in cut), [{"s": s, "e": e} for s, e in cut], rest, hashlib.sha256(rest).hexdigest()))
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), kind, pa.binary(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), kind, pa.binary(), pa.string()))), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256", *batch.schema.names[3:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept, kept_sha256) for every row of docs.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept, kept_sha256) and, with carry, the row itself as a struct `row`, for every row of docs.
 
     A byte goes if a string of `length` bytes that covers it also starts elsewhere in the corpus, the same document
     included; matches stay within documents and are judged on the input. spans: the maximal removed runs, as byte
@@ -211,8 +211,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     `length` lose nothing; rows that repeat a doc_id or a whole row count as documents of their own; an empty table
     gives an empty result; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"))
-    spans = settle(repeated_spans(base, length, gram))
-    joined = base.join(spans, ["k", "h"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, kept binary, kept_sha256 string")
+    row = ["row"] if carry else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    base = base.select("doc_id", "text", *row, F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"))
+    spans = settle(repeated_spans(base.select("k", "h", "text"), length, gram))
+    joined = base.join(spans, ["k", "h"], "left").select("doc_id", "text", "spans", *row)
+    kind = f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
+    return joined.mapInArrow(_apply, f"doc_id long, n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, kept binary, kept_sha256 string{kind}")
