@@ -16,6 +16,8 @@ MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Rows hold whole texts, so fewer than the usual 10,000 go to a Python worker at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

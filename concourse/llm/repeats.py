@@ -8,7 +8,7 @@ import numpy as np
 
 from ._shared import mix64
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -29,7 +29,7 @@ class Names:
 
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
-        size = 1 << max(22, n.bit_length())
+        size = 1 << max(20, n.bit_length())
         fwd, self.inv = _powers(size)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * fwd[:n], out=self.sums[1:])
