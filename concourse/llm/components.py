@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         sides = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = settle(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     joined = sides.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
     out = joined.where("v > u" if large else "true").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
@@ -46,7 +46,8 @@ def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     So a bucket of m members makes O(m) pairs a round and no pair is lost: each is either checked or already connected.
     None if no bucket has two members; else (id, component) for ids that have links.
     """
-    many = buckets.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    # aggregates are written before they are joined back, so that the join can split hot buckets
+    many = settle(buckets.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
     buckets = settle(buckets.join(many, "k").select("k", "id"))
     links, label, pivots = None, None, 1
     while True:
@@ -56,7 +57,7 @@ def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
             sizes = label.groupBy("component").agg(F.count("*").alias("size"))
             named = label.join(sizes, "component").select("id", F.col("component").alias("c0"), "size")
             members = buckets.join(named, "id", "left").select("k", "id", F.coalesce("c0", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
-        several = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+        several = settle(members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k"))
         members = settle(members.join(several, "k", "left_semi"), buckets)
         if members.isEmpty():
             return label

@@ -144,12 +144,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(k, h, spans array<struct<s, e>>) for each text of docs (k, h, text) with bytes in a repeated string of `length` bytes; spans may overlap."""
     table = settle(docs.where(F.octet_length("text") >= length).select("k", "h", "text").mapInArrow(_anchor_rows(length, gram), _KEY + ", name array<long>, over array<long>, m array<long>, o array<int>"))
     rows = table.select("k", "h", F.inline(F.arrays_zip("name", "over", "m", "o")))
-    twice = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # counts are written before they are joined back: a join right on an aggregate shares its shuffle and can't split a hot name
+    twice = settle(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     rows = settle(rows.join(twice, "name"), table)
     spot = F.xxhash64("k", "h", "m")
     kinds = settle(rows.groupBy("name", "over").agg(F.count("*").alias("n"), F.min(spot).alias("witness")))
-    mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name", F.lit(True).alias("mixed"))
-    kinds = kinds.join(mixed, "name", "left").where("n > 1 or mixed")
+    mixed = settle(kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name", F.lit(True).alias("mixed")))
+    kinds = settle(kinds.join(mixed, "name", "left").where("n > 1 or mixed"))
     state = settle(rows.join(kinds, ["name", "over"]).select("k", "h", "m", "o", (F.col("n") > 1).alias("quiet"), (F.coalesce("mixed", F.lit(False)) & (spot == F.col("witness"))).alias("open")), rows)
     found = [state.where("quiet").select("k", "h", (F.col("m") - F.shiftright("o", 16)).alias("s"), (F.col("m") - F.col("o").bitwiseAND(0xFFFF) + length).alias("e"))]
     marks = state.where("open").groupBy("k", "h").agg(F.collect_list(F.struct("m", "o", "quiet")).alias("marks"))
@@ -157,14 +158,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     for size in BLOCKS:
         named = settle(open_.mapInArrow(_block_names(length, size), _KEY + ", m long, near int, far int, quiet boolean, over long, core long"))
         spot = F.xxhash64("k", "h", "m", "near")
-        same = named.groupBy("over").agg(F.count("*").alias("n"), F.min(spot).alias("witness"))
-        repeated = settle(named.join(same.where("n > 1"), "over", "left").select(*named.columns, F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("witness", spot).alias("witness")), named)
+        same = settle(named.groupBy("over").agg(F.count("*").alias("n"), F.min(spot).alias("witness")).where("n > 1"))
+        repeated = settle(named.join(same, "over", "left").select(*named.columns, F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("witness", spot).alias("witness")), named)
         found.append(settle(repeated.where("n > 1 and not quiet").select("k", "h", (F.col("m") - F.col("far")).alias("s"), (F.col("m") - F.col("near") + length).alias("e"))))
         if size == 1:
             discard(repeated)
             break
         left = repeated.where(spot == F.col("witness")).select("k", "h", "m", "near", "far", (F.col("quiet") | (F.col("n") > 1)).alias("quiet"), "core")
-        shared = left.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        shared = settle(left.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
         marks = left.join(shared, "core").groupBy("k", "h", "m").agg(F.collect_list(F.struct("near", "far", "quiet")).alias("marks"))
         # rows of one anchor are disjoint ranges of its windows: the row that holds a mark is the one it was cut from
         wide = open_.select("k", "h", "m", F.col("near").alias("n0"), F.col("far").alias("f0"), "context")
