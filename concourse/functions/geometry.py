@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -84,23 +85,35 @@ def closest_on_segment_xy(p: Column, a: Column, b: Column) -> Column:
     return vec(a["x"] + t * dx, a["y"] + t * dy, a["z"] + t * (b["z"] - a["z"]))
 
 
+def bound(body: Callable[..., Column], *values: Column) -> Column:
+    """body of the values, each computed once; without this a plan repeats a nested value wherever the body names it."""
+    one = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.transform(one, lambda s: body(*[s[f"v{i}"] for i in range(len(values))]))[0]
+
+
 def closest_on_triangle(p: Column, a: Column, b: Column, c: Column) -> Column:
     """Closest point to p of a triangle in space: its plane's if that lies inside, else the nearest of the three edges'."""
 
-    def on(u: Column, v: Column) -> Column:
-        d = minus(v, u)
-        size = dot(d, d)
-        t = F.when(size <= 1e-18, 0.0).otherwise(clamp(dot(minus(p, u), d) / size))
-        return vec(u["x"] + t * d["x"], u["y"] + t * d["y"], u["z"] + t * d["z"])
+    def on(u: Column, v: Column, p: Column) -> Column:
+        def at(u: Column, d: Column, p: Column) -> Column:
+            size = dot(d, d)
+            return bound(lambda t, u, d: vec(u["x"] + t * d["x"], u["y"] + t * d["y"], u["z"] + t * d["z"]), F.when(size <= 1e-18, 0.0).otherwise(clamp(dot(minus(p, u), d) / size)), u, d)
 
-    n = cross(minus(b, a), minus(c, a))
-    size = dot(n, n)
-    k = dot(minus(p, a), n) / size
-    foot = vec(p["x"] - k * n["x"], p["y"] - k * n["y"], p["z"] - k * n["z"])
-    within = reduce(lambda u, v: u & v, [dot(cross(minus(v, u), minus(foot, u)), n) >= 0 for u, v in ((a, b), (b, c), (c, a))])
-    ways = [on(u, v) for u, v in ((a, b), (b, c), (c, a))]
-    best = F.array_min(F.array(*[F.struct(distance(p, w).alias("d"), F.lit(i).alias("i"), w.alias("q")) for i, w in enumerate(ways)]))["q"]
-    return F.when((size > 1e-24) & within, foot).otherwise(best)
+        return bound(at, u, minus(v, u), p)
+
+    def from_normal(p: Column, a: Column, b: Column, c: Column, n: Column) -> Column:
+        size = dot(n, n)
+
+        def decide(foot: Column, ways: Column) -> Column:
+            best = F.array_min(F.transform(ways, lambda w, i: F.struct(distance(p, w).alias("d"), i.alias("i"), w.alias("q"))))["q"]
+            within = reduce(lambda x, y: x & y, [dot(cross(minus(v, u), minus(foot, u)), n) >= 0 for u, v in ((a, b), (b, c), (c, a))])
+            return F.when((size > 1e-24) & within, foot).otherwise(best)
+
+        k = F.when(size > 1e-24, dot(minus(p, a), n) / size).otherwise(0.0)
+        foot = bound(lambda k: vec(p["x"] - k * n["x"], p["y"] - k * n["y"], p["z"] - k * n["z"]), k)
+        return bound(decide, foot, F.array(on(a, b, p), on(b, c, p), on(c, a, p)))
+
+    return bound(lambda p, a, b, c: bound(from_normal, p, a, b, c, cross(minus(b, a), minus(c, a))), p, a, b, c)
 
 
 def box_distance(p: Column, lo: Column, hi: Column) -> Column:

@@ -72,10 +72,33 @@ def results(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("status"), F.col("lang").alias("tier"), "source", "toxic", F.col("n_chars").alias("size"))
 
 
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a metric graph over the spaces; every thirteenth space has none."""
+    kind = F.when(F.col("id") % 5 == 0, "stair").when(F.col("id") % 5 == 1, "elevator").otherwise("walk")
+    return spaces(spark, d).where("id % 13 <> 0").select("building_id", "id", "level_id", (F.col("id") % 30).alias("space_id"), kind.alias("kind"), "is_exit")
+
+
+def node_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of that graph with faults: self edges, negative lengths, unknown nodes and portals."""
+    t = transitions(spark, d)
+    a, b = F.col("from_id"), F.col("to_id")
+    return t.select("building_id", a.alias("a"), F.when(a % 17 == 0, a).otherwise(b).alias("b"), ((a * 7 + b) % 9 - 1).cast("double").alias("distance_m"), F.when((a + b) % 4 == 0, F.concat(F.lit("d"), a.cast("string"))).alias("portal_id"))
+
+
+def portals(spark: SparkSession, d: str) -> DataFrame:
+    """Doors of every third space to the next such space of its building; the last one has one side."""
+    order = Window.partitionBy("building_id").orderBy("id")
+    s = spaces(spark, d).where("id % 3 = 0")
+    return s.select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), "building_id", F.col("id").alias("from_space_id"), F.lead("id").over(order).alias("to_space_id"), "level_id", F.round(F.col("weight") / 10000, 3).alias("width_m"), "is_exit")
+
+
 # Which event stands for which status of an occupant.
 STATUS = {"view": "moving", "click": "transfer", "error": "waiting", "signup": "elevator_waiting", "purchase": "evacuated"}
 
 SQL = {
+    "v_nodes": "SELECT building_id, id, level_id, id % 30 AS space_id, CASE WHEN id % 5 = 0 THEN 'stair' WHEN id % 5 = 1 THEN 'elevator' ELSE 'walk' END AS kind, is_exit FROM v_spaces WHERE id % 13 <> 0",
+    "v_node_edges": "SELECT building_id, from_id AS a, CASE WHEN from_id % 17 = 0 THEN from_id ELSE to_id END AS b, CAST((from_id * 7 + to_id) % 9 - 1 AS DOUBLE) AS distance_m, CASE WHEN (from_id + to_id) % 4 = 0 THEN 'd' || from_id END AS portal_id FROM v_transitions",
+    "v_portals": "SELECT 'd' || id AS id, building_id, id AS from_space_id, lead(id) OVER (PARTITION BY building_id ORDER BY id) AS to_space_id, level_id, round(weight / 10000, 3) AS width_m, is_exit FROM v_spaces WHERE id % 3 = 0",
     "v_edges": "SELECT l_suppkey % 20 AS building_id, 'o' || l_orderkey AS a, 'p' || l_partkey AS b, min(l_quantity) / 10 AS distance_m FROM lineitem GROUP BY 1, 2, 3",
     "v_levels": "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS building_id, 3.0::DOUBLE * (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS elevation_m FROM nation",
     "v_spaces": "SELECT s_suppkey AS id, n_regionkey AS building_id, s_nationkey AS level_id, s_name AS name, s_acctbal < 500 AS is_exit, s_acctbal AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey",
