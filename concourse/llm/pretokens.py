@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 SUBBATCH = 1 << 20  # characters split at a time
-REMEMBERED = 500_000  # distinct pre-tokens that a worker keeps
+REMEMBERED = 800_000  # distinct pre-tokens that a worker keeps
 # The characters up to U+00FF of the classes L, N and White_Space.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼½¾"
