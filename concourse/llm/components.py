@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ._shared import settle
 
-PIVOTS = 8
+GROWTH = 8  # pivots of a bucket grow by this factor each round, so rounds grow with the logarithm of the largest bucket
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,7 +18,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         sides = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = settle(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    low = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    if large:  # hot centres: written first, so that the join can split them
+        low = settle(low)
     joined = sides.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
     out = joined.where("v > u" if large else "true").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
@@ -39,34 +41,42 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Components of the verified pairs among members of a bucket; buckets (k, id), verify keeps true pairs of (a, b).
+def bucket_components(buckets: DataFrame, ratio: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Components of the verified pairs among members of a bucket; buckets (k, id, n), verify keeps true pairs of (a, b).
 
-    A pivot of each bucket meets its other members and is then taken out; buckets that lie in one component are closed.
-    So a bucket of m members makes O(m) pairs a round and no pair is lost: each is either checked or already connected.
-    None if no bucket has two members; else (id, component) for ids that have links.
+    Pairs whose sizes n differ by more than the ratio can't link and aren't made. Pivots of each bucket meet its other
+    members and are then taken out; buckets that lie in one component are closed. So a group of copies takes one pivot,
+    and no pair is lost: each is either checked or already connected. None if no bucket has two members; else
+    (id, component) for ids that have links.
     """
     # aggregates are written before they are joined back, so that the join can split hot buckets
-    many = settle(buckets.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
-    buckets = settle(buckets.join(many, "k").select("k", "id"))
-    links, label, pivots = None, None, 1
-    while True:
-        if label is None:
-            members = buckets.withColumn("c", F.col("id")).withColumn("size", F.lit(1))
-        else:
-            sizes = label.groupBy("component").agg(F.count("*").alias("size"))
-            named = label.join(sizes, "component").select("id", F.col("component").alias("c0"), "size")
-            members = buckets.join(named, "id", "left").select("k", "id", F.coalesce("c0", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
-        several = settle(members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k"))
-        members = settle(members.join(several, "k", "left_semi"), buckets)
-        if members.isEmpty():
-            return label
+    many = settle(buckets.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"))
+    members = settle(buckets.join(many, "k").select("k", "id", "n", F.col("id").alias("c"), F.lit(1).cast("long").alias("size")), many)
+    label, pivots = None, 1
+    while not members.isEmpty():
         part = F.pmod(F.xxhash64("id"), F.lit(pivots))
-        chosen = members.groupBy("k", part.alias("p")).agg(F.min(F.struct("size", "id", "c")).alias("x")).select("k", F.col("x.id").alias("pid"), F.col("x.c").alias("pc"))
-        chosen = settle(chosen)
-        pairs = members.join(chosen, "k").where("c <> pc").select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+        chosen = settle(members.groupBy("k", part.alias("p")).agg(F.min(F.struct("size", "id", "c", "n")).alias("x")).select("k", F.col("x.id").alias("pid"), F.col("x.c").alias("pc"), F.col("x.n").alias("pn")))
+        fits = F.least("n", "pn") >= ratio * F.greatest("n", "pn") - 1e-9
+        pairs = members.join(chosen, "k").where((F.col("c") != F.col("pc")) & fits).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         found = verify(settle(pairs))
-        links = settle(found if links is None else links.unionByName(found))
-        buckets = settle(members.select("k", "id").join(chosen.select("k", F.col("pid").alias("id")), ["k", "id"], "left_anti"), members)
-        label = settle(connected_components(links, "a", "b"))
-        pivots = PIVOTS
+        label = _merged(label, found)
+        rest = members.select("k", "id", "n").join(chosen.select("k", F.col("pid").alias("id")), ["k", "id"], "left_anti")
+        sizes = label.groupBy("component").agg(F.count("*").alias("size"))
+        named = label.join(sizes, "component").select("id", F.col("component").alias("c"), "size")
+        rest = settle(rest.join(named, "id", "left").select("k", "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size")), members, chosen)
+        several = settle(rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k"))
+        members = settle(rest.join(several, "k", "left_semi"), rest, several)
+        pivots *= GROWTH
+    return label
+
+
+def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels with new links: components of the links between old components, carried over to their members."""
+    if label is None:
+        return settle(connected_components(links, "a", "b"))
+    old = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    raised = links.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = settle(connected_components(raised, "a", "b")).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    known = label.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    fresh = above.select(F.col("component").alias("id"), F.col("top").alias("component")).join(label.select("id"), "id", "left_anti")
+    return settle(known.unionByName(fresh))
