@@ -45,25 +45,28 @@ def bucket_components(buckets: DataFrame, ratio: float, verify: Callable[[DataFr
     """Components of the verified pairs among members of a bucket; buckets (k, id, n), verify keeps true pairs of (a, b).
 
     Pairs whose sizes n differ by more than the ratio can't link and aren't made. Pivots of each bucket meet its other
-    members and are then taken out; buckets that lie in one component are closed. So a group of copies takes one pivot,
-    and no pair is lost: each is either checked or already connected. None if no bucket has two members; else
-    (id, component) for ids that have links.
+    members and are then taken out; buckets that lie in one component are closed. A pair is made in the smallest of
+    the buckets that it shares only. Of members outside the largest components those go first whose buckets are
+    the fullest: that is the text from which the others of a group were made. So a group of copies takes one pivot, and no pair is lost:
+    each is either checked or already connected. None if no bucket has two members; else (id, component) for ids that have links.
     """
     # aggregates are written before they are joined back, so that the join can split hot buckets
-    many = settle(buckets.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"))
-    members = settle(buckets.join(many, "k").select("k", "id", "n", F.col("id").alias("c"), F.lit(1).cast("long").alias("size")), many)
+    many = settle(buckets.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"))
+    shared = buckets.join(many, "k").groupBy("id", "n").agg(F.array_sort(F.collect_set("k")).alias("keys"), F.sum("m").alias("met"))
+    members = settle(shared.select(F.explode("keys").alias("k"), "id", "n", "met", "keys", F.col("id").alias("c"), F.lit(1).cast("long").alias("size")), many)
     label, pivots = None, 1
     while not members.isEmpty():
         part = F.pmod(F.xxhash64("id"), F.lit(pivots))
-        chosen = settle(members.groupBy("k", part.alias("p")).agg(F.min(F.struct("size", "id", "c", "n")).alias("x")).select("k", F.col("x.id").alias("pid"), F.col("x.c").alias("pc"), F.col("x.n").alias("pn")))
+        chosen = settle(members.groupBy("k", part.alias("p")).agg(F.min(F.struct("size", -F.col("met"), "id", "c", "n", "keys")).alias("x")).select("k", F.col("x.id").alias("pid"), F.col("x.c").alias("pc"), F.col("x.n").alias("pn"), F.col("x.keys").alias("pkeys")))
         fits = F.least("n", "pn") >= ratio * F.greatest("n", "pn") - 1e-9
-        pairs = members.join(chosen, "k").where((F.col("c") != F.col("pc")) & fits).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+        here = F.array_min(F.array_intersect("keys", "pkeys")) == F.col("k")
+        pairs = members.join(chosen, "k").where((F.col("c") != F.col("pc")) & fits & here).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         found = verify(settle(pairs))
         label = _merged(label, found)
-        rest = members.select("k", "id", "n").join(chosen.select("k", F.col("pid").alias("id")), ["k", "id"], "left_anti")
+        rest = members.select("k", "id", "n", "met", "keys").join(chosen.select("k", F.col("pid").alias("id")), ["k", "id"], "left_anti")
         sizes = label.groupBy("component").agg(F.count("*").alias("size"))
         named = label.join(sizes, "component").select("id", F.col("component").alias("c"), "size")
-        rest = settle(rest.join(named, "id", "left").select("k", "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size")), members, chosen)
+        rest = settle(rest.join(named, "id", "left").select("k", "id", "n", "met", "keys", F.coalesce("c", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size")), members, chosen)
         several = settle(rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k"))
         members = settle(rest.join(several, "k", "left_semi"), rest, several)
         pivots *= GROWTH
