@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from concourse.llm import byte_bpe, html_text, language_id, line_dedup, media, near_dedup, packing, substring_dedup, top_k, unigram_counts
 from concourse.llm.pretokens import splitter
@@ -147,6 +148,21 @@ def test_lines_are_kept_once(spark):
     assert rows[4]["text"] == prose(2, 12) and (rows[4]["n_lines"], rows[4]["n_removed"]) == (3, 2)
 
 
+def test_long_lines_link_by_their_parts_or_as_a_whole(spark):
+    """Long lines of the same words: an edit in place is accepted by parts, a moved half is not near."""
+    words = prose(3, 800).split()
+    changed = words[:400] + ["zzz"] + words[401:]
+    moved = words[400:] + words[:400]
+    rows = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(table(spark, [" ".join(w) for w in (words, changed, moved)])).collect()}
+    assert rows == {0: 0, 1: 1, 2: 0}
+
+
+def test_the_short_test_of_a_line_agrees_with_its_normal_form(spark):
+    lines = ["", " ", "a b c d e", "a b c d", "1 2 3 4 5", " 1 2 3 4", "a1b2c3d4e", "é,è;ü:ö ñ!", "x" * 5000, "1 " * 9, "--a b c d e--"]
+    t = table(spark, lines).select(line_dedup.has_words(F.col("text"), 5).alias("quick"), (F.size(F.split(line_dedup.normalised(F.col("text")), " ")) >= 5).alias("plain"))
+    assert all(r["quick"] == r["plain"] for r in t.collect())
+
+
 def test_language_model_learns_and_knows_what_it_cannot_tell(spark):
     words = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
     r = random.Random(5)
