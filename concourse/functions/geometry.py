@@ -188,3 +188,20 @@ def to_y_up(p: Column) -> Column:
 
 def to_mirrored_cm(p: Column) -> Column:
     return vec(p["x"] * 100, -p["y"] * 100, p["z"] * 100)
+
+
+def remaining(points: Column, travelled: Column, kind: str = "array<struct<x:double,y:double,z:double>>") -> Column:
+    """The polyline from the position after a distance on: that position, then the corners that lie further."""
+    zero = F.struct(F.lit(0.0).alias("d"), F.element_at(points, 1).alias("last"), F.array().cast(kind).alias("ahead"))
+
+    def step(acc: Column, p: Column) -> Column:
+        upto = acc["d"] + distance(acc["last"], p)
+        return F.struct(upto.alias("d"), p.alias("last"), F.when(upto > travelled, F.concat(acc["ahead"], F.array(p))).otherwise(acc["ahead"]).alias("ahead"))
+
+    return F.concat(F.array(point_at(points, travelled)), F.aggregate(points, zero, step)["ahead"])
+
+
+def off_plane(a: Column, b: Column, c: Column, *others: Column) -> Column:
+    """The greatest distance of the other points from the plane of a triangle; triangles are coplanar if it is within a tolerance."""
+    n = unit_normal(a, b, c)
+    return F.greatest(*[F.abs(dot(n, minus(p, a))) for p in others])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .graph import settle
 
 
 def _spread(size: float, radius: float) -> Column:
@@ -118,3 +119,24 @@ def radius_nearest(left: DataFrame, right: DataFrame, radius: float, k: int) ->
     pairs = near_pairs(left, right, radius).where("left_id <> right_id")
     best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("building_id", F.col("left_id").alias("point_id"), F.col("right_id").alias("near_id"), "d")
+
+
+def nearest_owners(left: DataFrame, right: DataFrame, k: int, radius: float) -> DataFrame:
+    """(building_id, left_id, owner, d, rank): the k nearest owners of right points (building_id, id, owner, x, y, z) of each left point, however far.
+
+    The radius doubles for points that have met fewer than k owners; those whose building has no more owners to offer
+    are done too, so the last rounds end once a radius spans everything.
+    """
+    owners = right.groupBy("building_id").agg(F.least(F.countDistinct("owner"), F.lit(k)).alias("wanted"))
+    todo, done = settle(left.join(owners, "building_id").select("building_id", "id", "x", "y", "z", "wanted")), None
+    names = right.select("building_id", F.col("id").alias("right_id"), "owner")
+    order = Window.partitionBy("building_id", "left_id").orderBy("d", "owner")
+    while not todo.isEmpty():
+        met = near_pairs(todo, right, radius).join(names, ["building_id", "right_id"]).groupBy("building_id", "left_id", "owner").agg(F.min("d").alias("d"))
+        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        full = ranked.join(todo.select("building_id", F.col("id").alias("left_id"), "wanted"), ["building_id", "left_id"])
+        full = settle(full.withColumn("n", F.count("*").over(Window.partitionBy("building_id", "left_id"))).where("n = wanted").select("building_id", "left_id", "owner", "d", "rank"))
+        done = full if done is None else done.unionByName(full)
+        todo = settle(todo.join(full.select("building_id", F.col("left_id").alias("id")).distinct(), ["building_id", "id"], "left_anti"))
+        radius *= 2
+    return done if done is not None else near_pairs(left, right, radius).select("building_id", "left_id", F.col("right_id").alias("owner"), "d", F.lit(0).alias("rank")).limit(0)

@@ -123,3 +123,10 @@ def verdicts(buildings: DataFrame, found: DataFrame) -> DataFrame:
     counts = found.groupBy("building_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     out = buildings.join(counts, "building_id", "left").select("building_id", F.coalesce("errors", F.lit(0)).cast("long").alias("errors"), F.coalesce("warnings", F.lit(0)).cast("long").alias("warnings"))
     return out.select("*", (F.col("errors") == 0).alias("valid"), ((F.col("errors") == 0) & (F.col("warnings") == 0)).alias("navigation_ready"))
+
+
+def evacuation_gate(frames: DataFrame) -> DataFrame:
+    """(run_id, evacuated, active, clearance_s, passed) by the last status of each agent; frames (run_id, agent_id, frame_no, time_s, status)."""
+    last = frames.groupBy("run_id", "agent_id").agg(F.max_by("status", F.struct("time_s", "frame_no")).alias("status"), F.max(F.when(F.col("status") == "evacuated", F.col("time_s"))).alias("out_s"))
+    counted = last.groupBy("run_id").agg(F.count_if(F.col("status") == "evacuated").alias("evacuated"), F.count_if(F.col("status") != "evacuated").alias("active"), F.max("out_s").alias("clearance_s"))
+    return counted.withColumn("passed", (F.col("active") == 0) & (F.coalesce("clearance_s", F.lit(0.0)) > 0))

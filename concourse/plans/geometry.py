@@ -208,3 +208,27 @@ def gen6(spark: SparkSession, d: str) -> DataFrame:
     return generators.evenly(views.frames(spark, d).select("run_id", "frame_no"), "run_id", "frame_no", 10)
 
 
+
+
+@query(
+    "geo10",
+    NORMAL + """SELECT a.id, greatest(abs(a.nx * (b.x1 - a.x1) + a.ny * (b.y1 - a.y1)), abs(a.nx * (b.x2 - a.x1) + a.ny * (b.y2 - a.y1) + a.nz * (b.id % 3)), abs(a.nx * (b.x3 - a.x1) + a.ny * (b.y3 - a.y1))) / a.size <= 0.001 AS coplanar
+    FROM m a JOIN m b ON b.id = a.id + 1 WHERE a.id % 2 = 0""",
+)
+def geo10(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the two triangles of a square lie in one plane (1 mm)."""
+    c = corners(spark, d).select("id", "p", "q", "r")
+    two = c.where("id % 2 = 0").join(c.select((F.col("id") - 1).alias("id"), F.struct("p", "q", "r").alias("o")), "id")
+    return two.select("id", (g.off_plane(F.col("p"), F.col("q"), F.col("r"), F.col("o.p"), F.col("o.q"), F.col("o.r")) <= 0.001).alias("coplanar"))
+
+
+@query(
+    "geo14",
+    LEGS + """, c AS (SELECT l.*, total, sum(leg) OVER (PARTITION BY l.building_id, l.space_id ORDER BY id) AS upto FROM l JOIN t USING (building_id, space_id))
+    SELECT building_id, space_id, count(*) FILTER (WHERE upto > total * 0.37) + 1 AS n_points, round(max(total) * 0.63, 6) AS left_m FROM c WHERE total > 0 GROUP BY 1, 2""",
+)
+def geo14(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of a polyline after 37 percent of its length."""
+    rows = polylines(spark, d).withColumn("total", g.polyline_length(F.col("points"))).where("total > 0")
+    rows = rows.withColumn("left", g.remaining(F.col("points"), F.col("total") * 0.37))
+    return rows.select("building_id", "space_id", F.size("left").cast("long").alias("n_points"), r6(g.polyline_length(F.col("left"))).alias("left_m"))

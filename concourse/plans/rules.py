@@ -242,3 +242,28 @@ def v38(spark: SparkSession, d: str) -> DataFrame:
     c = views.cells(spark, d)
     size = g.area_xy(*[g.vec(f"x{i}", f"y{i}") for i in (1, 2, 3)])
     return rules.issues(c.where(size <= F.when(F.col("id") % 9 == 0, 1.0).otherwise(1e-10)), "FLAT_CELL", "error", "id")
+
+
+@query("v34", MODEL + issue("SURFACE_EXIT_UNBOUND", "warning", "building_id", "(SELECT DISTINCT building_id FROM v_spaces WHERE is_exit) b WHERE NOT EXISTS (SELECT 1 FROM v_spaces s JOIN v_nodes n ON n.id = s.id AND n.building_id = s.building_id WHERE s.is_exit AND s.building_id = b.building_id AND n.kind = 'stair' AND n.level_id % 5 = 0)"))
+def v34(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings with exits of which none lies on a space with a surface; stairs on every fifth level stand for surfaces."""
+    exits = views.spaces(spark, d).where("is_exit").select("building_id", "id")
+    bound = exits.join(views.nodes(spark, d).where("kind = 'stair' and level_id % 5 = 0").select("building_id", "id"), ["building_id", "id"], "left_semi")
+    lost = exits.select("building_id").distinct().join(bound, "building_id", "left_anti")
+    return rules.issues(lost, "SURFACE_EXIT_UNBOUND", "warning", "building_id")
+
+
+@query("v36", MODEL + issue("SURFACE_NO_CROSS_LEVEL_TRANSITION", "warning", "building_id", "(SELECT building_id FROM v_levels GROUP BY 1 HAVING count(*) > 1) b WHERE NOT EXISTS (SELECT 1 FROM v_transitions t JOIN v_spaces p ON p.id = from_id JOIN v_spaces q ON q.id = to_id WHERE t.building_id = b.building_id AND p.level_id <> q.level_id AND from_id % 70 = 1)"))
+def v36(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings of several levels without a transition from one to another, among those from every seventieth space."""
+    level = lambda end: views.spaces(spark, d).select(F.col("id").alias(f"{end}_id"), F.col("level_id").alias(f"{end}_level"))
+    across = views.transitions(spark, d).where("from_id % 70 = 1").join(level("from"), "from_id").join(level("to"), "to_id").where("from_level <> to_level")
+    several = views.levels(spark, d).groupBy("building_id").agg(F.count("*").alias("n")).where("n > 1")
+    return rules.issues(several.join(across, "building_id", "left_anti"), "SURFACE_NO_CROSS_LEVEL_TRANSITION", "warning", "building_id")
+
+
+@query("v41", with_views("v_frames") + """, last AS (SELECT run_id, agent_id, arg_max(status, (time_s, frame_no)) AS status, max(CASE WHEN status = 'evacuated' THEN time_s END) AS out_s FROM v_frames GROUP BY 1, 2)
+    SELECT run_id, count(*) FILTER (WHERE status = 'evacuated') AS evacuated, count(*) FILTER (WHERE status <> 'evacuated') AS active, max(out_s) AS clearance_s, count(*) FILTER (WHERE status <> 'evacuated') = 0 AND coalesce(max(out_s), 0) > 0 AS passed FROM last GROUP BY 1""")
+def v41(spark: SparkSession, d: str) -> DataFrame:
+    """The evacuation gate: all are out at their last frame, and it took time."""
+    return rules.evacuation_gate(views.frames(spark, d))

@@ -138,3 +138,11 @@ def elm15(spark: SparkSession, d: str) -> DataFrame:
     return views.cells(spark, d).groupBy("building_id").agg(F.count("*").alias("cells"), F.count_if(F.col("terrain") == "stair").alias("stairs"), F.countDistinct("space_id").alias("spaces"), F.min("id").alias("first_id"))
 
 
+
+
+@query("snk2", with_views("v_frames") + "SELECT run_id, CAST(floor(time_s / 600) AS BIGINT) AS frame_no, count(*) AS n_agents, min(agent_id) AS first_agent FROM v_frames GROUP BY 1, 2")
+def snk2(spark: SparkSession, d: str) -> DataFrame:
+    """Playback documents, written as JSON with one object a frame, and read back."""
+    path = documents.save_playback(views.frames(spark, d).withColumn("frame_no", F.floor(F.col("time_s") / 600)))
+    saved = spark.read.schema("run_id string, frame_no long, agents array<struct<agent_id:long,status:string,time_s:double>>").json(path)
+    return saved.select("run_id", "frame_no", F.size("agents").cast("long").alias("n_agents"), F.array_min(F.transform("agents", lambda a: a["agent_id"])).alias("first_agent"))

@@ -51,3 +51,20 @@ def st6(spark: SparkSession, d: str) -> DataFrame:
     seconds = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("double")
     first = out.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), "agent_id").agg(F.min(seconds).alias("out_s"))
     return live.run_to_table(first, "complete")
+
+
+@query("st5", "WITH q AS (SELECT user_id AS gate_id, ts, event_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('click', 'purchase')) SELECT gate_id, CAST(arg_max(n, (ts, event_id)) AS BIGINT) AS length, CAST(greatest(max(n), 0) AS BIGINT) AS longest FROM q GROUP BY 1")
+def st5(spark: SparkSession, d: str) -> DataFrame:
+    """Length of the queue at each gate and the longest that it has been; a click joins it, a purchase leaves it."""
+    e = live.events_stream(spark, d).where("event_type in ('click', 'purchase')")
+    ts = F.to_timestamp(F.col("ts"))
+    changes = e.select(F.col("user_id").cast("long").alias("gate_id"), F.unix_micros(ts).alias("us"), "event_id", F.when(F.col("event_type") == "click", 1).otherwise(-1).alias("step"))
+    # a row for each batch in which a gate changed; the events are one file, so one batch
+    return live.run_to_table(live.longest_queues(changes), "update")
+
+
+@query("st9", "WITH m AS (SELECT user_id AS agent_id, event_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) SELECT agent_id, event_id, epoch_us(ts) AS us FROM m WHERE before IS NULL OR ts > before")
+def st9(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that advance the time of their agent."""
+    f = frames(spark, d).withColumn("agent_id", F.col("agent_id").cast("long"))
+    return live.run_to_table(live.advancing(f), "append")

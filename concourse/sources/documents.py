@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
+
 SCHEMA = "schema string, levels array<struct<id: long, name: string, elevation_m: double>>, spaces array<struct<id: long, name: string, level_id: long, is_exit: boolean>>, transitions array<struct<from_id: long, to_id: long, bidirectional: boolean>>"
 VERSION = "concourse.nav/1"
 
@@ -29,3 +32,10 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 def table_of(parsed: DataFrame, name: str) -> DataFrame:
     return parsed.select("building_id", F.inline(name))
+
+
+def save_playback(frames: DataFrame) -> str:
+    """Write frames (run_id, frame_no, agent_id, status, time_s) as JSON, one object a frame with its agents, to the shared folder; where it is."""
+    path = f"{shared_dir(frames.sparkSession)}/playback-{uuid.uuid4().hex}"
+    frames.groupBy("run_id", "frame_no").agg(F.array_sort(F.collect_list(F.struct("agent_id", "status", "time_s"))).alias("agents")).write.json(path)
+    return path

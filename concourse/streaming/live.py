@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.evacuation import WAITING, status_group
 from ..operators.graph import shared_dir
@@ -47,3 +49,30 @@ def run_to_table(stream: DataFrame, mode: str, shape: Callable[[DataFrame], Data
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
+
+
+def advancing(frames: DataFrame) -> DataFrame:
+    """(agent_id, event_id, ts) of frames whose time is later than all before them of that agent, in order of event_id; the state is the last time."""
+
+    def keep(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(chunks)).sort_values("event_id", kind="stable")
+        last = state.get[0] if state.exists else -(2**63)
+        before = rows["us"].cummax().shift(fill_value=last).clip(lower=last)
+        state.update((max(int(last), int(rows["us"].max())),))
+        yield rows.loc[rows["us"] > before, ["agent_id", "event_id", "us"]]
+
+    rows = frames.select("agent_id", "event_id", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("agent_id").applyInPandasWithState(keep, "agent_id long, event_id long, us long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def longest_queues(changes: DataFrame) -> DataFrame:
+    """(gate_id, length, longest) after each batch of changes (gate_id, us, event_id, step); the state outlives replans and restarts."""
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        steps = pd.concat(list(chunks)).sort_values(["us", "event_id"], kind="stable")["step"].cumsum()
+        length, longest = state.get if state.exists else (0, 0)
+        longest, length = max(longest, length + int(steps.max())), length + int(steps.iloc[-1])
+        state.update((length, longest))
+        yield pd.DataFrame({"gate_id": [key[0]], "length": [length], "longest": [longest]})
+
+    return changes.groupBy("gate_id").applyInPandasWithState(run, "gate_id long, length long, longest long", "length long, longest long", "update", GroupStateTimeout.NoTimeout)

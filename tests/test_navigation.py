@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from concourse import registry
 from concourse.functions import geometry as g
-from concourse.operators import evacuation, graph
+from concourse.operators import elements, evacuation, graph
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,6 +50,12 @@ def test_closest_on_triangle_is_never_beaten_by_a_sample(spark):
         assert mine <= best + 1e-9
 
 
+def test_levels_are_inherited_and_cycles_end(spark):
+    parents = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 6), (6, 4), (7, 4), (8, 8), (9, 8)], "id long, parent_id long")
+    levels = spark.createDataFrame([(1, 10), (3, None), (9, 30)], "id long, level_id long")
+    assert {r["id"]: (r["level_id"], r["depth"]) for r in elements.inherited_levels(parents, levels).collect()} == {1: (10, 0), 2: (10, 1), 3: (10, 2), 9: (30, 0)}
+
+
 def test_queue_leaves_one_by_one(spark):
     rows = spark.createDataFrame([(1, i, 0.0, 1.0) for i in range(3)], "gate int, id int, arr double, capacity double")
     served = evacuation.departures(rows)
@@ -65,7 +71,7 @@ def test_agents_split_between_exits(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["jn1", "jn4", "gr9", "gr11", "v18", "agg9", "win5", "fn11", "src1", "chk1", "st4"])
+@pytest.mark.parametrize("name", ["jn1", "jn4", "gr9", "gr11", "v18", "agg9", "win5", "fn11", "src1", "chk1", "st4", "elm3", "elm7", "elm11", "jn9", "gr8", "geo10", "geo14", "v41", "snk2", "st5", "st9"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
