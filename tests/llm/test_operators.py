@@ -210,3 +210,33 @@ def test_media_round_trip(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     with pytest.raises(ValueError):
         media.decode_images([b"RIFF....WEBPjunk"])
+
+
+def edit_distance(a: str, b: str) -> int:
+    last = np.arange(len(b) + 1)
+    letters, at = np.array(list(b)), np.arange(len(b) + 1)
+    for i, c in enumerate(a, 1):
+        now = np.concatenate([[i], np.minimum(last[:-1] + (letters != c), last[1:] + 1)])
+        last = np.minimum.accumulate(now - at) + at
+    return int(last[-1])
+
+
+def test_near_lines_meet_at_the_stated_similarity(spark):
+    """Recall against brute force: a line and a copy with as many words replaced as edit similarity 0.8 allows."""
+    r, texts, sizes = random.Random(8), [], []
+    for n in (5, 10, 20, 40, 100):
+        for i in range(60):
+            line = prose(10000 * n + i, n).split()
+            copy = None
+            for k in r.sample(range(n), n):
+                more = (copy or line)[:k] + [prose(r.random(), 1)] + (copy or line)[k + 1 :]
+                one, two = " ".join(line), " ".join(more)
+                if 1 - edit_distance(one, two) / max(len(one), len(two)) < 0.8:
+                    break
+                copy = more
+            if copy:
+                texts.append(f"{' '.join(line)}\n{' '.join(copy)}")
+                sizes.append(n)
+    rows = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    recall = {n: np.mean([rows[i] for i, m in enumerate(sizes) if m == n]) for n in set(sizes)}
+    assert len(recall) == 5 and min(recall.values()) > 0.85 and np.mean(list(rows.values())) > 0.9, recall
