@@ -240,3 +240,9 @@ def test_near_lines_meet_at_the_stated_similarity(spark):
     rows = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(table(spark, texts)).collect()}
     recall = {n: np.mean([rows[i] for i, m in enumerate(sizes) if m == n]) for n in set(sizes)}
     assert len(recall) == 5 and min(recall.values()) > 0.85 and np.mean(list(rows.values())) > 0.9, recall
+
+
+def test_lines_without_blanks_are_compared(spark):
+    line = "今日は天気がとても良いので公園まで歩いて行きました"
+    rows = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(table(spark, [line, f"{line}。", line.replace("公園", "学校")])).collect()}
+    assert rows == {0: 0, 1: 1, 2: 1}
