@@ -21,7 +21,7 @@ from .html_labels import LABELLED, MARK
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>")
 _HINT = re.compile(r"""(?:^|\s)(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
-_RAW = frozenset("script style noscript template iframe object svg math title textarea canvas audio video xmp noframes noembed".split())
+_RAW = frozenset("script style noscript template iframe object svg title textarea canvas audio video xmp noframes noembed".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -110,12 +110,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
                     if tag == "a" and stack[i][0] in _BLOCK:
                         break
             continue
-        if tag in _RAW:
+        if tag in _RAW and not (tag == "svg" and m[3].endswith("/")):
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at)
             if end < 0 or len(lower) != n:
                 found = re.compile(f"</{tag}", re.I).search(page, at)
-                end = found.start() if found else n
+                end = found.start() if found else n if tag in ("script", "style") else -1
+            if end < 0:  # never closed: only the tag goes
+                continue
             gt = page.find(">", end)
             at = n if gt < 0 else gt + 1
             if tag in ("textarea", "title"):

@@ -246,3 +246,10 @@ def test_lines_without_blanks_are_compared(spark):
     line = "今日は天気がとても良いので公園まで歩いて行きました"
     rows = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(table(spark, [line, f"{line}。", line.replace("公園", "学校")])).collect()}
     assert rows == {0: 0, 1: 1, 2: 1}
+
+
+def test_text_after_empty_or_unclosed_elements_stays():
+    for tag in ("<svg a='b'/>", "<math/>", "<object>", "<video src=x>", "<audio>", "<canvas>"):
+        assert [b[0] for b in html_text.blocks(f"<p>one</p>{tag}<p>two</p>")] == ["one", "two"], tag
+    assert [b[0] for b in html_text.blocks("<p>one</p><svg/><p>two</p><svg><text>x</text></svg><p>three <math><mi>y</mi></math></p>")] == ["one", "two", "three y"]
+    assert [b[0] for b in html_text.blocks("<p>one</p><script>var a = '<p>two</p>'")] == ["one"]
