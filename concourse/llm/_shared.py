@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -59,6 +61,16 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy(*memos: dict) -> None:
+    """At the end of a task: empty what it remembered and give freed memory back, as a later job may use this worker for something else."""
+    for memo in memos:
+        memo.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64, so that all bits depend on all bits."""
     h = h ^ (h >> np.uint64(33))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import tidy
 from .pretokens import looked_up, splitter
 
 NONE = np.int32(2**31 - 1)
@@ -144,6 +145,7 @@ def _encoder(path: str, pattern: str):
                 part = batch.slice(at, 512)
                 ids = [b"".join(row) for row in looked_up(part.column(1).to_pylist(), split, known, learn)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        tidy(known)
 
     return run
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import settle
 
-GROWTH = 8  # pivots of a bucket grow by this factor each round, so rounds grow with the logarithm of the largest bucket
+SMALL = 128  # members of a bucket that may all meet one another
+PIVOTS = 8  # pivots a round in larger buckets
+SPLIT = 8  # finer buckets for each member of a larger one
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,40 +39,75 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if tuple(state) == seen or state[0] == 0:
             break
         seen = tuple(state)
-        now = settle(_star(_star(now, large=True), large=False))
+        now = settle(_star(_star(now, large=True), large=False), now)
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def bucket_components(buckets: DataFrame, ratio: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Components of the verified pairs among members of a bucket; buckets (k, id, n), verify keeps true pairs of (a, b).
+def shared_buckets(keyed: DataFrame) -> DataFrame:
+    """(k, id, n, met) for each bucket k that two ids or more of keyed (id, n, keys) share; met: how full the buckets of the id are together."""
+    flat = keyed.select(F.explode("keys").alias("k"), "id", "n")
+    # counts are written before they are joined back, so that the join can split hot buckets
+    many = settle(flat.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"))
+    members = settle(flat.join(many, "k"), many)
+    met = settle(members.groupBy("id").agg(F.sum("m").alias("met")))
+    return settle(members.join(met, "id").select("k", "id", "n", "met"), members, met)
 
-    Pairs whose sizes n differ by more than the ratio can't link and aren't made. Pivots of each bucket meet its other
-    members and are then taken out; buckets that lie in one component are closed. A pair is made in the smallest of
-    the buckets that it shares only. Of members outside the largest components those go first whose buckets are
-    the fullest: that is the text from which the others of a group were made. So a group of copies takes one pivot, and no pair is lost:
-    each is either checked or already connected. None if no bucket has two members; else (id, component) for ids that have links.
+
+def bucket_components(members: DataFrame, keyed: DataFrame, ratio: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) for ids that have links: components of the verified pairs among members (k, id, n, met) of a bucket.
+
+    verify keeps the true pairs of (a, b). Pairs whose sizes n differ by more than the ratio can't link and aren't made.
+    A bucket's pivot, the member whose own buckets are the fullest (the text from which the others of a group were
+    made), meets the others and is then taken out: in a first step each member meets the best of its pivots only, so a
+    group of copies costs one pair a member, and buckets that then lie in one component are closed. What is left of a
+    bucket of up to SMALL members meets in pairs. What is left of a larger one is dealt again: two members stay together
+    where they agree in a further bucket of their own (SPLIT of those are tried at each depth), and PIVOTS of its members
+    meet the others a round. So a member makes at most SMALL pairs in a bucket and round, and at a depth that is used up
+    the pivots go on until the bucket is closed or small: no pair is dropped by a cap.
     """
-    # aggregates are written before they are joined back, so that the join can split hot buckets
-    many = settle(buckets.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"))
-    shared = buckets.join(many, "k").groupBy("id", "n").agg(F.array_sort(F.collect_set("k")).alias("keys"), F.sum("m").alias("met"))
-    members = settle(shared.select(F.explode("keys").alias("k"), "id", "n", "met", "keys", F.col("id").alias("c"), F.lit(1).cast("long").alias("size")), many)
-    label, pivots = None, 1
-    while not members.isEmpty():
-        part = F.pmod(F.xxhash64("id"), F.lit(pivots))
-        chosen = settle(members.groupBy("k", part.alias("p")).agg(F.min(F.struct("size", -F.col("met"), "id", "c", "n", "keys")).alias("x")).select("k", F.col("x.id").alias("pid"), F.col("x.c").alias("pc"), F.col("x.n").alias("pn"), F.col("x.keys").alias("pkeys")))
-        fits = F.least("n", "pn") >= ratio * F.greatest("n", "pn") - 1e-9
-        here = F.array_min(F.array_intersect("keys", "pkeys")) == F.col("k")
-        pairs = members.join(chosen, "k").where((F.col("c") != F.col("pc")) & fits & here).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-        found = verify(settle(pairs))
+    label = None
+    members = members.withColumns({"c": F.col("id"), "depth": F.lit(0), "at": F.lit(-1)})
+    step = 0
+    while True:
+        members = _open(members, label)
+        if members.isEmpty():
+            return label if label is not None else keyed.select("id", F.col("id").alias("component")).where(F.lit(False))
+        part = F.lit(0).cast("long") if step < 2 else F.when(F.col("m") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(PIVOTS)))
+        chosen = settle(members.groupBy("k", part.alias("p")).agg(F.min(F.struct((-F.col("met")).alias("far"), "id", "c", "n")).alias("x")).select("k", F.col("x.id").alias("pid"), F.col("x.c").alias("pc"), F.col("x.n").alias("pn"), F.col("x.far").alias("far")))
+        pairs = members.join(chosen, "k").where((F.col("c") != F.col("pc")) & (F.least("n", "pn") >= ratio * F.greatest("n", "pn") - 1e-9))
+        if step == 0:
+            pairs = pairs.groupBy("id").agg(F.min(F.struct("far", "pid")).alias("x")).select("id", "x.pid")
+        pairs = settle(pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct())
+        found = settle(verify(pairs), pairs)
         label = _merged(label, found)
-        rest = members.select("k", "id", "n", "met", "keys").join(chosen.select("k", F.col("pid").alias("id")), ["k", "id"], "left_anti")
-        sizes = label.groupBy("component").agg(F.count("*").alias("size"))
-        named = label.join(sizes, "component").select("id", F.col("component").alias("c"), "size")
-        rest = settle(rest.join(named, "id", "left").select("k", "id", "n", "met", "keys", F.coalesce("c", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size")), members, chosen)
-        several = settle(rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k"))
-        members = settle(rest.join(several, "k", "left_semi"), rest, several)
-        pivots *= GROWTH
-    return label
+        if step:
+            rest = members if step == 1 else members.where(F.col("m") > SMALL)
+            rest = rest.join(chosen.select("k", F.col("pid").alias("id")), ["k", "id"], "left_anti")
+            members = settle(_split(rest, keyed), members, chosen)
+        step += 1
+
+
+def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Members with their component c, of buckets that lie in more than one component; m: the bucket's members."""
+    now = members.drop("m")
+    if label is not None:
+        now = settle(now.drop("c").join(label.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id")), members)
+    several = settle(now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("k", "m"))
+    return settle(now.join(several, "k"), now, several)
+
+
+def _split(members: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Members of large buckets are dealt to finer ones, whose key holds a further key of the member; the others stay."""
+    width = F.size("keys")
+    finer = (F.col("m") > SMALL) & ((F.col("depth") + 1) * SPLIT < F.col("width"))
+    names = [c for c in members.columns if c not in ("k", "depth", "at")]
+    large = members.where(F.col("m") > SMALL).join(keyed.select("id", "keys"), "id").withColumn("width", width)
+    at = F.when(F.col("at") < 0, F.array_position("keys", F.col("k")).cast("int") - 1).otherwise(F.col("at"))
+    large = large.withColumn("at", at)
+    key: Column = F.explode(F.transform(F.sequence(F.lit(1), F.lit(SPLIT)), lambda j: F.xxhash64(F.lit(7), F.col("k"), F.element_at("keys", (F.col("at") + j + F.col("depth") * SPLIT) % F.col("width") + 1))))
+    dealt = large.where(finer).select(key.alias("k"), *names, (F.col("depth") + 1).alias("depth"), "at")
+    rest = large.where(~finer).select("k", *names, "depth", "at").unionByName(members.where(F.col("m") <= SMALL).select("k", *names, "depth", "at"))
+    return dealt.unionByName(rest)
 
 
 def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:

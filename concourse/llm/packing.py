@@ -1,7 +1,6 @@
 """Packing of token sequences: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-Documents are cut into pieces of at most the capacity. Pieces are dealt at random (by a hash of document and position)
-into groups of a bounded expected size, so no document, source or group of copies decides a group; each group is packed
+Documents are cut into pieces of at most the capacity. Pieces are dealt at random into groups of a bounded expected size, so no document, source or group of copies decides a group; each group is packed
 on its own. The tree holds the free room of each bin and, in inner nodes, the most room below: the first bin with
 enough room is found in one descent.
 """
@@ -14,16 +13,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from ._shared import settle, tidy
 from .pretokens import looked_up, splitter
 
 CAPACITY = 1024
 GROUP = 20_000  # expected pieces of a group
+SEED = 1024  # of the random deal
 
 
 class Bins:
@@ -91,19 +90,22 @@ def _cutter(path: str, pattern: str, capacity: int, end: int):
                         rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        tidy(known)
 
     return run
 
 
 def _packer(capacity: int):
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         bin_, offset = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        return group[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(sequence_id=key[0] * (1 << 32) + bin_, offset=offset)
+        sequence = pa.array(group["g"][0].as_py() * (1 << 32) + bin_)
+        return pa.table([*(group[c] for c in PARTS), sequence, pa.array(offset)], names=[*PARTS, "sequence_id", "offset"])
 
     return run
 
 
+PARTS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -115,7 +117,8 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, gro
     documents of their own; an empty table gives an empty result; other columns are ignored. A sequence_id holds the group in its upper bits.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = settle(base.mapInArrow(_cutter(path, pattern, capacity, end), PIECES))
+    # the random number is written with the piece, so a task that runs again deals it alike, and copies of a row go to different groups
+    pieces = settle(base.mapInArrow(_cutter(path, pattern, capacity, end), PIECES).withColumn("r", F.rand(SEED)))
     groups = max(1, round(pieces.count() / group))
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
-    return dealt.groupBy("g").applyInPandas(_packer(capacity), PIECES + ", sequence_id long, offset long")
+    dealt = pieces.withColumn("g", F.floor(F.col("r") * groups).cast("long"))
+    return dealt.groupBy("g").applyInArrow(_packer(capacity), PIECES + ", sequence_id long, offset long")

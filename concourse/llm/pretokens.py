@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 SUBBATCH = 1 << 20  # characters split at a time
-REMEMBERED = 800_000  # distinct pre-tokens that a worker keeps
+REMEMBERED, LONG = 250_000, 64  # distinct pre-tokens that a worker keeps within a task, and the characters of the longest of these: about 60 MB
 # The characters up to U+00FF of the classes L, N and White_Space.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼½¾"
@@ -58,3 +58,6 @@ def looked_up(texts: Iterable[str | None], split: Callable[[str], list[str]], kn
         known.update(zip(new, learn(new)))
         for row in rows:
             yield list(map(known.__getitem__, row))
+        for word in new:
+            if len(word) > LONG:
+                del known[word]

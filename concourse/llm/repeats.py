@@ -8,7 +8,7 @@ import numpy as np
 
 from ._shared import mix64
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 

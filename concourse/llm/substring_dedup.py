@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, mix64, settle
+from ._shared import discard, mix64, settle, tidy
 from .repeats import CHUNK, Names, anchors
 
 LENGTH = 200
@@ -78,6 +78,7 @@ def _anchor_rows(length: int, gram: int):
             if rows:
                 lists = [pa.array([r[c].view(np.int64) if c < 2 else r[c] for r in rows], pa.list_(t)) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), *lists], names=["k", "h", "name", "over", "m", "o"])
+        tidy()
 
     return run
 
@@ -141,8 +142,15 @@ _CONTEXT = _KEY + ", m long, near int, far int, quiet boolean, context binary"
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k, h, spans array<struct<s, e>>) for each text of docs (k, h, text) with bytes in a repeated string of `length` bytes; spans may overlap."""
-    table = settle(docs.where(F.octet_length("text") >= length).select("k", "h", "text").mapInArrow(_anchor_rows(length, gram), _KEY + ", name array<long>, over array<long>, m array<long>, o array<int>"))
+    """(k, h, spans array<struct<s, e>>) for each text of docs (k, h, text) with bytes in a repeated string of `length` bytes; spans may overlap.
+
+    (k, h) names the text: rows with equal texts are one here, and all of such a text is repeated.
+    """
+    docs = docs.where(F.octet_length("text") >= length).select("k", "h", "text")
+    copied = settle(docs.groupBy("k", "h").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("e")).where("n > 1").select("k", "h", F.lit(0).cast("long").alias("s"), "e"))
+    # copies meet in place before the shuffle: dropDuplicates keeps one of a key in each task first
+    table = docs.mapInArrow(_anchor_rows(length, gram), _KEY + ", name array<long>, over array<long>, m array<long>, o array<int>")
+    table = settle(table.dropDuplicates(["k", "h"]))
     rows = table.select("k", "h", F.inline(F.arrays_zip("name", "over", "m", "o")))
     # counts are written before they are joined back: a join right on an aggregate shares its shuffle and can't split a hot name
     twice = settle(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
@@ -152,9 +160,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     mixed = settle(kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name", F.lit(True).alias("mixed")))
     kinds = settle(kinds.join(mixed, "name", "left").where("n > 1 or mixed"))
     state = settle(rows.join(kinds, ["name", "over"]).select("k", "h", "m", "o", (F.col("n") > 1).alias("quiet"), (F.coalesce("mixed", F.lit(False)) & (spot == F.col("witness"))).alias("open")), rows)
-    found = [state.where("quiet").select("k", "h", (F.col("m") - F.shiftright("o", 16)).alias("s"), (F.col("m") - F.col("o").bitwiseAND(0xFFFF) + length).alias("e"))]
+    found = [copied, state.where("quiet").select("k", "h", (F.col("m") - F.shiftright("o", 16)).alias("s"), (F.col("m") - F.col("o").bitwiseAND(0xFFFF) + length).alias("e"))]
     marks = state.where("open").groupBy("k", "h").agg(F.collect_list(F.struct("m", "o", "quiet")).alias("marks"))
-    open_ = settle(docs.join(marks, ["k", "h"]).select("k", "h", "text", "marks").mapInArrow(_contexts(length), _CONTEXT))
+    open_ = settle(docs.join(settle(marks), ["k", "h"]).select("k", "h", "text", "marks").mapInArrow(_contexts(length), _CONTEXT).dropDuplicates(["k", "h", "m", "near", "far", "quiet"]))
     for size in BLOCKS:
         named = settle(open_.mapInArrow(_block_names(length, size), _KEY + ", m long, near int, far int, quiet boolean, over long, core long"))
         spot = F.xxhash64("k", "h", "m", "near")
@@ -198,24 +206,26 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(data[at:s])
                 at = e
             rest = b"".join(kept) + data[at:]
-            rows.append((len(data), sum(e - s for s, e in cut), [{"s": s, "e": e} for s, e in cut], rest, hashlib.sha256(rest).hexdigest()))
+            rows.append((len(data), sum(e - s for s, e in cut), [{"s": s, "e": e} for s, e in cut], rest, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), kind, pa.binary(), pa.string()))), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256", *batch.schema.names[3:]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int64(), kind, pa.binary(), pa.string(), pa.string()))), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256", "kept_text", *batch.schema.names[3:]])
+    tidy()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept, kept_sha256) and, with carry, the row itself as a struct `row`, for every row of docs.
+    """(doc_id, n_bytes, n_removed, spans, kept, kept_sha256, kept_text) and, with carry, the row itself as a struct `row`, for every row of docs.
 
     A byte goes if a string of `length` bytes that covers it also starts elsewhere in the corpus, the same document
     included; matches stay within documents and are judged on the input. spans: the maximal removed runs, as byte
-    offsets; kept: the other bytes (a multi-byte character may be cut). Null text is empty; texts shorter than
-    `length` lose nothing; rows that repeat a doc_id or a whole row count as documents of their own; an empty table
+    offsets; kept: the other bytes (a multi-byte character may be cut); kept_text: the whole characters of these. Null text is empty; texts shorter than
+    `length` lose nothing; rows that repeat a doc_id or a whole row count as documents of their own, so copies of a long
+    enough text go as a whole; an empty table
     gives an empty result; other columns are ignored.
     """
     row = ["row"] if carry else []
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
-    base = base.select("doc_id", "text", *row, F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"))
+    base = base.select("doc_id", "text", *row, F.xxhash64("text").alias("k"), F.xxhash64(F.lit(1), F.col("text")).alias("h"))
     spans = settle(repeated_spans(base.select("k", "h", "text"), length, gram))
     joined = base.join(spans, ["k", "h"], "left").select("doc_id", "text", "spans", *row)
     kind = f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
-    return joined.mapInArrow(_apply, f"doc_id long, n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, kept binary, kept_sha256 string{kind}")
+    return joined.mapInArrow(_apply, f"doc_id long, n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, kept binary, kept_sha256 string, kept_text string{kind}")

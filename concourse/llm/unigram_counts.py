@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import tidy
 from .byte_bpe import read_ranks
 from .pretokens import looked_up, splitter
 
@@ -71,6 +72,7 @@ def _counter(path: str, pattern: str):
                 rows.append((len(x), sum(c for c, _ in x), sum(s for _, s in x)))
             n, tokens, score = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(tokens, pa.int64()), pa.array([s / UNIT for s in score], pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "log_score"])
+        tidy(known)
 
     return run
 

@@ -81,6 +81,14 @@ def test_packing_keeps_every_id_once(spark):
         assert [o for o, _ in sorted(parts)] == np.r_[0, np.cumsum([n for _, n in sorted(parts)])[:-1]].tolist() and sum(n for _, n in parts) <= 64
 
 
+def test_packing_keeps_large_and_null_ids(spark):
+    big = 2**60
+    rows = [(None, "a b"), (big + 1, "a b"), (big + 3, "a c"), (big + 3, "a c"), (None, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("q")), JSON, PATTERN).collect()
+    assert Counter(r["doc_id"] for r in got) == {None: 2, big + 1: 1, big + 3: 2} and len({(r["sequence_id"], r["offset"]) for r in got}) == 5
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), JSON, PATTERN).count() == 0
+
+
 def test_first_fit_decreasing_is_first_fit():
     sizes = np.random.default_rng(0).integers(1, 101, 500)
     got, offset = packing.first_fit_decreasing(sizes, 100)
@@ -118,6 +126,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(table(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b, c = prose(60, 80), prose(61, 80), prose(62, 80)
+    rows = [(5, a), (5, b), (7, a + " zz"), (8, b + " zz"), (9, c), (9, c), (None, c), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' k", "1L n_shingles", "2L h")
+    found = near_dedup.near_duplicates(docs, width=2).collect()
+    assert sorted((x["doc_id"] or -1, x["component_id"] or -1, x["kept"]) for x in found) == [(-1, -1, False), (-1, 9, False), (4, 4, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True)]
+    left = near_dedup.one_of_each(docs, width=2)
+    assert left.columns == docs.columns
+    assert sorted((x["doc_id"] or -1, x["text"] or "") for x in left.collect()) == sorted([(5, a), (5, b), (9, c), (-1, ""), (4, "")])
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    from concourse.llm import components
+
+    monkeypatch.setattr(components, "SMALL", 4)
+    keyed = spark.createDataFrame([(i, 10, [1, 2, *[100 + i // 3 * 10 + j for j in range(8)]]) for i in range(60)], "id long, n long, keys array<long>")
+    members = components.shared_buckets(keyed)
+    label = components.bucket_components(members, keyed, 0.8, lambda pairs: pairs.where("floor(a / 3) = floor(b / 3)"))
+    assert {x["id"]: x["component"] for x in label.collect()} == {i: i // 3 * 3 for i in range(60)}
+
+
 def test_posterior_bound_drops_few_true_pairs():
     least = near_dedup.least_matches(0.8, 1e-7, 128, 16)
     draws = np.random.default_rng(1).random((20000, 128)) < 0.8
@@ -128,6 +157,7 @@ def test_posterior_bound_drops_few_true_pairs():
 def test_repeats_equal_brute_force(spark):
     shared = prose(50, 20)
     texts = [None, "", "short", prose(1, 40) + shared + prose(2, 30), prose(3, 10) + shared, shared + " é" * 30 + shared[:70], "ab" * 90, prose(4, 50), prose(4, 50)]
+    texts += [texts[3], "one more " + prose(51, 30)] + [texts[7]] * 30
     length = 60
     seen = Counter(b[p : p + length] for t in texts for b in [(t or "").encode()] for p in range(len(b) - length + 1))
     rows = {r["doc_id"]: r for r in substring_dedup.remove_repeats(table(spark, texts), length=length, gram=20).collect()}
@@ -137,17 +167,43 @@ def test_repeats_equal_brute_force(spark):
             if seen[b[p : p + length]] > 1:
                 mark[p : p + length] = b"\1" * length
         kept = bytes(x for x, m in zip(b, mark) if not m)
-        assert (rows[i]["n_bytes"], rows[i]["n_removed"], rows[i]["kept_sha256"]) == (len(b), sum(mark), hashlib.sha256(kept).hexdigest())
+        runs = sum(m and not p for p, m in zip([0, *mark], mark))
+        assert (rows[i]["n_bytes"], rows[i]["n_removed"], len(rows[i]["spans"]), rows[i]["kept_sha256"]) == (len(b), sum(mark), runs, hashlib.sha256(kept).hexdigest())
+        assert rows[i]["kept_text"] == kept.decode("utf-8", "ignore")
+    assert substring_dedup.remove_repeats(table(spark, texts).limit(0)).count() == 0
 
 
 def test_lines_are_kept_once(spark):
     one = "The quick brown fox jumps over the lazy dog and runs far away from the farm"
     texts = [f"{one}\nshort line\n{prose(1, 12)}", f"{one.upper()}!!\nshort line", None, "", f"{prose(2, 12)}\n{one}\n{one} 42"]
-    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, texts), min_words=5).collect()}
     assert rows[0]["text"] == texts[0] and rows[1]["text"] == "short line" and rows[2]["text"] is None and rows[3]["text"] == ""
     assert rows[4]["text"] == prose(2, 12) and (rows[4]["n_lines"], rows[4]["n_removed"]) == (3, 2)
 
 
+def test_lines_of_any_length_take_part_and_digits_count(spark):
+    texts = ["short line\n\n\t\nitem number 1024 of day 17", "Short, line\n\n\nitem number 9 of day 4", "--\n漢字仮名交じり文の一行です\n \n--", "漢字仮名交じり文の一行です"]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table(spark, [*texts, texts[0]])).collect()}
+    assert rows == {0: texts[0], 1: "\n\nitem number 9 of day 4", 2: "--\n漢字仮名交じり文の一行です\n ", 3: "", 4: "\n\t"}
+    assert line_dedup.dedup_lines(table(spark, texts).limit(0)).count() == 0
+
+
+def test_changed_lines_are_found(spark):
+    """Lines with one letter or a fifth of the words changed, against their edit similarity."""
+    r = random.Random(4)
+    texts, want = [], 0
+    for n in (5, 10, 25, 60):
+        for i in range(40):
+            words = [*prose(1000 * n + i, n).split()]
+            other = list(words)
+            for at in r.sample(range(n), n // 5 if i % 2 else 1):
+                other[at] = other[at][:-1] + "z" if i % 2 == 0 else prose(7000 * n + i + at, 1)[: len(other[at])].ljust(len(other[at]), "y")
+            texts += [" ".join(words), " ".join(other)]
+            want += 1
+    found = sum(r["n_removed"] for r in line_dedup.dedup_lines(table(spark, texts)).collect())
+    assert 0.9 * want <= found <= want
+
+
 def test_long_lines_link_by_their_parts_or_as_a_whole(spark):
     """Long lines of the same words: an edit in place is accepted by parts, a moved half is not near."""
     words = prose(3, 800).split()
@@ -159,7 +215,7 @@ def test_long_lines_link_by_their_parts_or_as_a_whole(spark):
 
 def test_the_short_test_of_a_line_agrees_with_its_normal_form(spark):
     lines = ["", " ", "a b c d e", "a b c d", "1 2 3 4 5", " 1 2 3 4", "a1b2c3d4e", "é,è;ü:ö ñ!", "x" * 5000, "1 " * 9, "--a b c d e--"]
-    t = table(spark, lines).select(line_dedup.has_words(F.col("text"), 5).alias("quick"), (F.size(F.split(line_dedup.normalised(F.col("text")), " ")) >= 5).alias("plain"))
+    t = table(spark, lines).select(line_dedup.normalised(F.col("text")).alias("text")).select(line_dedup.has_words(F.col("text"), 5).alias("quick"), (F.size(F.split(F.col("text"), " ")) >= 5).alias("plain"))
     assert all(r["quick"] == r["plain"] for r in t.collect())
 
 
