@@ -9,6 +9,7 @@ import uuid
 import weakref
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -66,6 +67,7 @@ def tidy(*memos: dict) -> None:
     for memo in memos:
         memo.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -56,7 +56,7 @@ def shared_buckets(keyed: DataFrame) -> DataFrame:
 def bucket_components(members: DataFrame, keyed: DataFrame, ratio: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) for ids that have links: components of the verified pairs among members (k, id, n, met) of a bucket.
 
-    verify keeps the true pairs of (a, b). Pairs whose sizes n differ by more than the ratio can't link and aren't made.
+    verify keeps the true pairs of (a, b); a is a pivot and may be in many pairs, so b should be joined last. Pairs whose sizes n differ by more than the ratio can't link and aren't made.
     A bucket's pivot, the member whose own buckets are the fullest (the text from which the others of a group were
     made), meets the others and is then taken out: in a first step each member meets the best of its pivots only, so a
     group of copies costs one pair a member, and buckets that then lie in one component are closed. What is left of a
@@ -77,8 +77,12 @@ def bucket_components(members: DataFrame, keyed: DataFrame, ratio: float, verify
         pairs = members.join(chosen, "k").where((F.col("c") != F.col("pc")) & (F.least("n", "pn") >= ratio * F.greatest("n", "pn") - 1e-9))
         if step == 0:
             pairs = pairs.groupBy("id").agg(F.min(F.struct("far", "pid")).alias("x")).select("id", "x.pid")
-        pairs = settle(pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct())
-        found = settle(verify(pairs), pairs)
+        elif step > 1:
+            pairs = pairs.where((F.col("m") > SMALL) | (F.col("pid") < F.col("id")))
+        pairs = settle(pairs.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct())
+        # few bytes, but each row is work: without a count of partitions they would be read as one
+        dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b")
+        found = settle(verify(dealt), pairs)
         label = _merged(label, found)
         if step:
             rest = members if step == 1 else members.where(F.col("m") > SMALL)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import tidy
+
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 2400  # the classifier is fitted on about so many labelled rows, spread evenly over the languages
 UNKNOWN = "und"
@@ -58,6 +60,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n += 1
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, seen[at]])], names=["bucket", "n"])
+    tidy()
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +172,7 @@ def _predictor(model: Model):
             out = [model.predict(t) for t in batch.column(1).to_pylist()]
             found = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[2:]], names=["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
+        tidy()
 
     return run
 

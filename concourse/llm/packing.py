@@ -7,6 +7,7 @@ enough room is found in one descent.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -68,6 +69,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores, and threads keep memory of their own
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     return t, {}
@@ -81,8 +83,8 @@ def _cutter(path: str, pattern: str, capacity: int, end: int):
             return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(lo, 512), []
+            for lo in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(lo, 256), []
                 for doc, row in zip(part.column(0).to_pylist(), looked_up(part.column(1).to_pylist(), split, known, learn)):
                     ids = b"".join(row) + last
                     for at in range(0, len(ids), 4 * capacity):
