@@ -112,7 +112,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     most = max(size["most"], q.agg(F.max(F.greatest(F.array_max("v"), -F.array_min("v")))).first()[0] or 0)
     bits = (2 * most * most * size["dim"] + 1).bit_length()
     slots = max(1, size["n"] // SLOT)
-    blocks = settle(_packed(c, CANDIDATE_BLOCK).withColumn("slot", F.pmod(F.monotonically_increasing_id(), F.lit(slots))))
+    blocks = settle(_packed(c, CANDIDATE_BLOCK).withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots))))
     parts = max(1, q.count() // QUERY_BLOCK)
     state = settle(q.select("vec_id", "v", F.lit(-(1 << (bits - 1))).cast("long").alias("low"), F.lit(k).cast("long").alias("need")))
 
