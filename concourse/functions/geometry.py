@@ -205,3 +205,30 @@ def off_plane(a: Column, b: Column, c: Column, *others: Column) -> Column:
     """The greatest distance of the other points from the plane of a triangle; triangles are coplanar if it is within a tolerance."""
     n = unit_normal(a, b, c)
     return F.greatest(*[F.abs(dot(n, minus(p, a))) for p in others])
+
+
+def closest_of_segments(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """struct<one, two>: where the segments a-b and c-d are closest; a segment without length is its first point."""
+    clamp = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    u, v, w = minus(b, a), minus(d, c), minus(a, c)
+    uu, vv, uv, uw, vw = dot(u, u), dot(v, v), dot(u, v), dot(u, w), dot(v, w)
+    point, line = uu > 1e-12, vv > 1e-12
+    cut = uu * vv - uv * uv
+    s = F.when(point & (F.abs(cut) > 1e-12), clamp((uv * vw - uw * vv) / cut)).otherwise(0.0)
+    free = F.when(line, (uv * s + vw) / vv).otherwise(0.0)
+    t = clamp(free)
+    # where the second point had to move to an end of its segment, the first follows it
+    s = F.when(~point, 0.0).when(line & (free == t), s).otherwise(clamp((uv * t - uw) / uu))
+    along = lambda p, way, k: vec(p["x"] + way["x"] * k, p["y"] + way["y"] * k, p["z"] + way["z"] * k)
+    return F.struct(along(a, u, s).alias("one"), along(c, v, t).alias("two"))
+
+
+def point_at_elevation(points: Column, z: Column) -> Column:
+    """The first point of a polyline at elevation z; if no leg passes it, the point nearest to it in height, put at z. Null for an empty polyline."""
+    legs = F.zip_with(points, F.slice(points, F.lit(2), F.greatest(F.lit(0), F.size(points) - 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    passes = lambda leg: leg["q"].isNotNull() & (F.abs(leg["q"]["z"] - leg["p"]["z"]) > EPS) & z.between(F.least(leg["p"]["z"], leg["q"]["z"]) - EPS, F.greatest(leg["p"]["z"], leg["q"]["z"]) + EPS)
+    leg = F.get(F.filter(legs, passes), 0)
+    k = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (z - leg["p"]["z"]) / (leg["q"]["z"] - leg["p"]["z"])))
+    hit = vec(leg["p"]["x"] + (leg["q"]["x"] - leg["p"]["x"]) * k, leg["p"]["y"] + (leg["q"]["y"] - leg["p"]["y"]) * k, z)
+    near = F.array_min(F.transform(points, lambda p, i: F.struct(F.abs(p["z"] - z).alias("far"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
+    return F.when(F.size(points) > 0, F.when(leg.isNotNull(), hit).otherwise(vec(near["x"], near["y"], z)))

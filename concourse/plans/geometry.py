@@ -232,3 +232,57 @@ def geo14(spark: SparkSession, d: str) -> DataFrame:
     rows = polylines(spark, d).withColumn("total", g.polyline_length(F.col("points"))).where("total > 0")
     rows = rows.withColumn("left", g.remaining(F.col("points"), F.col("total") * 0.37))
     return rows.select("building_id", "space_id", F.size("left").cast("long").alias("n_points"), r6(g.polyline_length(F.col("left"))).alias("left_m"))
+
+
+@query(
+    "geo7",
+    CELLS + """, s AS (SELECT id, x1, y1, x2 - x1 AS ux, y2 - y1 AS uy, CAST(id % 3 AS DOUBLE) AS uz, x1 + 0.4 AS cx, y1 - 0.3 AS cy, 0.5 AS cz, x2 - 0.2 - (x1 + 0.4) AS vx, y3 + 0.6 - (y1 - 0.3) AS vy, id % 5 * 0.25 - 0.5 AS vz FROM v_cells),
+    m AS (SELECT *, ux*ux+uy*uy+uz*uz AS uu, vx*vx+vy*vy+vz*vz AS vv, ux*vx+uy*vy+uz*vz AS uv, ux*(x1-cx)+uy*(y1-cy)-uz*cz AS uw, vx*(x1-cx)+vy*(y1-cy)-vz*cz AS vw FROM s),
+    o AS (SELECT *, CASE WHEN abs(uu*vv - uv*uv) > 1e-12 THEN greatest(0, least(1, (uv*vw - uw*vv) / (uu*vv - uv*uv))) ELSE 0 END AS s0 FROM m), w AS (SELECT *, (uv*s0 + vw) / vv AS t0, greatest(0, least(1, (uv*s0 + vw) / vv)) AS t FROM o),
+    e AS (SELECT *, CASE WHEN t0 = t THEN s0 ELSE greatest(0, least(1, (uv*t - uw) / uu)) END AS s FROM w)
+    SELECT id, round(x1 + ux*s, 6) + 0.0 AS x, round(y1 + uy*s, 6) + 0.0 AS y, round(uz*s, 6) + 0.0 AS z, round(sqrt(pow(x1+ux*s-cx-vx*t, 2) + pow(y1+uy*s-cy-vy*t, 2) + pow(uz*s-cz-vz*t, 2)), 6) + 0.0 AS distance_m FROM e""",
+)
+def geo7(spark: SparkSession, d: str) -> DataFrame:
+    """Where a side of each triangle is closest to a segment beside it."""
+    c, e = g.vec(F.col("x1") + 0.4, F.col("y1") - 0.3, F.lit(0.5)), g.vec(F.col("x2") - 0.2, F.col("y3") + 0.6, F.col("id") % 5 * 0.25)
+    rows = corners(spark, d).select("id", g.closest_of_segments(F.col("p"), F.col("q"), c, e).alias("near"))
+    return rows.select("id", *[r6(F.col(f"near.one.{k}")).alias(k) for k in "xyz"], r6(g.distance(F.col("near.one"), F.col("near.two"))).alias("distance_m"))
+
+
+@query("geo16", CELLS + "SELECT id, round(CASE WHEN id % 3 > 0 THEN x1 + (x2 - x1) * 0.75 / (id % 3) ELSE x1 END, 6) + 0.0 AS x, round(CASE WHEN id % 3 > 0 THEN y1 + (y2 - y1) * 0.75 / (id % 3) ELSE y1 END, 6) + 0.0 AS y, 0.75::DOUBLE AS z FROM v_cells")
+def geo16(spark: SparkSession, d: str) -> DataFrame:
+    """The point at 0.75 m on the way along two sides of each triangle."""
+    at = g.point_at_elevation(F.array("p", "q", "r"), F.lit(0.75))
+    return corners(spark, d).select("id", at.alias("at")).select("id", r6(F.col("at.x")).alias("x"), r6(F.col("at.y")).alias("y"), F.col("at.z").alias("z"))
+
+
+@query(
+    "gen8",
+    LEGS + """, r AS (SELECT l.*, terrain, sum(leg) OVER (PARTITION BY l.building_id, l.space_id ORDER BY id ROWS UNBOUNDED PRECEDING) - leg AS begin_m FROM l JOIN v_cells c USING (id))
+    SELECT building_id, space_id, 'transition:' || id AS gate_id, terrain AS kind, round(begin_m, 6) + 0.0 AS distance_m, 0.6::DOUBLE AS capacity_pps, false AS is_exit FROM r WHERE terrain = 'stair'
+    UNION ALL SELECT building_id, space_id, 'exit:' || space_id, 'exit', round(total, 6) + 0.0, 1.3::DOUBLE, true FROM t""",
+)
+def gen8(spark: SparkSession, d: str) -> DataFrame:
+    """Gates of each space's polyline as a route: where a stair begins, and the exit at its end."""
+    rows = generators.gates(route_legs(spark, d), ["building_id", "space_id"], "id", F.col("terrain") == "stair")
+    name = F.when(F.col("is_exit"), F.concat(F.lit("exit:"), "space_id")).otherwise(F.concat(F.lit("transition:"), F.col("id").cast("string")))
+    return rows.select("building_id", "space_id", name.alias("gate_id"), F.when(F.col("is_exit"), "exit").otherwise(F.col("terrain")).alias("kind"), r6(F.col("distance_m")).alias("distance_m"), F.when(F.col("is_exit"), 1.3).otherwise(0.6).alias("capacity_pps"), "is_exit")
+
+
+@query(
+    "gen8b",
+    LEGS + """, r AS (SELECT l.*, terrain, sum(leg) OVER (PARTITION BY l.building_id, l.space_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS upto FROM l JOIN v_cells c USING (id))
+    SELECT building_id, space_id, id, round(upto - leg, 6) + 0.0 AS start_m, round(upto, 6) + 0.0 AS end_m, CASE WHEN terrain = 'stair' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS factor, round(leg / greatest(0.05, 1.4 * CASE WHEN terrain = 'stair' THEN 0.6 ELSE 1 END), 6) + 0.0 AS free_s FROM r""",
+)
+def gen8b(spark: SparkSession, d: str) -> DataFrame:
+    """Speed regions of the same routes, with the free travel time of each."""
+    rows = generators.regions(route_legs(spark, d), ["building_id", "space_id"], "id")
+    factor = F.when(F.col("terrain") == "stair", 0.6).otherwise(1.0)
+    return rows.select("building_id", "space_id", "id", r6(F.col("start_m")).alias("start_m"), r6(F.col("end_m")).alias("end_m"), factor.alias("factor"), r6((F.col("end_m") - F.col("start_m")) / F.greatest(F.lit(0.05), 1.4 * factor)).alias("free_s"))
+
+
+def route_legs(spark: SparkSession, d: str) -> DataFrame:
+    """The legs of each space's polyline: from the corner before, by id."""
+    w = generators.Window.partitionBy("building_id", "space_id").orderBy("id")
+    c = views.cells(spark, d).withColumns({"px": F.lag("x1").over(w), "py": F.lag("y1").over(w)})
+    return c.select("building_id", "space_id", "id", "terrain", F.coalesce(F.sqrt((F.col("x1") - F.col("px")) ** 2 + (F.col("y1") - F.col("py")) ** 2), F.lit(0.0)).alias("length_m"))
