@@ -140,3 +140,24 @@ def nearest_owners(left: DataFrame, right: DataFrame, k: int, radius: float) ->
         todo = settle(todo.join(full.select("building_id", F.col("left_id").alias("id")).distinct(), ["building_id", "id"], "left_anti"))
         radius *= 2
     return done if done is not None else near_pairs(left, right, radius).select("building_id", "left_id", F.col("right_id").alias("owner"), "d", F.lit(0).alias("rank")).limit(0)
+
+
+def snap(points: DataFrame, cells: DataFrame, radius: float, size: float = 4.0) -> DataFrame:
+    """(building_id, point_id, x, y, cell_id, distance_m): each point (building_id, id, space_id, x, y, z) on the surface of its space.
+
+    Cells lie at z = 0. A cell that contains the point takes it at the cell's height if that is within the radius; else
+    the nearest side of a cell within the radius does; points that find neither give no row. Points meet only cells
+    whose box, widened by the radius, touches their square of a grid. Ties go to the smaller cell id.
+    """
+    low = lambda k: F.floor((F.least(f"{k}1", f"{k}2", f"{k}3") - radius) / size)
+    high = lambda k: F.floor((F.greatest(f"{k}1", f"{k}2", f"{k}3") + radius) / size)
+    spread = cells.withColumn("gx", F.explode(F.sequence(low("x"), high("x")))).withColumn("gy", F.explode(F.sequence(low("y"), high("y")))).withColumnRenamed("id", "cell_id")
+    at = points.select("building_id", "space_id", F.col("id").alias("point_id"), "x", "y", "z", F.floor(F.col("x") / size).alias("gx"), F.floor(F.col("y") / size).alias("gy"))
+    p, corner = g.vec("x", "y"), [g.vec(f"x{i}", f"y{i}") for i in (1, 2, 3)]
+    near = F.array_min(F.array(*[F.struct(F.round(g.distance_xy(p, c), 9).alias("far"), F.lit(i).alias("i"), c["x"].alias("x"), c["y"].alias("y")) for i, c in enumerate(g.closest_on_segment_xy(p, corner[i], corner[(i + 1) % 3]) for i in range(3))]))
+    within = g.in_triangle_xy(p, *corner) & (F.abs("z") <= radius + 1e-9)
+    met = at.join(spread, ["building_id", "space_id", "gx", "gy"]).select("building_id", "point_id", "cell_id", "x", "y", "z", within.alias("within"), near.alias("near"))
+    away = F.when(F.col("within"), F.abs("z")).otherwise(F.round(F.sqrt(F.col("near.far") ** 2 + F.col("z") ** 2), 9))
+    met = met.select("building_id", "point_id", F.struct((~F.col("within")).alias("outside"), away.alias("distance_m"), "cell_id", F.when(F.col("within"), F.col("x")).otherwise(F.col("near.x")).alias("x"), F.when(F.col("within"), F.col("y")).otherwise(F.col("near.y")).alias("y")).alias("best"))
+    best = met.groupBy("building_id", "point_id").agg(F.min("best").alias("best")).where(F.col("best.distance_m") <= radius + 1e-9)
+    return best.select("building_id", "point_id", "best.x", "best.y", "best.cell_id", "best.distance_m")

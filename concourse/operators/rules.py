@@ -130,3 +130,29 @@ def evacuation_gate(frames: DataFrame) -> DataFrame:
     last = frames.groupBy("run_id", "agent_id").agg(F.max_by("status", F.struct("time_s", "frame_no")).alias("status"), F.max(F.when(F.col("status") == "evacuated", F.col("time_s"))).alias("out_s"))
     counted = last.groupBy("run_id").agg(F.count_if(F.col("status") == "evacuated").alias("evacuated"), F.count_if(F.col("status") != "evacuated").alias("active"), F.max("out_s").alias("clearance_s"))
     return counted.withColumn("passed", (F.col("active") == 0) & (F.coalesce("clearance_s", F.lit(0.0)) > 0))
+
+
+def unknown_crossing_portals(crossed: DataFrame, portals: DataFrame) -> DataFrame:
+    """Surface crossings (building_id, a, portal_id) that name no known portal."""
+    return issues(without(crossed, portals, "portal_id"), "SURFACE_UNKNOWN_PORTAL", "error", "a")
+
+
+def sides(first: Column, second: Column) -> Column:
+    """The set of one or two sides, without nulls."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(first, second))))
+
+
+def crossing_sides_differ(crossed: DataFrame, portals: DataFrame) -> DataFrame:
+    """Crossings (building_id, portal_id, sa, sb) whose spaces aren't the sides of their portal."""
+    known = portals.select("building_id", F.col("id").alias("portal_id"), sides(F.col("from_space_id"), F.col("to_space_id")).alias("named"))
+    met = crossed.join(known, ["building_id", "portal_id"]).where(F.col("named") != sides(F.col("sa"), F.col("sb")))
+    return issues(met, "SURFACE_PORTAL_SPACE_MISMATCH", "error", "portal_id")
+
+
+def portals_without_crossing(crossed: DataFrame, portals: DataFrame, surfaced: DataFrame) -> DataFrame:
+    """Portals between two surfaced spaces (building_id, space) that no crossing of theirs joins."""
+    p = portals.withColumn("pair", sides(F.col("from_space_id"), F.col("to_space_id"))).where(F.size("pair") == 2)
+    for side in ("from_space_id", "to_space_id"):
+        p = p.join(surfaced.withColumnRenamed("space", side), ["building_id", side], "left_semi")
+    seen = crossed.select("building_id", F.col("portal_id").alias("id"), sides(F.col("sa"), F.col("sb")).alias("pair"))
+    return issues(p.join(seen, ["building_id", "id", "pair"], "left_anti"), "SURFACE_PORTAL_MISSING_SIDE", "warning", "id")

@@ -32,7 +32,7 @@ STAIRS = LINKS + ", l2 AS (SELECT l.building_id, l.a, l.b FROM links l JOIN v_ce
 LOCAL = LINKS + ", l2 AS (SELECT l.building_id, l.a, l.b FROM links l JOIN v_cells p ON p.id = l.a JOIN v_cells q ON q.id = l.b WHERE p.space_id = q.space_id) " + REACH.format(e="l2", v="SELECT building_id, id FROM v_cells")
 
 
-@query("gr2")
+@query("gr2", LINKS + REACH.format(e="links", v="SELECT building_id, id FROM v_cells") + "SELECT building_id, id, component FROM label")
 def gr2(spark: SparkSession, d: str) -> DataFrame:
     c = views.cells(spark, d)
     return graph.components(c.select("building_id", "id"), joins.shared_sides(c))

@@ -160,3 +160,50 @@ def jn23(spark: SparkSession, d: str) -> DataFrame:
 def jn24(spark: SparkSession, d: str) -> DataFrame:
     sides = views.edges(spark, d).groupBy("building_id", F.col("b").alias("portal_id")).agg(F.array_sort(F.collect_set("a")).alias("s")).where(F.size("s") >= 2)
     return sides.select("building_id", "portal_id", F.col("s")[0].alias("first_space"), F.col("s")[1].alias("second_space"))
+
+
+# points of spaces, some beside their surfaces
+IN_SPACES = with_views("v_points", "v_cells") + """, p AS (SELECT building_id, id, 'Brand#' || (1 + id % 5) || (1 + id // 5 % 5) AS space_id, x + 10 AS x, y + 10 AS y, (id % 4) * 0.5::DOUBLE AS z FROM v_points) """
+
+
+def in_spaces(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("Brand#"), (1 + F.col("id") % 5).cast("string"), (1 + F.expr("id div 5") % 5).cast("string"))
+    return views.points(spark, d).select("building_id", "id", name.alias("space_id"), (F.col("x") + 10).alias("x"), (F.col("y") + 10).alias("y"), (F.col("id") % 4 * 0.5).cast("double").alias("z"))
+
+
+def _on_side(i: int, j: int) -> str:
+    k = f"greatest(0, least(1, ((x-x{i})*(x{j}-x{i}) + (y-y{i})*(y{j}-y{i})) / ((x{j}-x{i})*(x{j}-x{i}) + (y{j}-y{i})*(y{j}-y{i}))))"
+    return f"SELECT building_id, point_id, cell_id, z, {i} AS side, x{i} + {k} * (x{j}-x{i}) AS sx, y{i} + {k} * (y{j}-y{i}) AS sy, x, y FROM c"
+
+
+SNAP = IN_SPACES + f""", c AS (SELECT p.building_id, p.id AS point_id, p.x, p.y, p.z, c.id AS cell_id, x1, y1, x2, y2, x3, y3, (x2-x1)*(y-y1)-(y2-y1)*(x-x1) AS a, (x3-x2)*(y-y2)-(y3-y2)*(x-x2) AS b, (x1-x3)*(y-y3)-(y1-y3)*(x-x3) AS e FROM p JOIN v_cells c USING (building_id, space_id)),
+    i AS (SELECT building_id, point_id, cell_id, false AS outside, z AS away, 0 AS side, x AS sx, y AS sy FROM c WHERE ((a >= -1e-9 AND b >= -1e-9 AND e >= -1e-9) OR (a <= 1e-9 AND b <= 1e-9 AND e <= 1e-9))),
+    s AS ({_on_side(1, 2)} UNION ALL {_on_side(2, 3)} UNION ALL {_on_side(3, 1)}), o AS (SELECT building_id, point_id, cell_id, true AS outside, round(sqrt(pow(round(sqrt(pow(x-sx, 2) + pow(y-sy, 2)), 9), 2) + z*z), 9) AS away, side, sx, sy FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY building_id, point_id ORDER BY outside, away, cell_id, side) AS k FROM (SELECT * FROM i UNION ALL SELECT * FROM o)) """
+
+
+@query("jn12", SNAP + "SELECT building_id, point_id, round(sx, 6) + 0.0 AS x, round(sy, 6) + 0.0 AS y, cell_id, round(away, 6) + 0.0 AS distance_m FROM r WHERE k = 1 AND away <= 3 + 1e-9")
+def jn12(spark: SparkSession, d: str) -> DataFrame:
+    """Points put on the surface of their space, within 3 m."""
+    found = joins.snap(in_spaces(spark, d), views.cells(spark, d), 3.0)
+    return found.select("building_id", "point_id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "cell_id", r6(F.col("distance_m")).alias("distance_m"))
+
+
+@query(
+    "jn14",
+    SNAP + """, w AS (SELECT building_id, id AS point_id, x, y, z FROM p), l AS (SELECT w.building_id, point_id, min(c.id) AS cell_id FROM w JOIN v_cells c USING (building_id) WHERE ((x2-x1)*(y-y1)-(y2-y1)*(x-x1) >= -1e-9 AND (x3-x2)*(y-y2)-(y3-y2)*(x-x2) >= -1e-9 AND (x1-x3)*(y-y3)-(y1-y3)*(x-x3) >= -1e-9) OR ((x2-x1)*(y-y1)-(y2-y1)*(x-x1) <= 1e-9 AND (x3-x2)*(y-y2)-(y3-y2)*(x-x2) <= 1e-9 AND (x1-x3)*(y-y3)-(y1-y3)*(x-x3) <= 1e-9) GROUP BY 1, 2),
+    n AS (SELECT a.building_id, a.id AS point_id, b.id AS node_id, row_number() OVER (PARTITION BY a.building_id, a.id ORDER BY sqrt(pow(a.x-b.x, 2) + pow(a.y-b.y, 2) + pow(a.z-b.z, 2)), b.id) AS k FROM p a JOIN p b ON a.building_id = b.building_id AND a.id <> b.id AND sqrt(pow(a.x-b.x, 2) + pow(a.y-b.y, 2) + pow(a.z-b.z, 2)) <= 3.0)
+    SELECT w.building_id, w.point_id, CASE WHEN l.cell_id IS NOT NULL THEN 'cell' WHEN r.cell_id IS NOT NULL THEN 'side' WHEN n.node_id IS NOT NULL THEN 'node' ELSE 'none' END AS found_by, coalesce(l.cell_id, r.cell_id, n.node_id) AS found_id
+    FROM w LEFT JOIN l ON l.building_id = w.building_id AND l.point_id = w.point_id LEFT JOIN r ON r.building_id = w.building_id AND r.point_id = w.point_id AND r.k = 1 AND r.away <= 3 + 1e-9 LEFT JOIN n ON n.building_id = w.building_id AND n.point_id = w.point_id AND n.k = 1""",
+)
+def jn14(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of routes: the cell that holds the point, else the near side of a cell of its space, else the nearest node within 3 m."""
+    p, c = in_spaces(spark, d), views.cells(spark, d)
+    cell = joins.locate(p, c).select("building_id", "point_id", F.col("cell_id").alias("in_cell"))
+    side = joins.snap(p, c, 3.0).select("building_id", "point_id", F.col("cell_id").alias("at_side"))
+    node = joins.radius_nearest(p, p, 3.0, 1).select("building_id", "point_id", F.col("near_id").alias("node"))
+    rows = p.select("building_id", F.col("id").alias("point_id"))
+    for more in (cell, side, node):
+        rows = rows.join(more, ["building_id", "point_id"], "left")
+    how = F.when(F.col("in_cell").isNotNull(), "cell").when(F.col("at_side").isNotNull(), "side").when(F.col("node").isNotNull(), "node").otherwise("none")
+    return rows.select("building_id", "point_id", how.alias("found_by"), F.coalesce("in_cell", "at_side", "node").alias("found_id"))

@@ -267,3 +267,34 @@ def v36(spark: SparkSession, d: str) -> DataFrame:
 def v41(spark: SparkSession, d: str) -> DataFrame:
     """The evacuation gate: all are out at their last frame, and it took time."""
     return rules.evacuation_gate(views.frames(spark, d))
+
+
+# crossings of the surface between spaces, with the portal that each names; spaces by the number of their brand
+CROSSED = LINKS + f""", v_spaces AS ({views.SQL["v_spaces"]}), v_portals AS ({views.SQL["v_portals"]}),
+    x AS (SELECT h.building_id, a, b, 'd' || (a % 60) AS portal_id, CAST(substr(p.space_id, 7) AS BIGINT) AS sa, CAST(substr(q.space_id, 7) AS BIGINT) AS sb FROM h JOIN v_cells p ON p.id = a JOIN v_cells q ON q.id = b WHERE p.space_id <> q.space_id) """
+
+
+def crossed(spark: SparkSession, d: str) -> DataFrame:
+    c = views.cells(spark, d)
+    number = lambda end, side: c.select(F.col("id").alias(end), F.substring("space_id", 7, 9).cast("long").alias(side))
+    both = joins.triangle_sides(c).groupBy("building_id", "key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n = 2")
+    return both.join(number("a", "sa"), "a").join(number("b", "sb"), "b").where("sa <> sb").select("building_id", "a", "b", F.concat(F.lit("d"), (F.col("a") % 60).cast("string")).alias("portal_id"), "sa", "sb")
+
+
+@query("v29", CROSSED + issue("SURFACE_UNKNOWN_PORTAL", "error", "a", "x WHERE NOT EXISTS (SELECT 1 FROM v_portals p WHERE p.id = x.portal_id AND p.building_id = x.building_id)"))
+def v29(spark: SparkSession, d: str) -> DataFrame:
+    return rules.unknown_crossing_portals(crossed(spark, d), views.portals(spark, d))
+
+
+@query("v30", CROSSED + issue("SURFACE_PORTAL_SPACE_MISMATCH", "error", "portal_id", "x JOIN v_portals p ON p.id = x.portal_id AND p.building_id = x.building_id WHERE NOT (to_space_id IS NOT NULL AND ((from_space_id = sa AND to_space_id = sb) OR (from_space_id = sb AND to_space_id = sa)))", "x.building_id"))
+def v30(spark: SparkSession, d: str) -> DataFrame:
+    return rules.crossing_sides_differ(crossed(spark, d), views.portals(spark, d))
+
+
+@query(
+    "v32",
+    CROSSED + ", f AS (SELECT DISTINCT building_id, CAST(substr(space_id, 7) AS BIGINT) AS space FROM v_cells) " + issue("SURFACE_PORTAL_MISSING_SIDE", "warning", "id", "v_portals p WHERE from_space_id <> to_space_id AND EXISTS (SELECT 1 FROM f WHERE f.building_id = p.building_id AND space = from_space_id) AND EXISTS (SELECT 1 FROM f WHERE f.building_id = p.building_id AND space = to_space_id) AND NOT EXISTS (SELECT 1 FROM x WHERE x.building_id = p.building_id AND x.portal_id = p.id AND ((from_space_id = sa AND to_space_id = sb) OR (from_space_id = sb AND to_space_id = sa)))"),
+)
+def v32(spark: SparkSession, d: str) -> DataFrame:
+    surfaced = views.cells(spark, d).select("building_id", F.substring("space_id", 7, 9).cast("long").alias("space")).distinct()
+    return rules.portals_without_crossing(crossed(spark, d), views.portals(spark, d), surfaced)
