@@ -83,10 +83,10 @@ def snk4(spark: SparkSession, d: str) -> DataFrame:
     return views.results(spark, d).groupBy("tier").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "fail").alias("failed"))
 
 
-@query("chk1", FILES + "SELECT id, array_to_string(list_filter([CASE WHEN strlen(content) <> size_bytes THEN 'size' END, CASE WHEN sha256(content) <> sha256 THEN 'sha256' END], lambda x: x IS NOT NULL), ',') AS failures, sha1(('blob ' || strlen(content))::BLOB || '\\x00'::BLOB || content::BLOB) AS git_sha1 FROM v_files WHERE regexp_matches(content, '^[\\x20-\\x7E\\n]*$')")
+@query("chk1", FILES + "SELECT id, array_to_string(list_filter([CASE WHEN strlen(content) <> size_bytes THEN 'size' END, CASE WHEN sha256(content) <> sha256 THEN 'sha256' END], lambda x: x IS NOT NULL), ',') AS failures, sha1(encode('blob ' || strlen(content)) || '\\x00'::BLOB || encode(content)) AS git_sha1 FROM v_files")
 def chk1(spark: SparkSession, d: str) -> DataFrame:
-    """Size, SHA-256 and git's blob hash of ASCII contents against what is expected of them."""
-    f = views.files(spark, d).where(F.col("content").rlike(r"\A[\x20-\x7E\n]*\z"))
+    """Size, SHA-256 and git's blob hash of the bytes of all contents against what is expected of them."""
+    f = views.files(spark, d)
     c = F.col("content").cast("binary")
     failures = F.array_compact(F.array(F.when(F.octet_length("content") != F.col("size_bytes"), "size"), F.when(F.sha2(c, 256) != F.col("sha256"), "sha256")))
     blob = F.concat(F.concat(F.lit("blob "), F.octet_length("content").cast("string")).cast("binary"), F.expr("X'00'"), c)
