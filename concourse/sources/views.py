@@ -33,7 +33,7 @@ def spaces(spark: SparkSession, d: str) -> DataFrame:
 def transitions(spark: SparkSession, d: str) -> DataFrame:
     """Directed space graph: building_id, from_id, to_id, bidirectional."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(spark, d, "lineitem").where("l_partkey % 12 = 0").select(F.col("l_suppkey").alias("from_id"), F.lead("l_suppkey").over(order).alias("to_id"), "l_returnflag")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("from_id"), F.lead("l_suppkey").over(order).alias("to_id"), "l_returnflag")
     s = spaces(spark, d)
     ends = rows.join(s.select(F.col("id").alias("from_id"), "building_id"), "from_id").join(s.select(F.col("id").alias("to_id"), F.col("building_id").alias("to_building")), "to_id")
     return ends.where("building_id = to_building and from_id <> to_id").groupBy("building_id", "from_id", "to_id").agg((F.min("l_returnflag") != "N").alias("bidirectional"))
@@ -103,7 +103,7 @@ SQL = {
     "v_levels": "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS building_id, 3.0::DOUBLE * (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS elevation_m FROM nation",
     "v_spaces": "SELECT s_suppkey AS id, n_regionkey AS building_id, s_nationkey AS level_id, s_name AS name, s_acctbal < 500 AS is_exit, s_acctbal AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "v_transitions": """SELECT p.building_id, from_id, to_id, min(l_returnflag) <> 'N' AS bidirectional FROM (
-        SELECT l_suppkey AS from_id, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS to_id, l_returnflag FROM lineitem WHERE l_partkey % 12 = 0) t
+        SELECT l_suppkey AS from_id, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS to_id, l_returnflag FROM lineitem) t
         JOIN v_spaces p ON p.id = from_id JOIN v_spaces q ON q.id = to_id WHERE p.building_id = q.building_id AND from_id <> to_id GROUP BY 1, 2, 3""",
     "v_points": "SELECT vec_id AS id, label AS building_id, CAST(embedding[1] AS DOUBLE) * 10 AS x, CAST(embedding[2] AS DOUBLE) * 10 AS y, 0.0::DOUBLE AS z FROM embeddings",
     "v_cells": """SELECT p_partkey * 2 + k AS id, p_partkey // 400 AS building_id, p_brand AS space_id, CASE WHEN p_size % 10 = 0 THEN 'stair' ELSE 'open' END AS terrain,
