@@ -69,7 +69,8 @@ def bucket_components(members: DataFrame, keyed: DataFrame, ratio: float, verify
     members = members.withColumns({"c": F.col("id"), "depth": F.lit(0), "at": F.lit(-1)})
     step = 0
     while True:
-        members = _open(members, label)
+        if step:  # before the first links every shared bucket is open
+            members = _open(members, label)
         if members.isEmpty():
             return label if label is not None else keyed.select("id", F.col("id").alias("component")).where(F.lit(False))
         part = F.lit(0).cast("long") if step < 2 else F.when(F.col("m") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(PIVOTS)))
@@ -91,11 +92,9 @@ def bucket_components(members: DataFrame, keyed: DataFrame, ratio: float, verify
         step += 1
 
 
-def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     """Members with their component c, of buckets that lie in more than one component; m: the bucket's members."""
-    now = members.drop("m")
-    if label is not None:
-        now = settle(now.drop("c").join(label.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id")), members)
+    now = settle(members.drop("m", "c").join(label.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id")), members)
     several = settle(now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("k", "m"))
     return settle(now.join(several, "k"), now, several)
 
@@ -115,7 +114,9 @@ def _split(members: DataFrame, keyed: DataFrame) -> DataFrame:
 
 
 def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels with new links: components of the links between old components, carried over to their members."""
+    """Labels with new links: components of the links between old components, carried over to their members. A round without links leaves the labels as they are."""
+    if label is not None and links.isEmpty():
+        return label
     if label is None:
         return settle(connected_components(links, "a", "b"))
     old = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
