@@ -161,3 +161,31 @@ def snap(points: DataFrame, cells: DataFrame, radius: float, size: float = 4.0)
     met = met.select("building_id", "point_id", F.struct((~F.col("within")).alias("outside"), away.alias("distance_m"), "cell_id", F.when(F.col("within"), F.col("x")).otherwise(F.col("near.x")).alias("x"), F.when(F.col("within"), F.col("y")).otherwise(F.col("near.y")).alias("y")).alias("best"))
     best = met.groupBy("building_id", "point_id").agg(F.min("best").alias("best")).where(F.col("best.distance_m") <= radius + 1e-9)
     return best.select("building_id", "point_id", "best.x", "best.y", "best.cell_id", "best.distance_m")
+
+
+def closest_cells(points: DataFrame, cells: DataFrame, radius: float = 2.0) -> DataFrame:
+    """(building_id, point_id, x, y, cell_id, distance_m): the cell nearest to each point of any space, however far; points of buildings without cells give no row.
+
+    The radius doubles, and with it the squares of the grid, for points that have met no cell yet.
+    """
+    all_ = cells.withColumn("space_id", F.lit(""))
+    held = points.join(cells.select("building_id").distinct(), "building_id", "left_semi")
+    todo, done = settle(held.select("building_id", "id", F.lit("").alias("space_id"), "x", "y", "z")), None
+    while not todo.isEmpty():
+        found = settle(snap(todo, all_, radius, 2 * radius))
+        done = found if done is None else done.unionByName(found)
+        todo = settle(todo.join(found.select("building_id", F.col("point_id").alias("id")), ["building_id", "id"], "left_anti"))
+        radius *= 2
+    return done if done is not None else snap(points, all_, radius)
+
+
+def attached(doors: DataFrame, nodes: DataFrame, radius: float = 2.5, k: int = 3, fallback: int = 6) -> DataFrame:
+    """(building_id, point_id, near_id, d): nodes to which each door (building_id, id, x, y, z, spaces) is attached: the k nearest of each space that it connects within the radius; a door without any takes the nearest `fallback` nodes (building_id, id, x, y, z, space_id) of its building, however far."""
+    space = nodes.select("building_id", F.col("id").alias("right_id"), "space_id")
+    open_to = doors.select("building_id", F.col("id").alias("left_id"), F.explode(F.array_distinct("spaces")).alias("space_id"))
+    pairs = near_pairs(doors, nodes, radius).join(space, ["building_id", "right_id"]).join(open_to, ["building_id", "left_id", "space_id"], "left_semi")
+    order = Window.partitionBy("building_id", "left_id", "space_id").orderBy("d", "right_id")
+    near = settle(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("building_id", F.col("left_id").alias("point_id"), F.col("right_id").alias("near_id"), "d"))
+    lone = doors.join(near.select("building_id", F.col("point_id").alias("id")).distinct(), ["building_id", "id"], "left_anti")
+    far = nearest_owners(lone, nodes.withColumn("owner", F.col("id")), fallback, radius)
+    return near.unionByName(far.select("building_id", F.col("left_id").alias("point_id"), F.col("owner").alias("near_id"), "d"))

@@ -156,3 +156,9 @@ def portals_without_crossing(crossed: DataFrame, portals: DataFrame, surfaced: D
         p = p.join(surfaced.withColumnRenamed("space", side), ["building_id", side], "left_semi")
     seen = crossed.select("building_id", F.col("portal_id").alias("id"), sides(F.col("sa"), F.col("sb")).alias("pair"))
     return issues(p.join(seen, ["building_id", "id", "pair"], "left_anti"), "SURFACE_PORTAL_MISSING_SIDE", "warning", "id")
+
+
+def gates(stats: DataFrame, least: dict[str, float]) -> DataFrame:
+    """(building_id, metric, actual, least, passed): a row for each threshold of a report row per building; a null statistic fails."""
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("actual"), F.lit(float(v)).alias("least")) for m, v in least.items()]))
+    return stats.select("building_id", named.alias("g")).select("building_id", "g.*", F.coalesce(F.col("g.actual") >= F.col("g.least"), F.lit(False)).alias("passed"))

@@ -107,10 +107,18 @@ def jn16(spark: SparkSession, d: str) -> DataFrame:
     return joins.radius_nearest(p, p.where("id % 10 = 0"), 2.0, 1).withColumn("d", r6(F.col("d")))
 
 
-@query("jn17", NEAR.format(POINTS, DIST, "p.id % 20 = 0 AND q.id % 20 <> 0", 2.5, 3))
+DOORS = POINTS + f""", dn AS (SELECT p.building_id, p.id AS point_id, q.id AS near_id, q.id % 7 AS space_id, q.id % 7 IN (p.id // 20 % 7, (p.id // 20 + 3) % 7) AS open, {DIST} AS d FROM v_points p JOIN v_points q ON p.building_id = q.building_id WHERE p.id % 20 = 0 AND q.id % 20 <> 0),
+    near AS (SELECT building_id, point_id, near_id, d FROM (SELECT *, row_number() OVER (PARTITION BY building_id, point_id, space_id ORDER BY d, near_id) AS k FROM dn WHERE open AND d <= 2.5) WHERE k <= 3),
+    far AS (SELECT building_id, point_id, near_id, d FROM (SELECT *, row_number() OVER (PARTITION BY building_id, point_id ORDER BY d, near_id) AS k FROM dn x WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.building_id = x.building_id AND n.point_id = x.point_id)) WHERE k <= 6) """
+
+
+@query("jn17", DOORS + "SELECT building_id, point_id, near_id, round(d, 6) AS d FROM (SELECT * FROM near UNION ALL SELECT * FROM far)")
 def jn17(spark: SparkSession, d: str) -> DataFrame:
+    """Doors attached to the nodes of the two spaces that they connect, else to the nearest six."""
     p = views.points(spark, d)
-    return joins.radius_nearest(p.where("id % 20 = 0"), p.where("id % 20 <> 0"), 2.5, 3).withColumn("d", r6(F.col("d")))
+    number = F.expr("id div 20")
+    doors = p.where("id % 20 = 0").withColumn("spaces", F.array(number % 7, (number + 3) % 7))
+    return joins.attached(doors, p.where("id % 20 <> 0").withColumn("space_id", F.col("id") % 7)).withColumn("d", r6(F.col("d")))
 
 
 @query("jn18", with_views("v_spaces", "v_portals", "v_transitions") + "SELECT p.building_id, 'transition:' || p.id AS id, p.from_space_id, p.to_space_id, s.level_id AS from_level_id, t.level_id AS to_level_id FROM v_portals p LEFT JOIN v_spaces s ON s.id = p.from_space_id LEFT JOIN v_spaces t ON t.id = p.to_space_id WHERE NOT EXISTS (SELECT 1 FROM v_transitions x WHERE x.from_id = p.from_space_id AND x.building_id = p.building_id)")
@@ -207,3 +215,10 @@ def jn14(spark: SparkSession, d: str) -> DataFrame:
         rows = rows.join(more, ["building_id", "point_id"], "left")
     how = F.when(F.col("in_cell").isNotNull(), "cell").when(F.col("at_side").isNotNull(), "side").when(F.col("node").isNotNull(), "node").otherwise("none")
     return rows.select("building_id", "point_id", how.alias("found_by"), F.coalesce("in_cell", "at_side", "node").alias("found_id"))
+
+
+@query("jn13", SNAP.replace("USING (building_id, space_id)", "USING (building_id)") + "SELECT building_id, point_id, cell_id, round(away, 6) + 0.0 AS distance_m FROM r WHERE k = 1")
+def jn13(spark: SparkSession, d: str) -> DataFrame:
+    """The cell nearest to each point, whatever its space and however far."""
+    found = joins.closest_cells(in_spaces(spark, d), views.cells(spark, d))
+    return found.select("building_id", "point_id", "cell_id", r6(F.col("distance_m")).alias("distance_m"))

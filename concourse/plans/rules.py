@@ -298,3 +298,31 @@ def v30(spark: SparkSession, d: str) -> DataFrame:
 def v32(spark: SparkSession, d: str) -> DataFrame:
     surfaced = views.cells(spark, d).select("building_id", F.substring("space_id", 7, 9).cast("long").alias("space")).distinct()
     return rules.portals_without_crossing(crossed(spark, d), views.portals(spark, d), surfaced)
+
+
+FAULTS = ", faults AS (SELECT building_id, count(*) FILTER (WHERE s = 'error') AS errors, count(*) FILTER (WHERE s = 'warning') AS warnings FROM (SELECT building_id, 'error' AS s FROM v_node_edges WHERE distance_m < 0 UNION ALL SELECT building_id, 'warning' FROM v_node_edges WHERE a = b) GROUP BY 1) "
+LEAST = {"nodes": 10, "edges": 50, "portals": 8, "exits": 1, "spaces": 15}
+
+
+@query(
+    "v39",
+    MODEL + ", b AS (SELECT DISTINCT building_id FROM v_levels), m AS (" + " UNION ALL ".join(f"SELECT b.building_id, '{m}' AS metric, (SELECT count(*) FROM {v} x WHERE x.building_id = b.building_id{w})::DOUBLE AS actual, {float(LEAST[m])}::DOUBLE AS least FROM b" for m, v, w in (("nodes", "v_nodes", ""), ("edges", "v_node_edges", ""), ("portals", "v_portals", ""), ("exits", "v_portals", " AND is_exit"), ("spaces", "v_spaces", ""))) + ") SELECT *, actual >= least AS passed FROM m",
+)
+def v39(spark: SparkSession, d: str) -> DataFrame:
+    """The reference gate: a row for each threshold on the statistics of a building."""
+    from .aggregates import agg1
+
+    return rules.gates(agg1(spark, d), LEAST)
+
+
+@query(
+    "v42",
+    MODEL.rstrip() + TRANS[TRANS.index(", arcs AS") :] + ", seen AS (SELECT building_id, id FROM v_spaces WHERE is_exit UNION SELECT a.building_id, a.a FROM seen s JOIN arcs a ON a.building_id = s.building_id AND a.b = s.id), lost AS (SELECT building_id, count(*) AS n FROM v_spaces s WHERE id % 9 <> 0 AND NOT EXISTS (SELECT 1 FROM seen x WHERE x.building_id = s.building_id AND x.id = s.id) GROUP BY 1)" + FAULTS + "SELECT b.building_id, coalesce(errors, 0) = 0 AS valid, coalesce(errors, 0) = 0 AND coalesce(warnings, 0) = 0 AS ready, coalesce(n, 0) AS unreachable, coalesce(errors, 0) = 0 AND coalesce(warnings, 0) = 0 AND coalesce(n, 0) = 0 AS passed FROM (SELECT DISTINCT building_id FROM v_levels) b LEFT JOIN faults USING (building_id) LEFT JOIN lost USING (building_id)",
+)
+def v42(spark: SparkSession, d: str) -> DataFrame:
+    """The build gate: valid, ready, and no space that needs a way out lacks one; every ninth space is outside and needs none."""
+    from .graphs import gr9
+
+    lost = views.spaces(spark, d).where("id % 9 <> 0").select("building_id", "id").join(gr9(spark, d), ["building_id", "id"], "left_anti").groupBy("building_id").agg(F.count("*").alias("n"))
+    out = v37(spark, d).join(lost, "building_id", "left").select("building_id", "valid", F.col("navigation_ready").alias("ready"), F.coalesce("n", F.lit(0)).cast("long").alias("unreachable"))
+    return out.withColumn("passed", F.col("valid") & F.col("ready") & (F.col("unreachable") == 0))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..registry import query
+from ..sources import views
 from ..sources.views import STATUS, with_views
 from ..streaming import live
+from .graphs import TRANS
 
 FRAMES = with_views("v_frames")
 
@@ -68,3 +71,19 @@ def st9(spark: SparkSession, d: str) -> DataFrame:
     """Frames that advance the time of their agent."""
     f = frames(spark, d).withColumn("agent_id", F.col("agent_id").cast("long"))
     return live.run_to_table(live.advancing(f), "append")
+
+
+@query("st7", TRANS + ", latest AS (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) = 'error' AS blocked FROM events GROUP BY 1), ways AS (SELECT * FROM arcs WHERE b NOT IN (SELECT id FROM latest WHERE blocked)), seen AS (SELECT building_id, id FROM v_spaces WHERE is_exit UNION SELECT w.building_id, w.a FROM seen s JOIN ways w ON w.building_id = s.building_id AND w.b = s.id) SELECT building_id, id FROM seen")
+def st7(spark: SparkSession, d: str) -> DataFrame:
+    """Spaces with a way out, kept up to date while events block spaces (errors) and open them (all others)."""
+    s = views.spaces(spark, d)
+    e = live.events_stream(spark, d).select(F.col("user_id").alias("id"), F.struct(F.unix_micros(F.to_timestamp(F.col("ts"))).alias("us"), "event_id").alias("at"), (F.col("event_type") == "error").alias("blocked"))
+    changes = e.join(s.select("id", "building_id"), "id")
+    return live.refreshed_reach(changes, s.where("is_exit"), graph.space_arcs(views.transitions(spark, d)))
+
+
+@query("st8", "WITH m AS (SELECT user_id AS agent_id, event_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) SELECT agent_id, event_id, epoch_us(ts) AS us, coalesce(ts < before - INTERVAL 1 DAY, false) AS late FROM m")
+def st8(spark: SparkSession, d: str) -> DataFrame:
+    """Frames with a mark on those that come more than a day late."""
+    f = frames(spark, d).withColumn("agent_id", F.col("agent_id").cast("long"))
+    return live.run_to_table(live.split_late(f, 86_400_000_000), "append")

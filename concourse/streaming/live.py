@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.evacuation import WAITING, status_group
-from ..operators.graph import shared_dir
+from ..operators.graph import reachable, shared_dir
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,3 +76,52 @@ def longest_queues(changes: DataFrame) -> DataFrame:
         yield pd.DataFrame({"gate_id": [key[0]], "length": [length], "longest": [longest]})
 
     return changes.groupBy("gate_id").applyInPandasWithState(run, "gate_id long, length long, longest long", "length long, longest long", "update", GroupStateTimeout.NoTimeout)
+
+
+def split_late(frames: DataFrame, delay_us: int) -> DataFrame:
+    """(agent_id, event_id, us, late) of every frame: late, if its time lies more than delay_us behind the latest before it of that agent, in order of event_id; the state is that latest time.
+
+    A late frame goes to a table of its own by `late`; it moves no state.
+    """
+
+    def keep(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(chunks)).sort_values("event_id", kind="stable")
+        last = state.get[0] if state.exists else -(2**62)
+        before = rows["us"].cummax().shift(fill_value=last).clip(lower=last)
+        state.update((max(int(last), int(rows["us"].max())),))
+        yield rows.assign(late=rows["us"] < before - delay_us)[["agent_id", "event_id", "us", "late"]]
+
+    rows = frames.select("agent_id", "event_id", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("agent_id").applyInPandasWithState(keep, "agent_id long, event_id long, us long, late boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def refreshed_reach(changes: DataFrame, exits: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(building_id, id) from which an exit (building_id, id) can be reached, after a stream of changes (building_id, id, at, blocked) of spaces.
+
+    Each batch keeps the latest change of a space, and walks back from the exits only in buildings in which what is
+    blocked has changed; the others keep their rows. No way enters a blocked space. A batch that is run again writes the
+    same folder again, and the one before it stays until the stream ends.
+    """
+    spark = changes.sparkSession
+    at = f"{shared_dir(spark)}/reach-{uuid.uuid4().hex}"
+    back = arcs.select("building_id", F.col("b").alias("a"), F.col("a").alias("b"))
+    reachable(exits, back).write.parquet(f"{at}/reach-now=-1")
+    last = [-1]
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy("building_id", "id").agg(F.max(F.struct("at", "blocked")).alias("x")).select("building_id", "id", "x.at", "x.blocked")
+        before = spark.read.parquet(f"{at}/state-now={number - 1}") if number else new.limit(0)
+        state = before.unionByName(new).groupBy("building_id", "id").agg(F.max(F.struct("at", "blocked")).alias("x")).select("building_id", "id", "x.at", "x.blocked")
+        state.write.mode("overwrite").parquet(f"{at}/state-now={number}")
+        state = spark.read.parquet(f"{at}/state-now={number}")
+        shut, was = state.where("blocked").select("building_id", "id"), before.where("blocked").select("building_id", "id")
+        changed = shut.exceptAll(was).unionByName(was.exceptAll(shut)).select("building_id").distinct()
+        # backwards a way enters the space that an arc leads from: it is the arc's end that must be open
+        ways = back.join(changed, "building_id", "left_semi").join(shut.withColumnRenamed("id", "a"), ["building_id", "a"], "left_anti")
+        fresh = reachable(exits.join(changed, "building_id", "left_semi"), ways)
+        kept = spark.read.parquet(f"{at}/reach-now={number - 1}").join(changed, "building_id", "left_anti")
+        kept.unionByName(fresh).write.mode("overwrite").parquet(f"{at}/reach-now={number}")
+        last[0] = number
+
+    changes.writeStream.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(refresh).start().awaitTermination()
+    return spark.read.parquet(f"{at}/reach-now={last[0]}")
