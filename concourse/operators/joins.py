@@ -189,3 +189,27 @@ def attached(doors: DataFrame, nodes: DataFrame, radius: float = 2.5, k: int = 3
     lone = doors.join(near.select("building_id", F.col("point_id").alias("id")).distinct(), ["building_id", "id"], "left_anti")
     far = nearest_owners(lone, nodes.withColumn("owner", F.col("id")), fallback, radius)
     return near.unionByName(far.select("building_id", F.col("left_id").alias("point_id"), F.col("owner").alias("near_id"), "d"))
+
+
+def transfer_anchors(transfers: DataFrame, cells: DataFrame, radius: float = 3.0) -> DataFrame:
+    """(building_id, id, from_cell, to_cell, points, length_m): transfers (building_id, id, x, y, z, from_space_id, to_space_id) through a portal at x, y, z, anchored on the surfaces of both spaces.
+
+    The points lead from the one anchor over the portal to the other, without repeats. A transfer that finds no surface
+    within the radius on either side gives no row.
+    """
+    at = transfers.select("building_id", "id", "x", "y", "z", F.explode(F.array(*[F.struct(F.lit(end).alias("end"), F.col(f"{end}_space_id").alias("space_id")) for end in ("from", "to")])).alias("s"))
+    found = snap(at.select("building_id", F.struct("id", "s.end").alias("id"), "s.space_id", "x", "y", "z"), cells, radius)
+    side = lambda end: found.where(F.col("point_id.end") == end).select("building_id", F.col("point_id.id").alias("id"), F.col("cell_id").alias(f"{end}_cell"), g.vec("x", "y").alias(f"{end}_p"))
+    met = transfers.join(side("from"), ["building_id", "id"]).join(side("to"), ["building_id", "id"])
+    points = g.without_repeats(F.array("from_p", g.vec("x", "y", "z"), "to_p"))
+    return met.select("building_id", "id", "from_cell", "to_cell", points.alias("points"), g.polyline_length(F.array("from_p", g.vec("x", "y", "z"), "to_p")).alias("length_m"))
+
+
+def side_middles(cells: DataFrame) -> DataFrame:
+    """(building_id, a, b, m): the middle of the side that two triangles share, both ways; of several sides the one of least key."""
+    c = [g.vec(f"x{i}", f"y{i}") for i in (1, 2, 3)]
+    ends = [(c[i], c[(i + 1) % 3]) for i in range(3)]
+    sides = cells.select("building_id", "id", F.explode(F.array(*[F.struct(g.edge_key(p, q).alias("key"), g.vec((p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2).alias("m")) for p, q in ends])).alias("s"))
+    two = sides.groupBy("building_id", "s.key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.first("s.m").alias("m")).where("n = 2 and a <> b")
+    one = two.groupBy("building_id", "a", "b").agg(F.min_by("m", "key").alias("m"))
+    return one.unionByName(one.select("building_id", F.col("b").alias("a"), F.col("a").alias("b"), "m"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .joins import side_middles
 
 
 def corridor_arcs(cells: DataFrame, links: DataFrame, stair: float = 1.25, ramp: float = 1.1) -> DataFrame:
@@ -43,3 +44,21 @@ def diameter_pairs(points: DataFrame) -> DataFrame:
     first = p.groupBy("building_id").agg(F.min(F.struct("id", "p")).alias("x")).select("building_id", F.col("x.id").alias("a"), F.col("x.p").alias("pa"))
     one = farthest(first).select("building_id", F.col("x.id").alias("a"), F.col("x.p").alias("pa"))
     return farthest(one).select("building_id", "a", F.col("x.id").alias("b"), (-F.col("x.d")).alias("d"))
+
+
+def midpoint_routes(corridors: DataFrame, cells: DataFrame) -> DataFrame:
+    """(building_id, source, id, points, length_m) of corridors (building_id, source, id, path) of cells: from the middle of the first cell over the middles of the sides that are crossed to that of the last, without points on a straight line.
+
+    The legs of all corridors meet the sides in one join; a corridor is put together again from its own legs only.
+    """
+    key = ["building_id", "source", "id"]
+    middle = cells.select("building_id", F.col("id").alias("cell"), g.centroid(*[g.vec(f"x{i}", f"y{i}") for i in (1, 2, 3)]).alias("p"))
+    last = F.size("path") - 1
+    ends = corridors.select(*key, F.explode(F.array(F.struct(F.lit(-1).alias("seq"), F.col("path")[0].alias("cell")), F.struct(last.alias("seq"), F.element_at("path", -1).alias("cell")))).alias("e"))
+    ends = ends.select(*key, "e.seq", "e.cell").join(middle, ["building_id", "cell"]).select(*key, "seq", "p")
+    steps = F.transform(F.slice("path", 1, last), lambda a, i: F.struct(i.alias("seq"), a.alias("a"), F.get("path", i + 1).alias("b")))
+    legs = corridors.where(last > 0).select(*key, F.explode(steps).alias("s")).select(*key, "s.*")
+    legs = legs.join(side_middles(cells), ["building_id", "a", "b"]).select(*key, "seq", F.col("m").alias("p"))
+    points = F.transform(F.array_sort(F.collect_list(F.struct("seq", "p"))), lambda s: s["p"])
+    raw = ends.unionByName(legs).groupBy(*key).agg(g.without_repeats(points).alias("raw"))
+    return raw.select(*key, g.without_collinear(F.col("raw")).alias("points"), g.polyline_length(F.col("raw")).alias("length_m"))

@@ -191,3 +191,23 @@ def rt9(spark: SparkSession, d: str) -> DataFrame:
     return routes.diameter_pairs(views.points(spark, d)).withColumn("d", F.round("d", 6))
 
 
+@query(
+    "rt3",
+    LOCAL + """, both_ways AS (SELECT building_id, a, b FROM l2 UNION SELECT building_id, b, a FROM l2), mid AS (SELECT c.id, (x1+x2+x3)/3 AS x, (y1+y2+y3)/3 AS y, terrain FROM v_cells c),
+    arc AS (SELECT w.building_id, a, b, round(sqrt(pow(p.x-q.x, 2) + pow(p.y-q.y, 2)) * CASE WHEN q.terrain = 'stair' THEN 1.25 ELSE 1 END, 9) AS cost FROM both_ways w JOIN mid p ON p.id = a JOIN mid q ON q.id = b),
+    way AS (SELECT building_id, component AS source, id, 0.0::DOUBLE AS cost, [id] AS path FROM label WHERE component = id UNION ALL SELECT y.building_id, y.source, z.b, round(y.cost + z.cost, 9), list_append(y.path, z.b) FROM way y JOIN arc z ON z.building_id = y.building_id AND z.a = y.id WHERE NOT list_contains(y.path, z.b)),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY building_id, source, id ORDER BY cost, path) AS k FROM way) WHERE k = 1),
+    m AS (SELECT p.building_id, p.id AS a, q.id AS b, (p.s[1] + p.s[3]) / 2 AS x, (p.s[2] + p.s[4]) / 2 AS y FROM u p JOIN u q ON q.building_id = p.building_id AND q.key = p.key AND q.id <> p.id),
+    st AS (SELECT building_id, source, id, path, unnest(generate_series(1, len(path) - 1)) AS i FROM best WHERE len(path) > 1),
+    pt AS (SELECT building_id, source, b.id, 0 AS i, x, y FROM best b JOIN mid ON mid.id = b.source UNION ALL SELECT building_id, source, b.id, 100000, x, y FROM best b JOIN mid ON mid.id = b.id UNION ALL SELECT st.building_id, source, st.id, i, x, y FROM st JOIN m ON m.building_id = st.building_id AND m.a = path[i] AND m.b = path[i + 1]),
+    lg AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM pt WINDOW w AS (PARTITION BY building_id, source, id ORDER BY i))
+    SELECT building_id, source, id, round(sum(coalesce(sqrt(pow(x-px, 2) + pow(y-py, 2)), 0)), 5) AS length_m FROM lg GROUP BY 1, 2, 3""",
+)
+def rt3(spark: SparkSession, d: str) -> DataFrame:
+    """Routes over the middles of sides, from the first cell of each part of a space to all cells of that part."""
+    c = views.cells(spark, d)
+    space = c.select("id", "space_id")
+    links = graph.settle(joins.shared_sides(c).join(space.toDF("a", "sa"), "a").join(space.toDF("b", "sb"), "b").where("sa = sb").select("building_id", "a", "b"))
+    sources = graph.components(c.select("building_id", "id"), links).select("building_id", F.col("component").alias("source")).distinct()
+    corridors = graph.shortest(sources, routes.corridor_arcs(c, links))
+    return routes.midpoint_routes(corridors, c).select("building_id", "source", "id", F.round("length_m", 5).alias("length_m"))

@@ -222,3 +222,20 @@ def jn13(spark: SparkSession, d: str) -> DataFrame:
     """The cell nearest to each point, whatever its space and however far."""
     found = joins.closest_cells(in_spaces(spark, d), views.cells(spark, d))
     return found.select("building_id", "point_id", "cell_id", r6(F.col("distance_m")).alias("distance_m"))
+
+
+BOTH_SIDES = SNAP.replace(IN_SPACES, with_views("v_points", "v_cells") + """, p AS (SELECT building_id, id * 2 + s AS id, 'Brand#' || (1 + (id + s) % 5) || (1 + (id + s) // 5 % 5) AS space_id, x + 10 AS x, y + 10 AS y, (id % 4) * 0.5::DOUBLE AS z FROM v_points, (SELECT unnest([0, 1]) AS s)) """)
+
+
+@query(
+    "jn19",
+    BOTH_SIDES + """SELECT f.building_id, f.point_id // 2 AS id, f.cell_id AS from_cell, t.cell_id AS to_cell, round(sqrt(pow(f.sx-p.x, 2) + pow(f.sy-p.y, 2) + p.z*p.z) + sqrt(pow(t.sx-p.x, 2) + pow(t.sy-p.y, 2) + p.z*p.z), 5) + 0.0 AS length_m
+    FROM r f JOIN r t ON t.building_id = f.building_id AND t.point_id = f.point_id + 1 JOIN p ON p.building_id = f.building_id AND p.id = f.point_id WHERE f.point_id % 2 = 0 AND f.k = 1 AND t.k = 1 AND f.away <= 3 + 1e-9 AND t.away <= 3 + 1e-9""",
+)
+def jn19(spark: SparkSession, d: str) -> DataFrame:
+    """Transfers between a space and the next one, anchored on the surfaces of both."""
+    p = in_spaces(spark, d).withColumnRenamed("space_id", "from_space_id")
+    n = F.col("id") + 1
+    to = F.concat(F.lit("Brand#"), (1 + n % 5).cast("string"), (1 + F.floor(n / 5) % 5).cast("string"))
+    found = joins.transfer_anchors(p.withColumn("to_space_id", to), views.cells(spark, d))
+    return found.select("building_id", "id", "from_cell", "to_cell", (F.round("length_m", 5) + 0.0).alias("length_m"))
