@@ -213,3 +213,32 @@ def side_middles(cells: DataFrame) -> DataFrame:
     two = sides.groupBy("building_id", "s.key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.first("s.m").alias("m")).where("n = 2 and a <> b")
     one = two.groupBy("building_id", "a", "b").agg(F.min_by("m", "key").alias("m"))
     return one.unionByName(one.select("building_id", F.col("b").alias("a"), F.col("a").alias("b"), "m"))
+
+
+def open_boundaries(cells: DataFrame, known: DataFrame, tolerance: float = 0.02, least: float = 0.2, size: float = 2.0) -> DataFrame:
+    """(building_id, id, space_a, space_b, a, b, width_m, gap_m): where two spaces lie open to each other without a portal.
+
+    Sides that one triangle of a space owns alone meet sides of other spaces that run beside them, at most `tolerance`
+    away at both ends, along at least `least` metres. Each pair of spaces keeps its widest such place (then the smallest
+    gap, then the ids); pairs in known (building_id, space_a, space_b), smaller name first, have a portal and go. Sides
+    meet by the squares of a grid that they touch; walls are not looked for.
+    """
+    c = [g.vec(f"x{i}", f"y{i}") for i in (1, 2, 3)]
+    sides = F.array(*[F.struct(g.edge_key(c[i], c[(i + 1) % 3]).alias("key"), c[i].alias("p"), c[(i + 1) % 3].alias("q")) for i in range(3)])
+    own = cells.select("building_id", "space_id", "id", F.explode(sides).alias("s")).groupBy("building_id", "space_id", "s.key").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "s.p", "s.q"), "id").alias("s")).where("n = 1")
+    squares = lambda k: F.sequence(F.floor((F.least(f"s.p.{k}", f"s.q.{k}") - tolerance) / size), F.floor((F.greatest(f"s.p.{k}", f"s.q.{k}") + tolerance) / size))
+    met = own.select("building_id", "space_id", "s", F.explode(squares("x")).alias("gx"), "key").withColumn("gy", F.explode(squares("y")))
+    one = met.select("building_id", "gx", "gy", F.col("space_id").alias("space_a"), F.col("s").alias("sa"), F.col("key").alias("ka"))
+    two = met.select("building_id", "gx", "gy", F.col("space_id").alias("space_b"), F.col("s").alias("sb"), F.col("key").alias("kb"))
+    pairs = one.join(two, ["building_id", "gx", "gy"]).where("space_a < space_b")
+    long = F.sqrt((F.col("sa.q.x") - F.col("sa.p.x")) ** 2 + (F.col("sa.q.y") - F.col("sa.p.y")) ** 2)
+    pairs = pairs.withColumn("long", long).where("long > 0")
+    ux, uy = (F.col("sa.q.x") - F.col("sa.p.x")) / F.col("long"), (F.col("sa.q.y") - F.col("sa.p.y")) / F.col("long")
+    along = lambda e: (F.col(f"sb.{e}.x") - F.col("sa.p.x")) * ux + (F.col(f"sb.{e}.y") - F.col("sa.p.y")) * uy
+    off = lambda e: F.abs((F.col(f"sb.{e}.y") - F.col("sa.p.y")) * ux - (F.col(f"sb.{e}.x") - F.col("sa.p.x")) * uy)
+    width = F.least(F.col("long"), F.greatest(along("p"), along("q"))) - F.greatest(F.lit(0.0), F.least(along("p"), along("q")))
+    found = pairs.select("building_id", "space_a", "space_b", F.col("sa.id").alias("a"), F.col("sb.id").alias("b"), F.round(width, 6).alias("width_m"), F.round(F.greatest(off("p"), off("q")), 6).alias("gap_m"))
+    found = found.where((F.col("gap_m") <= tolerance) & (F.col("width_m") >= least)).join(known.select("building_id", "space_a", "space_b").distinct(), ["building_id", "space_a", "space_b"], "left_anti")
+    best = found.groupBy("building_id", "space_a", "space_b").agg(F.min(F.struct((-F.col("width_m")).alias("w"), "gap_m", "a", "b")).alias("x"))
+    name = F.concat(F.lit("open:"), F.substring(F.sha1(F.concat_ws("|", "building_id", "space_a", "space_b", "x.a", "x.b")), 1, 16))
+    return best.select("building_id", name.alias("id"), "space_a", "space_b", "x.a", "x.b", (-F.col("x.w")).alias("width_m"), "x.gap_m")

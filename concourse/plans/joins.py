@@ -239,3 +239,25 @@ def jn19(spark: SparkSession, d: str) -> DataFrame:
     to = F.concat(F.lit("Brand#"), (1 + n % 5).cast("string"), (1 + F.floor(n / 5) % 5).cast("string"))
     found = joins.transfer_anchors(p.withColumn("to_space_id", to), views.cells(spark, d))
     return found.select("building_id", "id", "from_cell", "to_cell", (F.round("length_m", 5) + 0.0).alias("length_m"))
+
+
+@query(
+    "jn6",
+    LINKS + """, sh AS (SELECT building_id, id, space_id, x1 + 0.006 * x3 AS x1, y1, x2 + 0.006 * x3 AS x2, y2, x3 + 0.006 * x3 AS x3, y3 FROM v_cells),
+    se AS (SELECT id, building_id, space_id, unnest([[x1,y1,x2,y2],[x2,y2,x3,y3],[x3,y3,x1,y1]]) AS s FROM sh),
+    sk AS (SELECT *, round_even(s[1] * 1000, 0)::BIGINT || ',' || round_even(s[2] * 1000, 0)::BIGINT AS p, round_even(s[3] * 1000, 0)::BIGINT || ',' || round_even(s[4] * 1000, 0)::BIGINT AS q FROM se),
+    ow AS (SELECT building_id, space_id, min(id) AS id, arg_min(s, id) AS s FROM sk GROUP BY building_id, space_id, least(p, q) || '|' || greatest(p, q) HAVING count(*) = 1),
+    pr AS (SELECT f.building_id, f.space_id AS space_a, t.space_id AS space_b, f.id AS a, t.id AS b, f.s AS s, t.s AS t, sqrt(pow(f.s[3]-f.s[1], 2) + pow(f.s[4]-f.s[2], 2)) AS l FROM ow f JOIN ow t ON f.building_id = t.building_id AND f.space_id < t.space_id AND abs(f.s[1] + f.s[3] - t.s[1] - t.s[3]) <= 4 AND abs(f.s[2] + f.s[4] - t.s[2] - t.s[4]) <= 4),
+    un AS (SELECT *, (s[3]-s[1]) / l AS ux, (s[4]-s[2]) / l AS uy FROM pr), al AS (SELECT *, (t[1]-s[1])*ux + (t[2]-s[2])*uy AS t0, (t[3]-s[1])*ux + (t[4]-s[2])*uy AS t1, abs((t[2]-s[2])*ux - (t[1]-s[1])*uy) AS o0, abs((t[4]-s[2])*ux - (t[3]-s[1])*uy) AS o1 FROM un),
+    fo AS (SELECT building_id, space_a, space_b, a, b, round(least(l, greatest(t0, t1)) - greatest(0, least(t0, t1)), 6) AS width_m, round(greatest(o0, o1), 6) AS gap_m FROM al),
+    kn AS (SELECT DISTINCT links.building_id, least(p.space_id, q.space_id) AS space_a, greatest(p.space_id, q.space_id) AS space_b FROM links JOIN v_cells p ON p.id = links.a JOIN v_cells q ON q.id = links.b),
+    ra AS (SELECT *, row_number() OVER (PARTITION BY building_id, space_a, space_b ORDER BY width_m DESC, gap_m, a, b) AS k FROM fo WHERE gap_m <= 0.02 AND width_m >= 0.2 AND (building_id, space_a, space_b) NOT IN (SELECT (building_id, space_a, space_b) FROM kn))
+    SELECT building_id, space_a, space_b, a, b, width_m, gap_m + 0.0 AS gap_m FROM ra WHERE k = 1""",
+)
+def jn6(spark: SparkSession, d: str) -> DataFrame:
+    """Open boundaries between the spaces of a grid whose columns lie 6 mm apart; spaces linked over stairs have a portal."""
+    c = views.cells(spark, d)
+    name = c.select("id", "space_id")
+    linked = joins.shared_sides(c).join(name.toDF("a", "sa"), "a").join(name.toDF("b", "sb"), "b").select("building_id", F.least("sa", "sb").alias("space_a"), F.greatest("sa", "sb").alias("space_b"))
+    apart = c.select("building_id", "id", "space_id", *[(F.col(f"x{i}") + 0.006 * F.col("x3")).alias(f"x{i}") for i in (1, 2, 3)], "y1", "y2", "y3")
+    return joins.open_boundaries(apart, linked).drop("id").withColumn("gap_m", F.col("gap_m") + 0.0)

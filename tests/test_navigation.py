@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from concourse import registry
 from concourse.functions import geometry as g
-from concourse.operators import elements, evacuation, graph
+from concourse.operators import elements, evacuation, graph, joins, routes, rules
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -70,8 +70,50 @@ def test_agents_split_between_exits(spark):
     assert sorted(out) == [1, 1, 2, 2]
 
 
+CELLS = "building_id int, id int, space_id string, terrain string, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double"
+
+
+def square(first: int, space: str, x: float, wide: float = 1.0) -> list[tuple]:
+    """Two triangles of a square with its lower left corner at (x, 0)."""
+    return [(1, first, space, "open", x, 0.0, x + wide, 0.0, x, 1.0), (1, first + 1, space, "open", x + wide, 0.0, x + wide, 1.0, x, 1.0)]
+
+
+def test_a_gap_of_six_millimetres_is_one_open_boundary(spark):
+    c = spark.createDataFrame(square(1, "a", 0.0) + square(3, "b", 1.006, 0.994) + square(5, "c", 2.1), CELLS)
+    none = spark.createDataFrame([], "building_id int, space_a string, space_b string")
+    found = joins.open_boundaries(c, none).collect()
+    assert [(r["space_a"], r["space_b"], r["a"], r["b"], r["width_m"], r["gap_m"]) for r in found] == [("a", "b", 2, 3, 1.0, 0.006)]
+    assert found[0]["id"].startswith("open:") and len(found[0]["id"]) == 21
+    assert joins.open_boundaries(c, spark.createDataFrame([(1, "a", "b")], none.schema)).isEmpty()
+    assert joins.open_boundaries(c.where("false"), none).isEmpty()
+
+
+def test_the_closest_cell_is_found_at_any_distance(spark):
+    c = spark.createDataFrame(square(1, "a", 0.0), CELLS)
+    p = spark.createDataFrame([(1, 1, 0.2, 0.2, 0.5), (1, 2, 40.0, 1.0, 0.0), (1, 3, -1.0, 0.5, 0.0), (2, 4, 0.0, 0.0, 0.0)], "building_id int, id int, x double, y double, z double")
+    got = {r["point_id"]: (r["cell_id"], round(r["distance_m"], 6)) for r in joins.closest_cells(p, c).collect()}
+    assert got == {1: (1, 0.5), 2: (2, 39.0), 3: (1, 1.0)}
+    assert joins.closest_cells(p.where("false"), c).isEmpty()
+
+
+def test_routes_over_middles_lose_points_on_a_straight_line(spark):
+    c = spark.createDataFrame(square(1, "a", 0.0) + square(3, "a", 1.0), CELLS)
+    way = spark.createDataFrame([(1, 1, 4, [1, 2, 3, 4]), (1, 1, 1, [1])], "building_id int, source int, id int, path array<int>")
+    got = {r["id"]: ([(round(q["x"], 6), round(q["y"], 6)) for q in r["points"]], r["length_m"]) for r in routes.midpoint_routes(way, c).collect()}
+    third = 1 / 3
+    full = [(third, third), (0.5, 0.5), (1.0, 0.5), (1.5, 0.5), (1 + 2 * third, 2 * third)]
+    assert got[4][1] == pytest.approx(sum(math.dist(a, b) for a, b in zip(full, full[1:])))
+    assert got[4][0] == [(round(x, 6), round(y, 6)) for x, y in full if (x, y) != (1.0, 0.5)]
+    assert len(got[1][0]) == 1 and got[1][1] == 0
+
+
+def test_gates_fail_on_null(spark):
+    s = spark.createDataFrame([(1, 3, None)], "building_id int, nodes int, edges int")
+    assert {r["metric"]: r["passed"] for r in rules.gates(s, {"nodes": 3, "edges": 1}).collect()} == {"nodes": True, "edges": False}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["jn1", "jn4", "gr9", "gr11", "v18", "agg9", "win5", "fn11", "src1", "chk1", "st4", "elm3", "elm7", "elm11", "jn9", "gr8", "geo10", "geo14", "v41", "snk2", "st5", "st9"])
+@pytest.mark.parametrize("name", ["jn1", "jn4", "gr9", "gr11", "v18", "agg9", "win5", "fn11", "src1", "chk1", "st4", "elm3", "elm7", "elm11", "jn9", "gr8", "geo10", "geo14", "v41", "snk2", "st5", "st9", "jn6", "jn13", "jn17", "jn19", "rt3", "v39", "v42", "st7", "st8"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
