@@ -171,12 +171,13 @@ def closest_cells(points: DataFrame, cells: DataFrame, radius: float = 2.0) -> D
     all_ = cells.withColumn("space_id", F.lit(""))
     held = points.join(cells.select("building_id").distinct(), "building_id", "left_semi")
     todo, done = settle(held.select("building_id", "id", F.lit("").alias("space_id"), "x", "y", "z")), None
+    none = snap(todo, all_, radius)
     while not todo.isEmpty():
         found = settle(snap(todo, all_, radius, 2 * radius))
         done = found if done is None else done.unionByName(found)
         todo = settle(todo.join(found.select("building_id", F.col("point_id").alias("id")), ["building_id", "id"], "left_anti"))
         radius *= 2
-    return done if done is not None else snap(points, all_, radius)
+    return done if done is not None else none
 
 
 def attached(doors: DataFrame, nodes: DataFrame, radius: float = 2.5, k: int = 3, fallback: int = 6) -> DataFrame:
