@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, language_id, line_dedup, media, near_dedup, packing, substring_dedup, top_k, unigram_counts
+from . import byte_bpe, html_text, language_id, lexical_search, line_dedup, media, near_dedup, packing, simhash_dedup, substring_dedup, top_k, unigram_counts, whitening
 from ._shared import table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,7 +60,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_html_text, op4_near_dedup, op5_top_k, op6_unigram_counts, op7_byte_bpe, op8_substring_dedup, op9_line_dedup, op10_media)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_html_text, op4_near_dedup, op5_top_k, op6_unigram_counts, op7_byte_bpe, op8_substring_dedup, op9_line_dedup, op10_media, op11_lexical_search, op12_whitening, op13_simhash)}
 
 ORACLES = {
     "op4_near_dedup": r"""
@@ -88,4 +100,18 @@ scored AS (
   WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
 ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT * FROM ranked WHERE rank <= 5""",
+    "op11_lexical_search": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+wanted AS (SELECT item_id, t, count(*) AS q FROM asked GROUP BY 1, 2),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM words),
+flat AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM words),
+held AS (SELECT doc_id, n, t, count(*) AS tf FROM flat WHERE t IN (SELECT t FROM wanted) GROUP BY 1, 2, 3),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, total GROUP BY t),
+impacts AS (SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)) AS i FROM held, total),
+scored AS (SELECT item_id, doc_id, CAST(sum(q * w * i) AS BIGINT) AS score FROM wanted JOIN weights USING (t) JOIN impacts USING (t) GROUP BY 1, 2),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20""",
 }

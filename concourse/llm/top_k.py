@@ -22,12 +22,13 @@ STEP = 10  # bits of an interval that a round resolves
 QUERY_BLOCK, CANDIDATE_BLOCK, SLOT = 512, 2048, 8192
 
 
-def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * x) of each component; rows with a null id, a null vector or a null or non-finite component take no part."""
+def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int, null_ids: bool = False) -> DataFrame:
+    """(vec_id, v array<long>): floor(scale * x) of each component; rows with a null vector or a null or non-finite component take no part, nor do those with a null id, unless null_ids."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), F.coalesce(fine, F.lit(False)).alias("fine"))
-    return rows.where("vec_id is not null and x is not null and fine and size(x) > 0").select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
+    rows = rows if null_ids else rows.where("vec_id is not null")
+    return rows.where("x is not null and fine and size(x) > 0").select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
 def _packer(size: int, more: int):
