@@ -9,10 +9,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import warnings
+import weakref
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SETTLED: dict[int, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -23,11 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back; lineage ends there."""
+def settle(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back; lineage ends there. spent: settled tables that nothing reads after this; they are deleted."""
     path = f"{shared_dir(df.sparkSession)}/state-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in spent:
+        discard(old)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _SETTLED[id(out)] = path
+    weakref.finalize(out, _SETTLED.pop, id(out), None)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table."""
+    spark, path = df.sparkSession, _SETTLED.get(id(df))
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -81,6 +98,69 @@ def shortest(sources: DataFrame, arcs: DataFrame, keys: tuple[str, ...] = ("buil
     return best.select(*k, "source", "id", "cost", (F.size("path") - 1).alias("hops"), "path")
 
 
+def cheapest(sources: DataFrame, arcs: DataFrame, keys: tuple[str, ...] = ("building_id",), goals: DataFrame | None = None, nearest: bool = False, steps: int = 6) -> DataFrame:
+    """(keys, source, id, cost): the least cost from each source to every node that it reaches over arcs (keys, a, b, cost).
+
+    sources (keys, source, id, cost) may start one source at several nodes, each at a cost of its own. A round takes
+    `steps` arcs at once and writes only what has become cheaper; ways are not carried, see predecessors. goals (keys,
+    source, id, and extra if nearest) end a search: nodes no nearer than the farthest goal of their source go no further,
+    or, if nearest, than the goal that is nearest with its extra cost; sources without goals don't start. Costs are
+    rounded to nine decimals, so that equal sums are equal.
+    """
+    k = list(keys)
+    arcs = arcs.groupBy(*k, "a", "b").agg(F.min("cost").alias("cost"))
+    kind = dict(arcs.dtypes)["cost"]
+    ends = arcs.select(*k, "a").unionByName(arcs.select(*k, F.col("b").alias("a"))).distinct()
+    moves = settle(arcs.unionByName(ends.select(*k, "a", F.col("a").alias("b"), F.lit(0).cast(kind).alias("cost"))))
+    fresh = settle(sources.groupBy(*k, "source", "id").agg(F.min(F.col("cost").cast(kind)).alias("cost")))
+    found = [fresh]
+
+    def known() -> DataFrame:
+        return reduce(DataFrame.unionByName, found).groupBy(*k, "source", "id").agg(F.min("cost").alias("cost"))
+
+    while not fresh.isEmpty():
+        if goals is not None:
+            met = goals.select(*k, "source", "id", *(["extra"] if nearest else [])).distinct().join(known(), [*k, "source", "id"], "left").groupBy(*k, "source")
+            # a goal that hasn't been met yet is no bound
+            bound = met.agg(F.min(F.col("cost") + F.col("extra")).alias("most"), (F.count("cost") == 0).alias("open")) if nearest else met.agg(F.max("cost").alias("most"), (F.count("cost") < F.count("*")).alias("open"))
+            fresh = fresh.join(bound, [*k, "source"]).where("open or cost < most").select(*k, "source", "id", "cost")
+        for _ in range(steps):
+            way = fresh.withColumnRenamed("cost", "so_far").join(moves.withColumnRenamed("a", "id"), [*k, "id"])
+            fresh = way.groupBy(*k, "source", F.col("b").alias("id")).agg(F.min(F.round(F.col("so_far") + F.col("cost"), 9)).alias("cost"))
+        had = known().withColumnRenamed("cost", "had")
+        fresh = settle(fresh.join(had, [*k, "source", "id"], "left").where("had is null or cost < had").select(*k, "source", "id", "cost"))
+        found.append(fresh)
+    return settle(known(), moves, *found)
+
+
+def predecessors(best: DataFrame, arcs: DataFrame, keys: tuple[str, ...] = ("building_id",)) -> DataFrame:
+    """(keys, source, id, before): the node before each one on a cheapest way; of several the smallest. best: costs as cheapest gives them, over the same arcs of costs above 0."""
+    k = list(keys)
+    arcs = arcs.groupBy(*k, "a", "b").agg(F.min("cost").alias("step"))
+    start = best.select(*k, "source", F.col("id").alias("a"), F.col("cost").alias("from_cost"))
+    way = best.join(arcs.withColumnRenamed("b", "id"), [*k, "id"]).join(start, [*k, "source", "a"])
+    return way.where((F.col("from_cost") < F.col("cost")) & (F.round(F.col("from_cost") + F.col("step"), 9) == F.col("cost"))).groupBy(*k, "source", "id").agg(F.min("a").alias("before"))
+
+
+def ways(before: DataFrame, goals: DataFrame, keys: tuple[str, ...] = ("building_id",)) -> DataFrame:
+    """(keys, source, goal, back, id): the nodes of the way to each goal (keys, source, id), counted from the goal back.
+
+    Predecessors are followed by doubling: each round knows the nodes up to 2^n steps back and jumps 2^n further, so
+    the rounds grow with the logarithm of the longest way.
+    """
+    k = list(keys)
+    have = settle(goals.select(*k, "source", F.col("id").alias("goal"), F.lit(0).alias("back"), "id").distinct())
+    jump, span = settle(before.join(goals.select(*k, "source").distinct(), [*k, "source"], "left_semi").select(*k, "source", "id", "before")), 1
+    while True:
+        more = have.join(jump, [*k, "source", "id"]).select(*k, "source", "goal", (F.col("back") + span).alias("back"), F.col("before").alias("id"))
+        have = settle(have.unionByName(more), have)
+        jump = settle(jump.join(jump.select(*k, "source", F.col("id").alias("before"), F.col("before").alias("further")), [*k, "source", "before"]).select(*k, "source", "id", F.col("further").alias("before")), jump)
+        if jump.isEmpty():  # no node lies as far back as the next jump
+            discard(jump)
+            return have
+        span *= 2
+
+
 def vertical_components(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("stair", "ramp", "elevator", "escalator")) -> DataFrame:
     """(building_id, component, kind, n) of the parts of the graph whose nodes (building_id, id, kind) are all vertical; kind is `vertical` where kinds mix."""
     tall = nodes.where(F.col("kind").isin(*kinds))

@@ -92,6 +92,50 @@ def portals(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), "building_id", F.col("id").alias("from_space_id"), F.lead("id").over(order).alias("to_space_id"), "level_id", F.round(F.col("weight") / 10000, 3).alias("width_m"), "is_exit")
 
 
+def storeys(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles in space of buildings with two storeys of four rooms each: id, building_id, space_id, level_id, terrain, corners x1 y1 z1 to x3 y3 z3.
+
+    A part is a square of a storey, twenty by ten, or one of the sixteen of a stair that leaves the lower storey from
+    two rooms, turns on a landing and reaches the upper one. Squares of every seventh size are pillars.
+    """
+    n, c, r = F.col("p_partkey") % 400, F.col("p_partkey") % 20, F.expr("p_partkey % 200 div 20")
+    part = table(spark, d, "part").select("p_partkey", "p_size", F.expr("p_partkey div 400").alias("building_id"), F.expr("p_partkey % 400 div 200").alias("f"), c.alias("c"), r.alias("r"), ((n >= 200) & (n < 216)).alias("stair"))
+    part = part.where("stair or p_size % 7 <> 0 or (r = 9 and c between 4 and 7) or (r = 4 and c % 5 in (0, 4))")
+    up, over = F.col("c") < 6, F.col("c") < 10
+    step = F.when(up, F.expr("c div 2")).otherwise(F.expr("(c - 10) div 2"))
+    part = part.select(
+        "p_partkey", "building_id",
+        F.when(~F.col("stair"), F.concat(F.lit("s"), F.col("f").cast("string"), F.expr("string(c div 5)"))).alias("space_id"),
+        F.when(~F.col("stair"), F.col("f")).alias("level_id"),
+        F.when(F.col("stair"), "stair").otherwise("open").alias("terrain"),
+        F.when(~F.col("stair"), F.col("c")).when(up, 4 + F.col("c") % 2).when(over, F.col("c") - 2).otherwise(6 + F.col("c") % 2).cast("double").alias("x"),
+        F.when(~F.col("stair"), F.col("r")).when(up, 10 + step).when(over, F.lit(13)).otherwise(12 - step).cast("double").alias("y"),
+        F.when(~F.col("stair"), 3.0 * F.col("f")).when(up, 0.5 * step).when(over, 1.5).otherwise(2 + 0.5 * step).alias("low"),
+        F.when(~F.col("stair"), 3.0 * F.col("f")).when(up, 0.5 * step + 0.5).when(over, 1.5).otherwise(1.5 + 0.5 * step).alias("high"),
+    ).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    first = F.col("k") == 0
+    return part.select(
+        (F.col("p_partkey") * 2 + F.col("k")).alias("id"), "building_id", "space_id", "level_id", "terrain",
+        (F.col("x") + F.col("k")).alias("x1"), F.col("y").alias("y1"), F.col("low").alias("z1"),
+        (F.col("x") + 1).alias("x2"), (F.col("y") + F.col("k")).alias("y2"), F.when(first, F.col("low")).otherwise(F.col("high")).alias("z2"),
+        F.col("x").alias("x3"), (F.col("y") + 1).alias("y3"), F.col("high").alias("z3"),
+    )
+
+
+def storey_doors(spark: SparkSession, d: str) -> DataFrame:
+    """Doors between neighbouring rooms of a storey; a second one 30 cm beside the first where the size is odd."""
+    part = table(spark, d, "part").withColumns({"c": F.col("p_partkey") % 20, "f": F.expr("p_partkey % 400 div 200")}).where("p_partkey % 200 div 20 = 4 and c % 5 = 4 and c < 19")
+    two = part.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1)))).where("j = 0 or p_size % 2 = 1")
+    room = lambda n: F.concat(F.lit("s"), F.col("f").cast("string"), F.expr(f"string(c div 5 + {n})"))
+    return two.select(F.concat(F.lit("d"), "p_partkey", F.lit("-"), "j").alias("id"), F.expr("p_partkey div 400").alias("building_id"), (F.col("c") + 1).cast("double").alias("x"), (4.4 + 0.3 * F.col("j")).alias("y"), (3.0 * F.col("f")).alias("z"), room(0).alias("from_space_id"), room(1).alias("to_space_id"), F.col("f").alias("level_id"), F.lit(0.9).alias("width_m"))
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Asked routes: id, building_id, scenario, from x y z to gx gy gz."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    return s.select(k.alias("id"), (k % 5).alias("building_id"), (k % 3).alias("scenario"), (k * 37 % 200 / 10).alias("x"), (k * 53 % 100 / 10).alias("y"), (3.0 * (k % 2)).alias("z"), (k * 91 % 200 / 10).alias("gx"), (k * 29 % 100 / 10).alias("gy"), (3.0 * F.expr("s_suppkey div 2 % 2")).alias("gz"))
+
+
 # Which event stands for which status of an occupant.
 STATUS = {"view": "moving", "click": "transfer", "error": "waiting", "signup": "elevator_waiting", "purchase": "evacuated"}
 
@@ -112,6 +156,15 @@ SQL = {
         CASE event_type WHEN 'view' THEN 'moving' WHEN 'click' THEN 'transfer' WHEN 'error' THEN 'waiting' WHEN 'signup' THEN 'elevator_waiting' WHEN 'purchase' THEN 'evacuated' END AS status, ts, value FROM events""",
     "v_files": """SELECT id, content, CASE WHEN n % 7 = 0 THEN '0' || substr(sha256(content), 2) ELSE sha256(content) END AS sha256, strlen(content) + CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END AS size_bytes FROM (
         SELECT 'page:' || page_id AS id, page_id AS n, html AS content FROM pages UNION ALL SELECT 'doc:' || doc_id, doc_id, text FROM documents)""",
+    "v_storeys": """SELECT p_partkey * 2 + k AS id, building_id, space_id, level_id, terrain, x + k AS x1, y AS y1, low AS z1, x + 1 AS x2, y + k AS y2, CASE WHEN k = 0 THEN low ELSE high END AS z2, x AS x3, y + 1 AS y3, high AS z3 FROM (
+        SELECT p_partkey, building_id, CASE WHEN NOT stair THEN 's' || f || (c // 5) END AS space_id, CASE WHEN NOT stair THEN f END AS level_id, CASE WHEN stair THEN 'stair' ELSE 'open' END AS terrain,
+        CAST(CASE WHEN NOT stair THEN c WHEN c < 6 THEN 4 + c % 2 WHEN c < 10 THEN c - 2 ELSE 6 + c % 2 END AS DOUBLE) AS x, CAST(CASE WHEN NOT stair THEN r WHEN c < 6 THEN 10 + c // 2 WHEN c < 10 THEN 13 ELSE 12 - (c - 10) // 2 END AS DOUBLE) AS y,
+        CASE WHEN NOT stair THEN 3.0::DOUBLE * f WHEN c < 6 THEN 0.5::DOUBLE * (c // 2) WHEN c < 10 THEN 1.5::DOUBLE ELSE 2 + 0.5::DOUBLE * ((c - 10) // 2) END AS low, CASE WHEN NOT stair THEN 3.0::DOUBLE * f WHEN c < 6 THEN 0.5::DOUBLE * (c // 2) + 0.5 WHEN c < 10 THEN 1.5::DOUBLE ELSE 1.5 + 0.5::DOUBLE * ((c - 10) // 2) END AS high
+        FROM (SELECT p_partkey, p_size, p_partkey // 400 AS building_id, p_partkey % 400 // 200 AS f, p_partkey % 20 AS c, p_partkey % 200 // 20 AS r, p_partkey % 400 BETWEEN 200 AND 215 AS stair FROM part)
+        WHERE stair OR p_size % 7 <> 0 OR (r = 9 AND c BETWEEN 4 AND 7) OR (r = 4 AND c % 5 IN (0, 4))), (SELECT unnest([0, 1]) AS k)""",
+    "v_storey_doors": """SELECT 'd' || p_partkey || '-' || j AS id, p_partkey // 400 AS building_id, CAST(c + 1 AS DOUBLE) AS x, 4.4::DOUBLE + 0.3::DOUBLE * j AS y, 3.0::DOUBLE * f AS z, 's' || f || (c // 5) AS from_space_id, 's' || f || (c // 5 + 1) AS to_space_id, f AS level_id
+        FROM (SELECT p_partkey, p_size, p_partkey % 20 AS c, p_partkey % 400 // 200 AS f FROM part WHERE p_partkey % 200 // 20 = 4), (SELECT unnest([0, 1]) AS j) WHERE c % 5 = 4 AND c < 19 AND (j = 0 OR p_size % 2 = 1)""",
+    "v_requests": "SELECT s_suppkey AS id, s_suppkey % 5 AS building_id, s_suppkey % 3 AS scenario, s_suppkey * 37 % 200 / 10 AS x, s_suppkey * 53 % 100 / 10 AS y, 3.0::DOUBLE * (s_suppkey % 2) AS z, s_suppkey * 91 % 200 / 10 AS gx, s_suppkey * 29 % 100 / 10 AS gy, 3.0::DOUBLE * (s_suppkey // 2 % 2) AS gz FROM supplier",
     "v_results": "SELECT doc_id AS case_id, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS status, lang AS tier, source, toxic, n_chars AS size FROM labels JOIN documents USING (doc_id)",
 }
 
