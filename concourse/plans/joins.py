@@ -53,8 +53,8 @@ def jn4(spark: SparkSession, d: str) -> DataFrame:
     return joins.shared_sides(views.cells(spark, d))
 
 
-@query("jn5", EDGES3 + "SELECT building_id, count(*) AS n_sides, count(DISTINCT id) AS n_cells FROM (SELECT building_id, key, min(id) AS id FROM u GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1")
-def jn5(spark: SparkSession, d: str) -> DataFrame:
+@query("jn5_sides", EDGES3 + "SELECT building_id, count(*) AS n_sides, count(DISTINCT id) AS n_cells FROM (SELECT building_id, key, min(id) AS id FROM u GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1")
+def jn5_sides(spark: SparkSession, d: str) -> DataFrame:
     """Boundary sides, which the seam join starts from."""
     return joins.boundary_sides(views.cells(spark, d)).groupBy("building_id").agg(F.count("*").alias("n_sides"), F.countDistinct("id").alias("n_cells"))
 

@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-for family in ("geometry", "joins", "elements", "graphs", "rules", "aggregates", "windows", "scalars", "sources", "streams"):
+for family in ("geometry", "joins", "elements", "graphs", "buildings", "rules", "aggregates", "windows", "scalars", "sources", "streams"):
     import_module(f"concourse.plans.{family}")

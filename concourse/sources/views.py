@@ -130,6 +130,24 @@ def storey_doors(spark: SparkSession, d: str) -> DataFrame:
     return two.select(F.concat(F.lit("d"), "p_partkey", F.lit("-"), "j").alias("id"), F.expr("p_partkey div 400").alias("building_id"), (F.col("c") + 1).cast("double").alias("x"), (4.4 + 0.3 * F.col("j")).alias("y"), (3.0 * F.col("f")).alias("z"), room(0).alias("from_space_id"), room(1).alias("to_space_id"), F.col("f").alias("level_id"), F.lit(0.9).alias("width_m"))
 
 
+def storey_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a metric graph: one in the middle of each square of the storeys and stairs, and one of a lift on each storey."""
+    c = storeys(spark, d)
+    square = c.groupBy("building_id", F.expr("id div 2").alias("n")).agg(F.first("space_id").alias("space_id"), F.first("level_id").alias("level_id"), F.first("terrain").alias("terrain"), *[F.round((F.min(F.least(*[f"{k}{i}" for i in (1, 2, 3)])) + F.max(F.greatest(*[f"{k}{i}" for i in (1, 2, 3)]))) / 2, 6).alias(k) for k in "xyz"])
+    walk = square.select("building_id", F.concat(F.lit("n"), "n").alias("id"), F.when(F.col("terrain") == "stair", "stair").otherwise("walk").alias("kind"), "space_id", "level_id", "x", "y", "z")
+    lift = table(spark, d, "part").where("p_partkey % 20 = 18 and p_partkey % 200 div 20 = 7").select(F.expr("p_partkey div 400").alias("building_id"), F.concat(F.lit("e"), "p_partkey").alias("id"), F.lit("elevator").alias("kind"), F.lit(None).cast("string").alias("space_id"), F.expr("p_partkey % 400 div 200").alias("level_id"), F.lit(18.5).alias("x"), F.lit(7.5).alias("y"), (3.0 * F.expr("p_partkey % 400 div 200")).alias("z"))
+    return walk.unionByName(lift)
+
+
+def lifts(spark: SparkSession, d: str) -> DataFrame:
+    """Transitions between storeys over the metric graph."""
+    rows = [("t:stair:0", "stair", "s00", "s11", 0, 1), ("t:stair:1", "stair", "s01", "s11", 0, 1), ("t:lift", "elevator", "s03", "s13", 0, 1), ("t:any", "vertical", "s01", "s10", None, None)]
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, ("id", "kind", "from_space_id", "to_space_id", "from_level_id", "to_level_id"), ("string",) * 4 + ("long",) * 2)]) for r in rows]))
+    b = table(spark, d, "part").select(F.expr("p_partkey div 400").alias("building_id")).distinct()
+    t = b.withColumn("t", each).select("building_id", "t.*")
+    return t.select("building_id", "id", "kind", "from_space_id", "to_space_id", F.lit(None).cast("string").alias("portal_id"), "from_level_id", "to_level_id", F.lit(True).alias("bidirectional"), F.lit("metric_vertical_touch").alias("source"), F.lit(None).cast("string").alias("resource_id"))
+
+
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Asked routes: id, building_id, scenario, from x y z to gx gy gz."""
     s, k = table(spark, d, "supplier"), F.col("s_suppkey")
@@ -164,6 +182,12 @@ SQL = {
         WHERE stair OR p_size % 7 <> 0 OR (r = 9 AND c BETWEEN 4 AND 7) OR (r = 4 AND c % 5 IN (0, 4))), (SELECT unnest([0, 1]) AS k)""",
     "v_storey_doors": """SELECT 'd' || p_partkey || '-' || j AS id, p_partkey // 400 AS building_id, CAST(c + 1 AS DOUBLE) AS x, 4.4::DOUBLE + 0.3::DOUBLE * j AS y, 3.0::DOUBLE * f AS z, 's' || f || (c // 5) AS from_space_id, 's' || f || (c // 5 + 1) AS to_space_id, f AS level_id
         FROM (SELECT p_partkey, p_size, p_partkey % 20 AS c, p_partkey % 400 // 200 AS f FROM part WHERE p_partkey % 200 // 20 = 4), (SELECT unnest([0, 1]) AS j) WHERE c % 5 = 4 AND c < 19 AND (j = 0 OR p_size % 2 = 1)""",
+    "v_nodes3": """SELECT building_id, 'n' || n AS id, CASE WHEN terrain = 'stair' THEN 'stair' ELSE 'walk' END AS kind, space_id, level_id, x, y, z FROM (SELECT building_id, id // 2 AS n, any_value(space_id) AS space_id, any_value(level_id) AS level_id, any_value(terrain) AS terrain,
+        round((min(least(x1, x2, x3)) + max(greatest(x1, x2, x3))) / 2, 6) AS x, round((min(least(y1, y2, y3)) + max(greatest(y1, y2, y3))) / 2, 6) AS y, round((min(least(z1, z2, z3)) + max(greatest(z1, z2, z3))) / 2, 6) AS z FROM v_storeys GROUP BY 1, 2)
+        UNION ALL SELECT p_partkey // 400, 'e' || p_partkey, 'elevator', NULL, p_partkey % 400 // 200, 18.5::DOUBLE, 7.5::DOUBLE, 3.0::DOUBLE * (p_partkey % 400 // 200) FROM part WHERE p_partkey % 20 = 18 AND p_partkey % 200 // 20 = 7""",
+    "v_edges3": """SELECT p.building_id, p.id AS a, q.id AS b, round(sqrt(pow(p.x-q.x, 2) + pow(p.y-q.y, 2) + pow(p.z-q.z, 2)), 6) AS distance_m FROM v_nodes3 p JOIN v_nodes3 q ON p.building_id = q.building_id AND p.id < q.id
+        WHERE sqrt(pow(p.x-q.x, 2) + pow(p.y-q.y, 2) + pow(p.z-q.z, 2)) <= 2 OR (p.kind = 'elevator' AND q.kind = 'elevator')""",
+    "v_lifts": "SELECT DISTINCT p_partkey // 400 AS building_id, t.* FROM part, (VALUES ('t:stair:0', 'stair', 's00', 's11', 0, 1), ('t:stair:1', 'stair', 's01', 's11', 0, 1), ('t:lift', 'elevator', 's03', 's13', 0, 1), ('t:any', 'vertical', 's01', 's10', NULL, NULL)) t(id, kind, from_space_id, to_space_id, from_level_id, to_level_id)",
     "v_requests": "SELECT s_suppkey AS id, s_suppkey % 5 AS building_id, s_suppkey % 3 AS scenario, s_suppkey * 37 % 200 / 10 AS x, s_suppkey * 53 % 100 / 10 AS y, 3.0::DOUBLE * (s_suppkey % 2) AS z, s_suppkey * 91 % 200 / 10 AS gx, s_suppkey * 29 % 100 / 10 AS gy, 3.0::DOUBLE * (s_suppkey // 2 % 2) AS gz FROM supplier",
     "v_results": "SELECT doc_id AS case_id, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS status, lang AS tier, source, toxic, n_chars AS size FROM labels JOIN documents USING (doc_id)",
 }
