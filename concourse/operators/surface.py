@@ -269,7 +269,8 @@ def pulled_routes(legs: DataFrame, ends: DataFrame, cells: DataFrame, links: Dat
     face = lambda end: cells.select("building_id", F.col("id").alias(end), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(corners())]).alias(f"f{end}"))
     met = legs.select(*k, "seq", "a", "b").join(both_ways(links).drop("portal_id"), ["building_id", "a", "b"]).join(face("a"), ["building_id", "a"]).join(face("b"), ["building_id", "b"])
     fa, fb = ([F.col(f"f{e}.c{i}") for i in range(3)] for e in "ab")
-    fold = F.lit(False) if flat else (g.area(*fa) <= 5e-10) | (g.off_plane(*fa, *fb) > tolerance)
+    bent = lambda *c: (g.area(*c[:3]) <= 5e-10) | (g.off_plane(*c) > tolerance)
+    fold = F.lit(False) if flat else g.bound(bent, *fa, *fb)
     before = Window.partitionBy(*k).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("fold", fold).withColumn("run", F.coalesce(F.sum(F.col("fold").cast("int")).over(before), F.lit(0)).cast("int"))
     level = F.struct(g.vec(F.lit(0.0), F.lit(0.0)).alias("o"), g.vec(F.lit(1.0), F.lit(0.0)).alias("u"), g.vec(F.lit(0.0), F.lit(1.0)).alias("v"))

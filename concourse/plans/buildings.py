@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, hierarchy, surface
+from ..operators import benchmarks, elevators, graph, hierarchy, surface
 from ..registry import query
 from ..sources import views
 from ..sources.views import with_views
@@ -236,8 +236,10 @@ def gr15(spark: SparkSession, d: str) -> DataFrame:
 WITH_TABLES = SURFACE.replace("WITH RECURSIVE ", "WITH RECURSIVE " + ", ".join(f"{n} AS ({views.SQL[n]})" for n in ("v_requests", "v_storey_doors")) + ", ", 1)
 _ENDS = """en AS (SELECT id, e, space_id, px, py, z, cell FROM (SELECT r.id, e, c.space_id, px, py, c.z, c.id AS cell, row_number() OVER (PARTITION BY r.id, e ORDER BY round(abs(c.z - pz), 9), c.id) AS k, round(abs(c.z - pz), 9) AS off
     FROM (SELECT id, building_id, 0 AS e, x AS px, y AS py, z AS pz FROM v_requests UNION ALL SELECT id, building_id, 1, gx, gy, gz FROM v_requests) r JOIN ct c ON c.building_id = r.building_id WHERE """ + _INSIDE.format("p") + ") WHERE k = 1 AND off <= {tolerance})"
+DOORS3 = SURFACE.replace("WITH RECURSIVE ", f"WITH RECURSIVE v_storey_doors AS ({views.SQL['v_storey_doors']}), ", 1)
+ASKED = views.SQL["v_requests"]
 ROUTES = (
-    WITH_TABLES + METRIC + NODES + ", " + VERTICAL + ", " + _ENDS.format(tolerance=1.5)
+    DOORS3 + METRIC + NODES + ", " + VERTICAL + ", v_requests AS (" + ASKED + "), " + _ENDS.format(tolerance=1.5)
     + """, ps AS (SELECT building_id, 'transition:' || id AS id, 'door' AS kind, from_space_id AS f, to_space_id AS t, id AS portal_id, x AS fx, y AS fy, z AS fz, x AS tx, y AS ty, z AS tz, 0.0::DOUBLE AS length FROM v_storey_doors
         UNION ALL SELECT tr.building_id, tr.id, 'stair', s0, s1, NULL, sx, sy, sz, gx, gy, gz, length FROM tr JOIN vq USING (building_id, id) JOIN ve_z z ON z.id = tr.building_id || '/' || tr.id
         UNION ALL SELECT l.building_id, l.id, 'elevator', from_space_id, to_space_id, NULL, x0, y0, z0, x1, y1, z1, length FROM v_lifts l JOIN iz ON iz.tid = l.building_id || '/' || l.id WHERE l.kind = 'elevator'),
@@ -261,22 +263,27 @@ ROUTES = (
 )
 
 
-def _routed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Legs and rows of all requests. Scenario 0 makes rooms s02 three times as dear, 1 shuts the first doors of the middle walls, 2 shuts rooms s01."""
+def _passages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cells, links, doors, transitions of the surface with their ways, and all passages: doors, stairs and lifts."""
     cells, links, _, over, stairs = _stairs(spark, d)
     doors = graph.settle(views.storey_doors(spark, d))
     lifts = views.lifts(spark, d).where("kind = 'elevator'")
     vertical = stairs.select("building_id", "id", "points").unionByName(hierarchy.node_transfers(lifts, *_metric(spark, d)).select("building_id", "id", "points"))
-    passages = hierarchy.transfers(hierarchy.door_transitions(doors).unionByName(over).unionByName(lifts), doors, vertical, cells)
+    return cells, links, doors, over, stairs, hierarchy.transfers(hierarchy.door_transitions(doors).unionByName(over).unionByName(lifts), doors, vertical, cells)
+
+
+def _routed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Legs and rows of all requests, and the passages. Scenario 0 makes rooms s02 three times as dear, 1 shuts the first doors of the middle walls, 2 shuts rooms s01."""
+    cells, links, doors, _, _, passages = _passages(spark, d)
     asked = views.requests(spark, d)
     b = asked.select("building_id").distinct()
     of = lambda n: F.lit(n).cast("long").alias("scenario")
-    return hierarchy.routes(
+    return *hierarchy.routes(
         asked, passages, cells, links,
         blocked_portals=doors.where("id like '%9-0'").select(of(1), "building_id", F.col("id").alias("portal_id")),
         blocked_spaces=b.select(of(2), "building_id", F.lit("s01").alias("space_id")),
         multipliers=b.select(of(0), "building_id", F.lit("s02").alias("space_id"), F.lit(3.0).alias("multiplier")),
-    )
+    ), passages
 
 
 @query(
@@ -351,3 +358,127 @@ def jn5(spark: SparkSession, d: str) -> DataFrame:
     """Links over the seams of storeys whose columns of squares lie 5 cm apart."""
     apart = graph.settle(views.storeys(spark, d).withColumns({f"x{i}": F.col(f"x{i}") + 0.05 * F.col("x3") for i in (1, 2, 3)}))
     return surface.seam_links(apart, surface.shared_links(apart)).select("building_id", "a", "b")
+
+
+PATHS = """, sg AS (SELECT req, grp, a FROM (SELECT se.req, se.grp, se.one AS a, row_number() OVER (PARTITION BY se.req ORDER BY round(sb.cost + se.cost, 9), se.one) AS k FROM se JOIN sb ON sb.grp = se.grp AND sb.req = se.req AND sb.a = se.one WHERE se.two IS NULL) WHERE k = 1),
+    sp AS (SELECT x.grp, x.req, x.a, min(y.a) AS before FROM sb x JOIN ab c ON c.grp = x.grp AND c.b = x.a JOIN sb y ON y.grp = x.grp AND y.req = x.req AND y.a = c.a WHERE y.cost < x.cost AND round(y.cost + c.cost, 9) = x.cost GROUP BY ALL),
+    sw AS (SELECT req, grp, 0 AS back, a FROM sg UNION ALL SELECT w.req, w.grp, w.back + 1, p.before FROM sw w JOIN sp p ON p.grp = w.grp AND p.req = w.req AND p.a = w.a),
+    sl AS (SELECT req, -100000 AS seq, 'local' AS kind, NULL AS tid FROM sg UNION ALL SELECT req, 1, 'local', NULL FROM sg UNION ALL SELECT req, 0, 'local', NULL FROM wl WHERE one IS NULL AND two IS NULL
+        UNION ALL SELECT w.req, -w.back, CASE WHEN split_part(p.before, '>', 1) = split_part(w.a, '>', 1) THEN split_part(w.a, '>', 1) ELSE 'local' END, CASE WHEN split_part(p.before, '>', 1) = split_part(w.a, '>', 1) THEN split_part(w.a, '>', 1) END FROM sw w JOIN sp p ON p.grp = w.grp AND p.req = w.req AND p.a = w.a)"""
+
+
+@query(
+    "gen7",
+    ROUTES + PATHS + """, er AS (SELECT req AS id, 'MISSING_GATE' AS code FROM sl WHERE tid LIKE '%9-1' UNION ALL SELECT DISTINCT req, 'NO_EXIT_GATE' FROM sl WHERE req % 10 = 9)
+    SELECT building_id, rq.id, (SELECT min(code) FROM er WHERE er.id = rq.id) AS error, CASE WHEN rq.id NOT IN (SELECT id FROM er) THEN s.steps END AS steps FROM rq JOIN (SELECT req, string_agg(CASE WHEN tid IS NULL THEN 'level' WHEN tid = 't:lift' THEN 'elevator' ELSE 'gate>transfer' END, '>' ORDER BY seq) || '>gate' AS steps FROM sl GROUP BY 1) s ON s.req = rq.id""",
+)
+def gen7(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of every route: local ways, gates and transfers, lifts, and the exit's gate. Some doors have no gate, every tenth request no exit."""
+    legs, rows, passages = _routed(spark, d)
+    gates = passages.where("kind <> 'elevator' and id not like '%9-1'").select("building_id", F.col("id").alias("transition_id"), F.concat(F.lit("transition:"), "id").alias("gate_id"))
+    exits = rows.where("id % 10 <> 9").select("building_id", "id", F.lit("exit").alias("gate_id"))
+    spaces = views.storeys(spark, d).where("space_id is not null").select("building_id", "space_id", "level_id").distinct()
+    steps, errors = benchmarks.route_steps(legs, passages, gates, exits, spaces)
+    kinds = steps.groupBy("building_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "kind"))), lambda s: s["kind"]), ">").alias("steps"))
+    wrong = errors.groupBy("building_id", "id").agg(F.min("code").alias("error"))
+    return legs.select("building_id", "id").distinct().join(wrong, ["building_id", "id"], "left").join(kinds, ["building_id", "id"], "left").select("building_id", "id", "error", "steps")
+
+
+CANDIDATES = """SELECT building_id * 1000 + n AS id, building_id, 9 AS scenario, x, y, z, gx, gy, gz FROM cn"""
+MULTI = """cz AS (SELECT building_id, space_id, level_id, x, y, z, row_number() OVER (PARTITION BY building_id, space_id ORDER BY id) AS ks, row_number() OVER (PARTITION BY building_id, level_id ORDER BY id) AS kl FROM ct WHERE terrain = 'open'),
+    cu AS (SELECT vq.building_id, 1 AS class, vq.id AS ordinal, 'surface_vertical_touch' AS source, vq.id AS subject, sx AS x, sy AS y, sz AS z, gx, gy, gz FROM vq JOIN ve_z v ON v.id = building_id || '/' || vq.id WHERE building_id % 2 = 0
+        UNION ALL SELECT t.building_id, 2, t.id, 'semantic_transition', t.id, f.x, f.y, f.z, g.x, g.y, g.z FROM (SELECT building_id, id, s0, s1 FROM tr WHERE l0 <> l1 AND building_id % 2 = 0 UNION ALL SELECT building_id, id, from_space_id, to_space_id FROM v_lifts WHERE kind = 'elevator') t JOIN cz f ON f.building_id = t.building_id AND f.space_id = s0 AND f.ks = 1 JOIN cz g ON g.building_id = t.building_id AND g.space_id = s1 AND g.ks = 1
+        UNION ALL SELECT f.building_id, 3, '0001', 'level_pair_fallback', '0-1', f.x, f.y, f.z, g.x, g.y, g.z FROM cz f JOIN cz g ON g.building_id = f.building_id WHERE f.kl = 1 AND g.kl = 1 AND f.level_id = 0 AND g.level_id = 1),
+    cn AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY class, ordinal) AS n FROM cu)"""
+
+
+@query(
+    "rt10",
+    ROUTES.replace(f"v_requests AS ({ASKED})", f"{MULTI}, v_requests AS ({CANDIDATES})")
+    + """, ok AS (SELECT building_id, n, source, subject, total, abs(gz - z) AS rise, row_number() OVER (PARTITION BY building_id ORDER BY n) AS k FROM cn JOIN to_ ON to_.req = cn.building_id * 1000 + cn.n)
+    SELECT c.building_id, ok.source, ok.subject, round(total, 4) AS cost, round(rise, 5) AS rise_m, CAST(coalesce(ok.n, c.most) AS INTEGER) AS tried FROM (SELECT building_id, max(n) AS most FROM cn GROUP BY 1) c LEFT JOIN ok ON ok.building_id = c.building_id AND ok.k = 1""",
+)
+def rt10(spark: SparkSession, d: str) -> DataFrame:
+    """Each building's first route between storeys; the stairs of every second building count as not surveyed, so that its lift is tried."""
+    cells, links, _, over, stairs, passages = _passages(spark, d)
+    over = over.where("building_id % 2 = 0")
+    levels = cells.where("level_id is not null").select("building_id", F.col("level_id").alias("id"), (3.0 * F.col("level_id")).alias("elevation_m")).distinct()
+    known = over.unionByName(views.lifts(spark, d).where("kind = 'elevator'"))
+    tries = benchmarks.multilevel_candidates(over, stairs, known, cells, levels)
+    found = benchmarks.representative_routes(tries, lambda asked: hierarchy.routes(asked, passages, cells, links)[1])
+    return found.select("building_id", "source", "subject", F.round("cost", 4).alias("cost"), F.round("rise_m", 5).alias("rise_m"), "tried")
+
+
+STRETCH = (
+    SURFACE + """, op AS (SELECT * FROM ct WHERE terrain = 'open' AND space_id IS NOT NULL),
+    fp AS (SELECT * FROM (SELECT p.building_id, p.space_id, p.id AS a, q.id AS b, p.x AS sx, p.y AS sy, p.z AS sz, q.x AS gx, q.y AS gy, q.z AS gz, round(sqrt(pow(p.x-q.x, 2) + pow(p.y-q.y, 2)), 9) AS d, row_number() OVER (PARTITION BY p.building_id, p.space_id ORDER BY round(sqrt(pow(p.x-q.x, 2) + pow(p.y-q.y, 2)), 9) DESC, p.id, q.id) AS k
+        FROM op p JOIN op q ON p.building_id = q.building_id AND p.space_id = q.space_id AND p.id < q.id) WHERE k = 1 AND d >= 1), """
+    + local_lengths("sr_", "SELECT building_id || '/' || space_id AS id, building_id, space_id, sx, sy, sz, gx, gy, gz FROM fp")
+    + """, sx AS (SELECT fp.building_id, fp.space_id, (SELECT count(*) FROM op WHERE op.building_id = fp.building_id AND op.space_id = fp.space_id) AS n_cells, fp.a, fp.b, d, length, length / d AS ratio FROM fp LEFT JOIN sr_z z ON z.id = fp.building_id || '/' || fp.space_id)"""
+)
+
+
+@query("rt8", STRETCH + " SELECT building_id, space_id, n_cells, a, b, round(d, 5) AS direct_m, round(length, 5) AS route_m, round(ratio, 5) AS ratio FROM sx")
+def rt8(spark: SparkSession, d: str) -> DataFrame:
+    """The stretch of the longest way of every room."""
+    return benchmarks.stretch(*_surface(spark, d)).withColumns({c: F.round(c, 5) for c in ("direct_m", "route_m", "ratio")})
+
+
+@query("rt8_gate", STRETCH + " SELECT building_id, count(ratio) AS n_cases, count(*) - count(ratio) AS n_without, round(max(ratio), 5) AS worst_ratio, coalesce(count(ratio) >= 5 AND count(*) = count(ratio) AND max(round(ratio, 9)) <= 2.5, false) AS passed FROM sx GROUP BY 1")
+def rt8_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The gate of every building: all rooms have a way, at least five of them, none stretched beyond two and a half."""
+    gate = benchmarks.stretch_gate(benchmarks.stretch(*_surface(spark, d)))
+    return gate.select("building_id", "n_cases", "n_without", F.round("worst_ratio", 5).alias("worst_ratio"), F.coalesce("passed", F.lit(False)).alias("passed"))
+
+
+# ---- lifts and obstacles
+
+LIFTS = """fp AS (SELECT p_partkey // 400 AS building_id, 'L' || p_partkey AS id, p_partkey % 20 + 0.6::DOUBLE AS lx, 5.1::DOUBLE + 0.25::DOUBLE * (p_size % 5) AS ly, p_partkey % 20 + 1.4::DOUBLE AS hx, 5.9::DOUBLE + 0.25::DOUBLE * (p_size % 5) AS hy FROM part WHERE p_partkey % 400 // 20 = 5 AND p_partkey % 5 = 4 AND p_partkey % 20 < 19)"""
+
+
+@query(
+    "elm14",
+    with_views("v_storeys", "v_storey_doors", "v_nodes3") + ", " + LIFTS + """, dn AS (SELECT * FROM (SELECT p.building_id, p.id AS door, p.level_id, p.x, p.y, n.id AS node, n.x AS nx, n.y AS ny, n.z AS nz, round(sqrt(pow(p.x-n.x, 2) + pow(p.y-n.y, 2) + pow(p.z-n.z, 2)), 9) AS d, row_number() OVER (PARTITION BY p.building_id, p.id ORDER BY round(sqrt(pow(p.x-n.x, 2) + pow(p.y-n.y, 2) + pow(p.z-n.z, 2)), 9), n.id) AS k
+        FROM v_storey_doors p JOIN v_nodes3 n ON n.building_id = p.building_id AND n.kind = 'walk' AND n.level_id = p.level_id AND n.space_id IN (p.from_space_id, p.to_space_id)) WHERE k = 1 AND d <= 2.5),
+    sv AS (SELECT * FROM (SELECT fp.building_id, fp.id, (lx + hx) / 2 AS cx, (ly + hy) / 2 AS cy, dn.level_id, dn.door, dn.node, nx, ny, nz, row_number() OVER (PARTITION BY fp.building_id, fp.id, dn.level_id ORDER BY round(sqrt(pow(greatest(lx - x, 0, x - hx), 2) + pow(greatest(ly - y, 0, y - hy), 2)), 9), d, door) AS k
+        FROM fp JOIN dn ON dn.building_id = fp.building_id AND round(sqrt(pow(greatest(lx - x, 0, x - hx), 2) + pow(greatest(ly - y, 0, y - hy), 2)), 9) <= 1) WHERE k = 1),
+    st AS (SELECT * FROM sv WHERE (building_id, id) IN (SELECT (building_id, id) FROM sv GROUP BY building_id, id HAVING count(*) >= 2)),
+    sh AS (SELECT building_id, id, 'elevator:' || id || ':' || level_id AS a, 'elevator:' || id || ':' || lead(level_id) OVER w AS b, abs(lead(nz) OVER w - nz) AS d FROM st WINDOW w AS (PARTITION BY building_id, id ORDER BY level_id))
+    SELECT building_id, 'landing' AS part, 'elevator:' || id || ':' || level_id AS a, node AS b, door AS portal_id, round(sqrt(pow(cx-nx, 2) + pow(cy-ny, 2)), 5) AS distance_m FROM st
+    UNION ALL SELECT building_id, 'shaft', a, b, NULL, round(d, 5) FROM sh WHERE b IS NOT NULL UNION ALL SELECT building_id, 'rejected', id, NULL, NULL, NULL FROM fp WHERE (building_id, id) NOT IN (SELECT (building_id, id) FROM st)
+    UNION ALL SELECT DISTINCT building_id, 'no exit', door, NULL, NULL, NULL::DOUBLE FROM st""",
+)
+def elm14(spark: SparkSession, d: str) -> DataFrame:
+    """Lifts beside the doors of both storeys: landings, shafts, doors that are no exits, and lifts that serve fewer than two levels."""
+    part = views.table(spark, d, "part").where("p_partkey % 400 div 20 = 5 and p_partkey % 5 = 4 and p_partkey % 20 < 19")
+    off = 0.25 * (F.col("p_size") % 5)
+    lifts = part.select(F.expr("p_partkey div 400").alias("building_id"), F.concat(F.lit("L"), "p_partkey").alias("id"), (F.col("p_partkey") % 20 + 0.6).alias("lx"), (5.1 + off).alias("ly"), (F.col("p_partkey") % 20 + 1.4).alias("hx"), (5.9 + off).alias("hy"))
+    nodes = graph.settle(views.storey_nodes(spark, d))
+    levels = nodes.where("level_id is not null").select("building_id", F.col("level_id").alias("id"), (3.0 * F.col("level_id")).alias("elevation_m")).distinct()
+    made = elevators.connectors(lifts, views.storey_doors(spark, d), nodes, levels)
+    none = F.lit(None).cast("string")
+    edges = made.edges.select("building_id", F.when(F.col("portal_id").isNull(), "shaft").otherwise("landing").alias("part"), "a", "b", "portal_id", F.round("distance_m", 5).alias("distance_m"))
+    lost = made.rejected.select("building_id", F.lit("rejected").alias("part"), F.col("id").alias("a"), none.alias("b"), none.alias("portal_id"), F.lit(None).cast("double").alias("distance_m"))
+    shut = made.withdrawn.select("building_id", F.lit("no exit").alias("part"), F.col("id").alias("a"), none.alias("b"), none.alias("portal_id"), F.lit(None).cast("double").alias("distance_m"))
+    return edges.unionByName(lost).unionByName(shut)
+
+
+@query(
+    "jn3",
+    with_views("v_cells") + """, sg AS (SELECT building_id, id AS segment_id, x1 + 0.1 AS px, y1 + 0.1 AS py, id % 3 AS pz, x1 + 1.6 AS qx, y1 + 0.7 AS qy, id % 3 + 0.5 AS qz FROM v_cells WHERE id % 2 = 0),
+    ob AS (SELECT building_id, id AS obstacle_id, id // 14 % 2 AS z_min, id // 14 % 2 + 1 AS z_max, x3 + 0.5 AS cx, y1 + 0.5 AS cy, 3 + id // 14 % 4 AS m FROM v_cells WHERE id % 14 = 1),
+    rg AS (SELECT *, unnest(generate_series(0, m - 1)) AS k FROM ob), sd AS (SELECT *, cx + 0.45 * cos(2 * pi() * k / m) AS ax, cy + 0.45 * sin(2 * pi() * k / m) AS ay, cx + 0.45 * cos(2 * pi() * (k + 1) / m) AS bx, cy + 0.45 * sin(2 * pi() * (k + 1) / m) AS by_ FROM rg),
+    cu AS (SELECT s.building_id, segment_id, obstacle_id, px, py, qx, qy, (ay - by_) * (qx - px) + (bx - ax) * (qy - py) AS way, (ay - by_) * (px - ax) + (bx - ax) * (py - ay) AS off FROM sg s JOIN sd ON s.building_id = sd.building_id AND qz >= z_min - 0.1 AND pz <= z_max + 0.1 AND abs(px - cx) < 3 AND abs(py - cy) < 3),
+    ov AS (SELECT building_id, segment_id, obstacle_id, CASE WHEN bool_or(abs(way) < 1e-12 AND off < 0) THEN 0 ELSE greatest(0, least(1, coalesce(min(-off / way) FILTER (way < -1e-12), 1)) - greatest(0, coalesce(max(-off / way) FILTER (way > 1e-12), 0))) * any_value(sqrt(pow(qx - px, 2) + pow(qy - py, 2))) END AS o FROM cu GROUP BY 1, 2, 3)
+    SELECT building_id, segment_id, obstacle_id, round(o, 5) AS overlap_m FROM ov WHERE o > 0.02""",
+)
+def jn3(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that run through obstacles of three to six corners, in either winding, at their height."""
+    c = views.cells(spark, d)
+    n = F.expr("id div 14")
+    point = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.cast("double").alias("z"))
+    s = c.where("id % 2 = 0").select("building_id", F.col("id").alias("segment_id"), point(F.col("x1") + 0.1, F.col("y1") + 0.1, F.col("id") % 3).alias("p"), point(F.col("x1") + 1.6, F.col("y1") + 0.7, F.col("id") % 3 + 0.5).alias("q"))
+    m = 3 + n % 4
+    ring = F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda k: F.struct((F.col("x3") + 0.5 + 0.45 * F.cos(2 * F.pi() * k / m)).alias("x"), (F.col("y1") + 0.5 + 0.45 * F.sin(2 * F.pi() * k / m)).alias("y")))
+    o = c.where("id % 14 = 1").select("building_id", F.col("id").alias("obstacle_id"), F.when(n % 3 == 0, F.reverse(ring)).otherwise(ring).alias("ring"), (n % 2).cast("double").alias("z_min"), (n % 2 + 1).cast("double").alias("z_max"))
+    return benchmarks.edges_through_obstacles(s, o).withColumn("overlap_m", F.round("overlap_m", 5))

@@ -36,12 +36,12 @@ def jn2(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "jn3",
+    "jn3_boxes",
     with_views("v_cells") + """, s AS (SELECT building_id, id AS segment_id, x1 + 0.1 AS ax, y1 + 0.1 AS ay, x1 + 1.6 AS bx, y1 + 0.7 AS vy FROM v_cells WHERE id % 2 = 0), o AS (SELECT building_id, id AS box_id, x3 + 0.2 AS lx, y1 + 0.2 AS ly, x3 + 0.9 AS hx, y1 + 0.8 AS hy FROM v_cells WHERE id % 14 = 1),
     c AS (SELECT s.building_id, segment_id, box_id, greatest(0, least((hx - ax) / (bx - ax), (hy - ay) / (vy - ay), 1.0) - greatest((lx - ax) / (bx - ax), (ly - ay) / (vy - ay), 0.0)) * sqrt((bx-ax)*(bx-ax) + (vy-ay)*(vy-ay)) AS o FROM s JOIN o ON s.building_id = o.building_id)
     SELECT building_id, segment_id, box_id, round(o, 5) AS overlap_m FROM c WHERE o > 0.02""",
 )
-def jn3(spark: SparkSession, d: str) -> DataFrame:
+def jn3_boxes(spark: SparkSession, d: str) -> DataFrame:
     c = views.cells(spark, d)
     s = c.where("id % 2 = 0").select("building_id", F.col("id").alias("segment_id"), (F.col("x1") + 1.6).alias("x2"), (F.col("y1") + 0.7).alias("y2"), (F.col("x1") + 0.1).alias("x1"), (F.col("y1") + 0.1).alias("y1"))
     b = c.where("id % 14 = 1").select("building_id", F.col("id").alias("box_id"), (F.col("x3") + 0.2).alias("lx"), (F.col("y1") + 0.2).alias("ly"), (F.col("x3") + 0.9).alias("hx"), (F.col("y1") + 0.8).alias("hy"))
