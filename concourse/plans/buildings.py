@@ -363,7 +363,7 @@ def jn5(spark: SparkSession, d: str) -> DataFrame:
 PATHS = """, sg AS (SELECT req, grp, a FROM (SELECT se.req, se.grp, se.one AS a, row_number() OVER (PARTITION BY se.req ORDER BY round(sb.cost + se.cost, 9), se.one) AS k FROM se JOIN sb ON sb.grp = se.grp AND sb.req = se.req AND sb.a = se.one WHERE se.two IS NULL) WHERE k = 1),
     sp AS (SELECT x.grp, x.req, x.a, min(y.a) AS before FROM sb x JOIN ab c ON c.grp = x.grp AND c.b = x.a JOIN sb y ON y.grp = x.grp AND y.req = x.req AND y.a = c.a WHERE y.cost < x.cost AND round(y.cost + c.cost, 9) = x.cost GROUP BY ALL),
     sw AS (SELECT req, grp, 0 AS back, a FROM sg UNION ALL SELECT w.req, w.grp, w.back + 1, p.before FROM sw w JOIN sp p ON p.grp = w.grp AND p.req = w.req AND p.a = w.a),
-    sl AS (SELECT req, -100000 AS seq, 'local' AS kind, NULL AS tid FROM sg UNION ALL SELECT req, 1, 'local', NULL FROM sg UNION ALL SELECT req, 0, 'local', NULL FROM wl WHERE one IS NULL AND two IS NULL
+    sl AS (SELECT req, -100000 AS seq, 'local' AS kind, NULL::VARCHAR AS tid FROM sg UNION ALL SELECT req, 1, 'local', NULL FROM sg UNION ALL SELECT req, 0, 'local', NULL FROM wl WHERE one IS NULL AND two IS NULL
         UNION ALL SELECT w.req, -w.back, CASE WHEN split_part(p.before, '>', 1) = split_part(w.a, '>', 1) THEN split_part(w.a, '>', 1) ELSE 'local' END, CASE WHEN split_part(p.before, '>', 1) = split_part(w.a, '>', 1) THEN split_part(w.a, '>', 1) END FROM sw w JOIN sp p ON p.grp = w.grp AND p.req = w.req AND p.a = w.a)"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources import documents, views
+from ..sources import documents, files, views
 from ..sources.views import with_views
 
 NAV = with_views("v_levels", "v_spaces", "v_transitions")
@@ -18,64 +18,110 @@ def written(spark: SparkSession, d: str) -> DataFrame:
     return documents.to_documents({"levels": views.levels(spark, d).select("building_id", F.col("id").cast("long").alias("id"), "name", "elevation_m"), "spaces": s, "transitions": views.transitions(spark, d)})
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as files, read back; with them a file that is no document."""
+    broken = spark.range(1).select(F.lit(-1).cast("long").alias("building_id"), F.lit('{"schema": "concourse.nav/1", "spaces": [').alias("document"))
+    docs = written(spark, d).select(F.col("building_id").cast("long").alias("building_id"), "document").unionByName(broken)
+    return files.read_documents(spark, files.write_documents(docs)).withColumn("building_id", F.col("building_id").cast("long"))
+
+
+@query("src1_broken", NAV + "SELECT building_id, false AS broken, count(*) AS n_spaces FROM v_spaces GROUP BY 1 UNION ALL SELECT -1, true, 0")
+def src1_broken(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each file: the broken one is reported and takes nothing else along."""
+    return stored(spark, d).select("building_id", F.col("broken").isNotNull().alias("broken"), F.size("spaces").cast("long").alias("n_spaces"))
+
+
 @query("src1", NAV + "SELECT building_id, id, name, level_id::BIGINT AS level_id, is_exit FROM v_spaces")
 def src1(spark: SparkSession, d: str) -> DataFrame:
-    """Spaces of documents that were written from tables: the round trip of a document."""
-    return documents.table_of(documents.from_documents(written(spark, d)), "spaces")
+    """Spaces of document files that were written from tables and are read by a scan."""
+    return documents.table_of(stored(spark, d), "spaces")
 
 
 @query("src2", NAV + "SELECT building_id, from_id, to_id FROM v_transitions UNION ALL SELECT building_id, to_id, from_id FROM v_transitions WHERE bidirectional")
 def src2(spark: SparkSession, d: str) -> DataFrame:
     """Adjacency of documents, exploded in both directions where it holds in both."""
-    t = documents.table_of(documents.from_documents(written(spark, d)), "transitions")
+    t = documents.table_of(stored(spark, d), "transitions")
     ways = F.when(F.col("bidirectional"), F.array(F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b")))).otherwise(F.array(F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b"))))
     return t.select("building_id", F.explode(ways).alias("w")).select("building_id", F.col("w.a").alias("from_id"), F.col("w.b").alias("to_id"))
 
 
 @query("snk1", NAV + "SELECT b.building_id, (SELECT count(*) FROM v_levels x WHERE x.building_id = b.building_id) AS n_levels, (SELECT count(*) FROM v_spaces x WHERE x.building_id = b.building_id) AS n_spaces, (SELECT count(*) FROM v_transitions x WHERE x.building_id = b.building_id) AS n_transitions FROM (SELECT DISTINCT building_id FROM v_levels) b")
 def snk1(spark: SparkSession, d: str) -> DataFrame:
-    p = documents.from_documents(written(spark, d))
+    """Files of the documents and how long their lists are when they are read again."""
+    p = stored(spark, d).where("broken is null")
     return p.select("building_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("levels", "spaces", "transitions")])
 
 
 @query("src3", with_views("v_frames") + "SELECT run_id, frame_no, agent_id, time_s, status FROM v_frames")
 def src3(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of playback documents: one JSON text per run, with its frames and their agents."""
-    f = views.frames(spark, d)
-    runs = f.groupBy("run_id").agg(F.to_json(F.struct(F.lit("concourse.playback/1").alias("schema"), F.collect_list(F.struct("frame_no", "time_s", F.array(F.struct("agent_id", "status")).alias("agents"))).alias("frames"))).alias("document"))
-    schema = "schema string, frames array<struct<frame_no: long, time_s: double, agents: array<struct<agent_id: long, status: string>>>>"
-    p = runs.select("run_id", F.from_json("document", schema).alias("d")).where("d.schema like 'concourse.playback/%'")
-    return p.select("run_id", F.explode("d.frames").alias("f")).select("run_id", "f.frame_no", "f.time_s", F.inline("f.agents"))
+    """Frames of playback files with their agents."""
+    path = files.write_playback(views.frames(spark, d).select("run_id", "frame_no", "agent_id", "status", "time_s"))
+    return files.read_playback(spark, path).select("run_id", "frame_no", "agent_id", "time_s", "status")
+
 
+REQUESTS = "SELECT event_id AS id, value AS speed, user_id % 4 / 2 AS multiplier, CASE event_type WHEN 'view' THEN 'planner' WHEN 'click' THEN 'crowd' WHEN 'signup' THEN 'hybrid' WHEN 'error' THEN 'guess' END AS backend, user_id % 6 AS n FROM events"
 
-@query("src4", "SELECT event_id AS id, greatest(value, 0.05) AS speed, CASE WHEN user_id % 6 NOT BETWEEN 1 AND 5 THEN 'count' WHEN event_type = 'error' THEN 'backend' END AS reject FROM events")
+
+@query("src4", f"SELECT id, greatest(speed, 0.05) AS speed, greatest(multiplier, 1.0) AS multiplier, coalesce(backend, 'planner') AS backend, CASE WHEN n = 0 THEN 'no agents' WHEN n = 5 THEN 'count' WHEN backend = 'guess' THEN 'backend' END AS reject FROM ({REQUESTS})")
 def src4(spark: SparkSession, d: str) -> DataFrame:
-    """Requests with clamps, and why they are rejected."""
+    """Requests of JSON files with clamps, and why some are rejected."""
     e = views.table(spark, d, "events")
-    why = F.when(~(F.col("user_id") % 6).between(1, 5), "count").when(F.col("event_type") == "error", "backend")
-    return e.select(F.col("event_id").alias("id"), F.greatest("value", F.lit(0.05)).alias("speed"), why.alias("reject"))
+    n = F.col("user_id") % 6
+    groups = F.when(n == 0, F.array().cast("array<struct<count:bigint>>")).otherwise(F.array(F.struct(F.when(n == 5, 5001).otherwise(n).cast("long").alias("count"))))
+    backend = F.expr("case event_type when 'view' then 'planner' when 'click' then 'crowd' when 'signup' then 'hybrid' when 'error' then 'guess' end")
+    path = files.new_path(spark, "requests")
+    e.select(F.col("event_id").alias("id"), F.col("value").alias("speed"), (F.col("user_id") % 4 / 2).alias("multiplier"), backend.alias("backend"), groups.alias("agents")).write.json(path)
+    good, bad = files.read_requests(spark, path)
+    asked = e.select(F.col("event_id").alias("id"), F.greatest("value", F.lit(0.05)).alias("speed"), F.greatest(F.col("user_id") % 4 / 2, F.lit(1.0)).alias("multiplier"), F.coalesce(backend, F.lit("planner")).alias("backend"))
+    kept = good.select("id", "speed", "multiplier", "backend", F.lit(None).cast("string").alias("reject"))
+    return kept.unionByName(bad.withColumnRenamed("reason", "reject").join(asked, "id").select("id", "speed", "multiplier", "backend", "reject"))
+
+
+def _manifest(spark: SparkSession, d: str) -> str:
+    """Cases as a JSON file: toxic ones have an option of their own."""
+    path = files.new_path(spark, "manifest")
+    own = F.when(F.col("toxic") == 1, F.create_map(F.lit("timeout_s"), F.lit(600)))
+    views.results(spark, d).select(F.col("case_id").alias("id"), F.array("tier").alias("tiers"), own.alias("options")).write.json(path)
+    return path
+
+
+@query("src5", with_views("v_results") + "SELECT case_id, CASE WHEN toxic = 1 THEN 600 ELSE 180 END AS timeout_s, 3 AS retries FROM v_results WHERE tier IN ('en', 'fr')")
+def src5(spark: SparkSession, d: str) -> DataFrame:
+    """Cases of two tiers of a manifest with defaults that their own options overlay."""
+    cases, _ = files.read_manifest(spark, _manifest(spark, d), {"timeout_s": 180, "retries": 3}, ["en", "fr"])
+    return cases.select(F.col("id").alias("case_id"), F.col("options")["timeout_s"].alias("timeout_s"), F.col("options")["retries"].alias("retries"))
 
 
-@query("src5", with_views("v_results") + "SELECT case_id, tier, CASE WHEN toxic = 1 THEN 600 ELSE 180 END AS timeout_s FROM v_results WHERE tier IN ('en', 'fr')")
-def src5(spark: SparkSession, d: str) -> DataFrame:
-    """Cases of two tiers with defaults that their own options overlay."""
-    r = views.results(spark, d)
-    own = F.when(F.col("toxic") == 1, F.create_map(F.lit("timeout_s"), F.lit(600))).otherwise(F.create_map().cast("map<string,int>"))
-    merged = F.map_zip_with(F.create_map(F.lit("timeout_s"), F.lit(180)), own, lambda k, a, b: F.coalesce(b, a))
-    return r.where(F.array_contains(F.array(F.lit("en"), F.lit("fr")), F.col("tier"))).select("case_id", "tier", merged["timeout_s"].alias("timeout_s"))
+@query("src5_ids", with_views("v_results") + ", asked AS (SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0) SELECT id, id NOT IN (SELECT case_id FROM v_results) AS missing FROM asked")
+def src5_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Cases asked for by id, and the ids that the manifest doesn't have."""
+    asked = views.table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    cases, missing = files.read_manifest(spark, _manifest(spark, d), {"timeout_s": 180}, [], asked)
+    return cases.select("id", F.lit(False).alias("missing")).unionByName(missing.select("id", F.lit(True).alias("missing")))
 
 
-@query("src6", FILES + "SELECT id, strlen(content) AS size_bytes FROM v_files")
+@query("src6", "SELECT source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1")
 def src6(spark: SparkSession, d: str) -> DataFrame:
-    return views.files(spark, d).select("id", F.octet_length("content").cast("long").alias("size_bytes"))
+    """Bytes of the files of each source by their catalogue."""
+    path = files.new_path(spark, "texts")
+    views.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").text(path)
+    return files.catalogue(spark, path).groupBy("source").agg(F.sum("size_bytes").alias("size_bytes"))
+
+
+@query("src7", "SELECT split_part(p_type, ' ', 1) AS kind, p_partkey AS id, p_name AS name FROM part WHERE split_part(p_type, ' ', 1) IN ('STANDARD', 'SMALL')")
+def src7(spark: SparkSession, d: str) -> DataFrame:
+    """Raw elements of two kinds, read from a table that is partitioned by kind."""
+    raw = views.table(spark, d, "part").select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return files.read_elements(spark, files.write_elements(raw), "STANDARD", "SMALL").select("kind", "id", "name")
 
 
 @query("snk3", NAV + "SELECT building_id, 'REPORT' AS kind, count(*) AS n_issues FROM v_transitions WHERE from_id % 13 = 0 OR to_id % 13 = 0 GROUP BY 1")
 def snk3(spark: SparkSession, d: str) -> DataFrame:
-    """Reports with their issues nested, and the count that a gate looks at."""
+    """Report files, one object an issue, and the counts that a gate reads from them."""
     bad = views.transitions(spark, d).where("from_id % 13 = 0 or to_id % 13 = 0")
-    nested = bad.groupBy("building_id").agg(F.collect_list(F.struct("from_id", "to_id")).alias("issues"))
-    return nested.select("building_id", F.lit("REPORT").alias("kind"), F.size("issues").cast("long").alias("n_issues"))
+    path = files.write_report(bad.select("building_id", F.lit("REPORT").alias("kind"), "from_id", "to_id"))
+    report = spark.read.schema("kind string, from_id long, to_id long, building_id long").json(path)
+    return report.groupBy("building_id", "kind").agg(F.count("*").alias("n_issues"))
 
 
 @query("snk4", with_views("v_results") + "SELECT tier, count(*) AS total, count(*) FILTER (WHERE status = 'pass') AS passed, count(*) FILTER (WHERE status = 'fail') AS failed FROM v_results GROUP BY 1")
