@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-9
+POINT = "struct<x:double,y:double,z:double>"
 
 
 def vec(x: Column | str, y: Column | str, z: Column | str | None = None) -> Column:

@@ -50,31 +50,42 @@ def discard(df: DataFrame) -> None:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(building_id, id, component) of every node: the smallest id that undirected edges (building_id, a, b) connect it to.
 
-    Each round takes the least label of a node and its neighbours, then the label of that label, so rounds grow with the logarithm of the diameter in most graphs.
+    Each round every node moves to the smallest of itself and its neighbours, then up to seven moves further along
+    theirs, and the edges move along: those that have become loops or repeats go, so the graph shrinks to nothing in a
+    few rounds, long chains included. The moves are written by round and put together from the last, smallest one back.
+    Nodes without edges are components of their own.
     """
-    both = settle(edges.select("building_id", "a", "b").unionByName(edges.select("building_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = settle(nodes.select("building_id", "id").distinct().withColumn("component", F.col("id")))
-    while True:
-        near = both.join(label.select("building_id", F.col("id").alias("b"), "component"), ["building_id", "b"]).groupBy("building_id", F.col("a").alias("id")).agg(F.min("component").alias("low"))
-        hooked = label.join(near, ["building_id", "id"], "left").select("building_id", "id", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
-        hooked = settle(hooked)
-        jump = hooked.select("building_id", F.col("id").alias("low"), F.col("low").alias("further"))
-        new = settle(hooked.join(jump, ["building_id", "low"], "left").select("building_id", "id", F.least("low", F.coalesce("further", "low")).alias("component"), (F.col("component") != F.least("low", F.coalesce("further", "low"))).alias("changed")))
-        label = new.select("building_id", "id", "component")
-        if new.where("changed").isEmpty():
-            return label
+
+    def onward(move: DataFrame) -> DataFrame:
+        return move.join(move.select("building_id", F.col("id").alias("up"), F.col("up").alias("top")), ["building_id", "up"]).select("building_id", "id", F.col("top").alias("up"))
+
+    now = settle(edges.where("a <> b").select("building_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moves = []
+    while not now.isEmpty():
+        ends = now.select("building_id", F.col("a").alias("id"), F.col("a").alias("low")).unionByName(now.select("building_id", F.col("b").alias("id"), F.col("a").alias("low")))
+        first = settle(ends.groupBy("building_id", "id").agg(F.min("low").alias("up")))
+        moves.append(settle(onward(onward(onward(first))), first))
+        to = lambda end: moves[-1].select("building_id", F.col("id").alias(end), F.col("up").alias(f"u{end}"))
+        moved = now.join(to("a"), ["building_id", "a"]).join(to("b"), ["building_id", "b"]).where("ua <> ub")
+        now = settle(moved.select("building_id", F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), now)
+    label = None
+    for move in reversed(moves):
+        top = move if label is None else move.join(label.select("building_id", F.col("id").alias("up"), F.col("up").alias("top")), ["building_id", "up"], "left").select("building_id", "id", F.coalesce("top", "up").alias("up"))
+        label = settle(top, move, *([] if label is None else [label]))
+    every = nodes.select("building_id", "id").distinct()
+    if label is None:
+        return settle(every.withColumn("component", F.col("id")))
+    return settle(every.join(label, ["building_id", "id"], "left").select("building_id", "id", F.coalesce("up", "id").alias("component")), label)
 
 
 def reachable(starts: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(building_id, id) of all that arcs (building_id, a, b) lead to from starts (building_id, id), starts included."""
+    """(building_id, id) of all that arcs (building_id, a, b) lead to from starts (building_id, id), starts included. Each round writes only what it is the first to reach."""
     arcs = settle(arcs.select("building_id", "a", "b").distinct())
-    seen = settle(starts.select("building_id", "id").distinct())
-    frontier = seen
-    while not frontier.isEmpty():
-        step = frontier.join(arcs, (frontier.building_id == arcs.building_id) & (frontier.id == arcs.a)).select(arcs.building_id, F.col("b").alias("id")).distinct()
-        frontier = settle(step.join(seen, ["building_id", "id"], "left_anti"))
-        seen = settle(seen.unionByName(frontier))
-    return seen
+    found = [settle(starts.select("building_id", "id").distinct())]
+    while not found[-1].isEmpty():
+        step = found[-1].join(arcs.withColumnRenamed("a", "id"), ["building_id", "id"]).select("building_id", F.col("b").alias("id")).distinct()
+        found.append(settle(step.join(reduce(DataFrame.unionByName, found), ["building_id", "id"], "left_anti")))
+    return settle(reduce(DataFrame.unionByName, found), arcs, *found)
 
 
 def shortest(sources: DataFrame, arcs: DataFrame, keys: tuple[str, ...] = ("building_id",), hops: int | None = None) -> DataFrame:
@@ -98,7 +109,7 @@ def shortest(sources: DataFrame, arcs: DataFrame, keys: tuple[str, ...] = ("buil
     return best.select(*k, "source", "id", "cost", (F.size("path") - 1).alias("hops"), "path")
 
 
-def cheapest(sources: DataFrame, arcs: DataFrame, keys: tuple[str, ...] = ("building_id",), goals: DataFrame | None = None, nearest: bool = False, steps: int = 6) -> DataFrame:
+def cheapest(sources: DataFrame, arcs: DataFrame, keys: tuple[str, ...] = ("building_id",), goals: DataFrame | None = None, nearest: bool = False, steps: int = 8) -> DataFrame:
     """(keys, source, id, cost): the least cost from each source to every node that it reaches over arcs (keys, a, b, cost).
 
     sources (keys, source, id, cost) may start one source at several nodes, each at a cost of its own. A round takes
@@ -151,14 +162,17 @@ def ways(before: DataFrame, goals: DataFrame, keys: tuple[str, ...] = ("building
     k = list(keys)
     have = settle(goals.select(*k, "source", F.col("id").alias("goal"), F.lit(0).alias("back"), "id").distinct())
     jump, span = settle(before.join(goals.select(*k, "source").distinct(), [*k, "source"], "left_semi").select(*k, "source", "id", "before")), 1
+    spent = (have, jump)
+    further = lambda one: one.join(one.select(*k, "source", F.col("id").alias("before"), F.col("before").alias("further")), [*k, "source", "before"]).select(*k, "source", "id", F.col("further").alias("before"))
     while True:
-        more = have.join(jump, [*k, "source", "id"]).select(*k, "source", "goal", (F.col("back") + span).alias("back"), F.col("before").alias("id"))
-        have = settle(have.unionByName(more), have)
-        jump = settle(jump.join(jump.select(*k, "source", F.col("id").alias("before"), F.col("before").alias("further")), [*k, "source", "before"]).select(*k, "source", "id", F.col("further").alias("before")), jump)
+        for _ in range(2):  # two jumps a round
+            have = have.unionByName(have.join(jump, [*k, "source", "id"]).select(*k, "source", "goal", (F.col("back") + span).alias("back"), F.col("before").alias("id")))
+            jump, span = further(jump), 2 * span
+        have, jump = settle(have, spent[0]), settle(jump, spent[1])
+        spent = (have, jump)
         if jump.isEmpty():  # no node lies as far back as the next jump
             discard(jump)
             return have
-        span *= 2
 
 
 def vertical_components(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("stair", "ramp", "elevator", "escalator")) -> DataFrame:

@@ -164,12 +164,12 @@ def snap(points: DataFrame, cells: DataFrame, radius: float, size: float = 4.0)
 
 
 def closest_cells(points: DataFrame, cells: DataFrame, radius: float = 2.0) -> DataFrame:
-    """(building_id, point_id, x, y, cell_id, distance_m): the cell nearest to each point of any space, however far; points of buildings without cells give no row.
+    """(building_id, point_id, x, y, cell_id, distance_m): the cell nearest to each point of any space, however far; points of buildings without cells and points with a null coordinate give no row.
 
     The radius doubles, and with it the squares of the grid, for points that have met no cell yet.
     """
     all_ = cells.withColumn("space_id", F.lit(""))
-    held = points.join(cells.select("building_id").distinct(), "building_id", "left_semi")
+    held = points.where("x is not null and y is not null and z is not null").join(cells.select("building_id").distinct(), "building_id", "left_semi")
     todo, done = settle(held.select("building_id", "id", F.lit("").alias("space_id"), "x", "y", "z")), None
     none = snap(todo, all_, radius)
     while not todo.isEmpty():

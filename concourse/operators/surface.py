@@ -274,8 +274,8 @@ def pulled_routes(legs: DataFrame, ends: DataFrame, cells: DataFrame, links: Dat
     before = Window.partitionBy(*k).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("fold", fold).withColumn("run", F.coalesce(F.sum(F.col("fold").cast("int")).over(before), F.lit(0)).cast("int"))
     level = F.struct(g.vec(F.lit(0.0), F.lit(0.0)).alias("o"), g.vec(F.lit(1.0), F.lit(0.0)).alias("u"), g.vec(F.lit(0.0), F.lit(1.0)).alias("v"))
-    met = settle(met.select(*k, "seq", "fold", "run", "p", "q", g.centroid(*fa).alias("ma"), g.centroid(*fb).alias("mb"), F.when(~F.col("fold"), level if flat else _plane(fa)).alias("plane"), *[F.when(F.col("fold"), g.closest_on_triangle(g.centroid(F.col("p"), F.col("q")), *f)).alias(n) for n, f in (("out", fa), ("in", fb))]))
-    point, item = "struct<x:double,y:double,z:double>", dict(met.select(F.struct("seq", "p", "q", "ma", "mb", "plane").alias("i")).dtypes)["i"]
+    met = settle(met.select(*k, "seq", "fold", "run", "p", "q", g.centroid(*fa).alias("ma"), g.centroid(*fb).alias("mb"), F.when(~F.col("fold"), level if flat else _plane(fa)).alias("plane"), *[(F.lit(None).cast(g.POINT) if flat else F.when(F.col("fold"), g.closest_on_triangle(g.centroid(F.col("p"), F.col("q")), *f))).alias(n) for n, f in (("out", fa), ("in", fb))]))
+    point, item = g.POINT, dict(met.select(F.struct("seq", "p", "q", "ma", "mb", "plane").alias("i")).dtypes)["i"]
     row = lambda run, **given: [*k, run.cast("int").alias("run"), *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in (("start", point), ("stop", point), ("item", item))]]
     folds = met.where("fold")
     last = ends.join(folds.groupBy(*k).agg(F.count("*").alias("n")), k, "left")

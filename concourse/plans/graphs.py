@@ -89,47 +89,72 @@ def gr10(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("ratio", F.round(F.col("n_reach") / F.col("n_nodes"), 6))
 
 
-WALK = ", walk AS (SELECT building_id, id AS source, id, 0.0::DOUBLE AS cost, 0 AS hops FROM ({s}) UNION SELECT w.building_id, w.source, a.b, round(w.cost + a.cost, 9), w.hops + 1 FROM walk w JOIN ({a}) a ON a.building_id = w.building_id AND a.a = w.id WHERE w.hops < {h}) SELECT building_id, source, id, round(min(cost), 6) AS cost FROM walk GROUP BY 1, 2, 3"
+# least costs to asked goals; grp keeps buildings apart
+BEST = ", arc AS (SELECT building_id, a, b, min(cost) AS cost FROM ({a}) GROUP BY 1, 2, 3), best(building_id, source, id, cost) USING KEY (building_id, source, id) AS (SELECT DISTINCT building_id, source, source, 0.0::DOUBLE FROM ({s}) UNION SELECT n.building_id, n.source, n.b, n.cost FROM (SELECT w.building_id, w.source, x.b, min(round(w.cost + x.cost, 9)) AS cost FROM best w JOIN arc x ON x.building_id = w.building_id AND x.a = w.id GROUP BY ALL) n LEFT JOIN recurring.best o ON o.building_id = n.building_id AND o.source = n.source AND o.id = n.b WHERE o.cost IS NULL OR n.cost < o.cost) "
+GOALS = BEST + "SELECT r.building_id, r.source, r.id, round(cost, 6) AS cost FROM ({r}) r JOIN best USING (building_id, source, id)"
 
 
-@query("gr11", with_views("v_edges") + WALK.format(s="SELECT DISTINCT building_id, a AS id FROM v_edges WHERE a LIKE '%00'", a="SELECT building_id, a, b, distance_m AS cost FROM v_edges UNION ALL SELECT building_id, b, a, distance_m FROM v_edges", h=6))
+def asked_costs(asked: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Costs of asked pairs (building_id, source, id); those without a way give no row."""
+    asked = graph.settle(asked.distinct())
+    sources = asked.select("building_id", "source", F.col("source").alias("id"), F.lit(0.0).alias("cost")).distinct()
+    best = graph.cheapest(sources, arcs, goals=asked)
+    return asked.join(best, ["building_id", "source", "id"]).select("building_id", "source", "id", F.round("cost", 6).alias("cost"))
+
+
+NODE_PAIRS = "SELECT building_id, a AS source, max(b) AS id FROM v_edges WHERE a LIKE '%00' GROUP BY 1, 2 UNION SELECT p.building_id, p.a, q.b FROM (SELECT building_id, max(a) AS a FROM v_edges WHERE a LIKE '%00' GROUP BY 1) p JOIN (SELECT building_id, min(b) AS b FROM v_edges GROUP BY 1) q USING (building_id)"
+
+
+@query("gr11", with_views("v_edges") + GOALS.format(s=NODE_PAIRS, r=NODE_PAIRS, a="SELECT building_id, a, b, distance_m AS cost FROM v_edges UNION ALL SELECT building_id, b, a, distance_m FROM v_edges"))
 def gr11(spark: SparkSession, d: str) -> DataFrame:
-    """Cheapest ways of at most six edges from every hundredth node."""
+    """Cheapest ways of asked pairs: from every hundredth node to a neighbour, and across each building."""
     e = views.edges(spark, d)
-    sources = e.where("a like '%00'").select("building_id", F.col("a").alias("source")).distinct()
-    return graph.shortest(sources, graph.undirected(e, "distance_m"), hops=6).select("building_id", "source", "id", F.round("cost", 6).alias("cost"))
+    near = e.where("a like '%00'").groupBy("building_id", F.col("a").alias("source")).agg(F.max("b").alias("id"))
+    far = e.where("a like '%00'").groupBy("building_id").agg(F.max("a").alias("source")).join(e.groupBy("building_id").agg(F.min("b").alias("id")), "building_id")
+    return asked_costs(near.unionByName(far.select(*near.columns)), graph.undirected(e, "distance_m"))
 
 
 SCENARIO = "SELECT a.building_id, a.a, a.b, greatest(1.0, CASE WHEN a.a % 5 = 0 THEN 3.0 ELSE 1.0 END, CASE WHEN a.b % 5 = 0 THEN 3.0 ELSE 1.0 END)::DOUBLE AS cost FROM arcs a WHERE a.b % 11 <> 0"
+SPACE_PAIRS = "SELECT e.building_id, e.id AS source, s.id FROM v_spaces e JOIN v_spaces s USING (building_id) WHERE e.is_exit"
 
 
-@query("gr12", TRANS + WALK.format(s="SELECT building_id, id FROM v_spaces WHERE is_exit", a=SCENARIO, h=5))
+@query("gr12", TRANS + GOALS.format(s=SPACE_PAIRS, r=SPACE_PAIRS, a=SCENARIO))
 def gr12(spark: SparkSession, d: str) -> DataFrame:
-    """Space paths from the exits under a scenario: every eleventh space is closed, every fifth costs three times as much."""
+    """Space paths from the exits to all spaces under a scenario: every eleventh space is closed, every fifth costs three times as much."""
     s = views.spaces(spark, d)
     arcs = graph.space_arcs(views.transitions(spark, d)).withColumn("cost", F.lit(1.0))
     arcs = graph.under_scenario(arcs, s.where("id % 11 = 0"), s.where("id % 5 = 0").select("building_id", "id", F.lit(3.0).alias("multiplier")))
-    sources = s.where("is_exit").select("building_id", F.col("id").alias("source"))
-    return graph.shortest(sources, arcs, hops=5).select("building_id", "source", "id", F.round("cost", 6).alias("cost"))
+    sources = s.where("is_exit").select("building_id", F.col("id").alias("source"), "id", F.lit(0.0).alias("cost"))
+    return graph.cheapest(sources, arcs).select("building_id", "source", "id", F.round("cost", 6).alias("cost"))
 
 
 CORRIDOR = "SELECT l.building_id, p.id AS a, q.id AS b, round(sqrt(pow((p.x1+p.x2+p.x3-q.x1-q.x2-q.x3)/3, 2) + pow((p.y1+p.y2+p.y3-q.y1-q.y2-q.y3)/3, 2)) * CASE WHEN q.terrain = 'stair' THEN 1.25 ELSE 1 END, 9) AS cost FROM (SELECT building_id, a, b FROM links UNION ALL SELECT building_id, b, a FROM links) l JOIN v_cells p ON p.id = l.a JOIN v_cells q ON q.id = l.b"
+CELL_PAIRS = "SELECT c.building_id, f.source, c.id FROM v_cells c JOIN (SELECT building_id, space_id, min(id) AS source FROM v_cells GROUP BY 1, 2) f USING (building_id)"
 
 
-@query("gr13", LINKS + ", corridor AS (" + CORRIDOR + ")" + WALK.format(s="SELECT building_id, min(id) AS id FROM v_cells GROUP BY 1", a="SELECT * FROM corridor", h=10))
+@query("gr13", LINKS + ", corridor AS (" + CORRIDOR + ")" + GOALS.format(s=CELL_PAIRS, r=CELL_PAIRS, a="SELECT * FROM corridor"))
 def gr13(spark: SparkSession, d: str) -> DataFrame:
-    """Cell corridors of at most ten steps from each building's first cell; stairs cost a quarter more."""
+    """Cell corridors from the first cell of each space to all that it reaches; stairs cost a quarter more."""
     c = views.cells(spark, d)
-    sources = c.groupBy("building_id").agg(F.min("id").alias("source"))
-    return graph.shortest(sources, routes.corridor_arcs(c, joins.shared_sides(c)), hops=10).select("building_id", "source", "id", F.round("cost", 6).alias("cost"))
+    sources = c.groupBy("building_id", "space_id").agg(F.min("id").alias("source")).select("building_id", "source", F.col("source").alias("id"), F.lit(0.0).alias("cost"))
+    return graph.cheapest(sources, routes.corridor_arcs(c, joins.shared_sides(c))).select("building_id", "source", "id", F.round("cost", 6).alias("cost"))
 
 
-@query("gr18")
+@query(
+    "gr18",
+    TRANS + BEST.format(s="SELECT building_id, id AS source FROM v_spaces WHERE is_exit", a="SELECT building_id, a, b, 1.0::DOUBLE AS cost FROM arcs")
+    + """, prev AS (SELECT x.building_id, x.source, x.id, min(y.id) AS before FROM best x JOIN arc c ON c.building_id = x.building_id AND c.b = x.id JOIN best y ON y.building_id = x.building_id AND y.source = x.source AND y.id = c.a WHERE y.cost < x.cost AND round(y.cost + c.cost, 9) = x.cost GROUP BY ALL),
+    back AS (SELECT building_id, source, id AS goal, id, id::VARCHAR AS path, 0 AS hops FROM best UNION ALL SELECT b.building_id, b.source, b.goal, p.before, p.before || '>' || b.path, b.hops + 1 FROM back b JOIN prev p ON p.building_id = b.building_id AND p.source = b.source AND p.id = b.id)
+    SELECT building_id, source, goal AS id, hops, path FROM back WHERE id = source""",
+)
 def gr18(spark: SparkSession, d: str) -> DataFrame:
-    """The ways themselves, node by node."""
+    """The ways themselves, node by node, rebuilt from predecessors."""
     s = views.spaces(spark, d)
-    arcs = graph.space_arcs(views.transitions(spark, d)).withColumn("cost", F.lit(1.0))
-    return graph.shortest(s.where("is_exit").select("building_id", F.col("id").alias("source")), arcs).select("building_id", "source", "id", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    arcs = graph.settle(graph.space_arcs(views.transitions(spark, d)).withColumn("cost", F.lit(1.0)))
+    best = graph.cheapest(s.where("is_exit").select("building_id", F.col("id").alias("source"), "id", F.lit(0.0).alias("cost")), arcs)
+    way = graph.ways(graph.settle(graph.predecessors(best, arcs)), best.select("building_id", "source", "id"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("seq"), "id"))), lambda e: e["id"].cast("string"))
+    return way.groupBy("building_id", "source", F.col("goal").alias("id")).agg(F.max("back").alias("hops"), F.array_join(line, ">").alias("path"))
 
 
 @query("gr19", TRANS + ", seen AS (SELECT building_id, id FROM v_spaces WHERE is_exit UNION SELECT a.building_id, a.a FROM seen s JOIN arcs a ON a.building_id = s.building_id AND a.b = s.id) SELECT s.building_id, s.id, (s.building_id, s.id) IN (SELECT (building_id, id) FROM seen) AS baseline FROM v_spaces s")
