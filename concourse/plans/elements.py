@@ -132,8 +132,8 @@ def gr7(spark: SparkSession, d: str) -> DataFrame:
     return landed(spark, d)
 
 
-@query("gr8", LANDED + """, o AS (SELECT f.building_id, component, space_id AS from_space_id, lead(space_id) OVER (PARTITION BY f.building_id, component ORDER BY elevation_m, level_id) AS to_space_id FROM f JOIN v_levels l ON l.id = f.level_id AND l.building_id = f.building_id)
-    SELECT * FROM o WHERE to_space_id <> from_space_id AND NOT EXISTS (SELECT 1 FROM v_transitions t WHERE t.building_id = o.building_id AND ((from_id = from_space_id AND to_id = to_space_id) OR (to_id = from_space_id AND from_id = to_space_id)))""")
+@query("gr8", LANDED + f", v_open AS ({views.SQL['v_open']})" + """, o AS (SELECT f.building_id, component, space_id AS from_space_id, lead(space_id) OVER (PARTITION BY f.building_id, component ORDER BY elevation_m, level_id) AS to_space_id FROM f JOIN v_levels l ON l.id = f.level_id AND l.building_id = f.building_id)
+    SELECT * FROM o WHERE to_space_id <> from_space_id AND NOT EXISTS (SELECT 1 FROM v_open t WHERE t.building_id = o.building_id AND ((from_id = from_space_id AND to_id = to_space_id) OR (to_id = from_space_id AND from_id = to_space_id)))""")
 def gr8(spark: SparkSession, d: str) -> DataFrame:
-    linked = views.transitions(spark, d).select("building_id", F.col("from_id").alias("from_space_id"), F.col("to_id").alias("to_space_id"))
+    linked = views.open_transitions(spark, d).select("building_id", F.col("from_id").alias("from_space_id"), F.col("to_id").alias("to_space_id"))
     return elements.between_levels(landed(spark, d), views.levels(spark, d), linked)

@@ -121,11 +121,11 @@ def jn17(spark: SparkSession, d: str) -> DataFrame:
     return joins.attached(doors, p.where("id % 20 <> 0").withColumn("space_id", F.col("id") % 7)).withColumn("d", r6(F.col("d")))
 
 
-@query("jn18", with_views("v_spaces", "v_portals", "v_transitions") + "SELECT p.building_id, 'transition:' || p.id AS id, p.from_space_id, p.to_space_id, s.level_id AS from_level_id, t.level_id AS to_level_id FROM v_portals p LEFT JOIN v_spaces s ON s.id = p.from_space_id LEFT JOIN v_spaces t ON t.id = p.to_space_id WHERE NOT EXISTS (SELECT 1 FROM v_transitions x WHERE x.from_id = p.from_space_id AND x.building_id = p.building_id)")
+@query("jn18", with_views("v_spaces", "v_portals", "v_transitions", "v_open") + "SELECT p.building_id, 'transition:' || p.id AS id, p.from_space_id, p.to_space_id, s.level_id AS from_level_id, t.level_id AS to_level_id FROM v_portals p LEFT JOIN v_spaces s ON s.id = p.from_space_id LEFT JOIN v_spaces t ON t.id = p.to_space_id WHERE NOT EXISTS (SELECT 1 FROM v_open x WHERE x.from_id = p.from_space_id AND x.building_id = p.building_id)")
 def jn18(spark: SparkSession, d: str) -> DataFrame:
     """A transition for each door that none names yet."""
     s = views.spaces(spark, d)
-    p = views.portals(spark, d).join(views.transitions(spark, d).select("building_id", F.col("from_id").alias("from_space_id")), ["building_id", "from_space_id"], "left_anti")
+    p = views.portals(spark, d).join(views.open_transitions(spark, d).select("building_id", F.col("from_id").alias("from_space_id")), ["building_id", "from_space_id"], "left_anti")
     level = lambda side: s.select(F.col("id").alias(f"{side}_space_id"), F.col("level_id").alias(f"{side}_level_id"))
     out = p.join(level("from"), "from_space_id", "left").join(level("to"), "to_space_id", "left")
     return out.select("building_id", F.concat(F.lit("transition:"), "id").alias("id"), "from_space_id", "to_space_id", "from_level_id", "to_level_id")

@@ -12,8 +12,8 @@ from ..sources.views import with_views
 from .graphs import LOCAL, TRANS
 from .joins import LINKS
 
-MODEL = with_views("v_levels", "v_spaces", "v_transitions", "v_nodes", "v_node_edges", "v_portals")
-UND = ", und AS (SELECT building_id, a, b FROM v_node_edges UNION SELECT building_id, b, a FROM v_node_edges), kn AS (SELECT u.* FROM und u JOIN v_nodes p ON p.id = u.a AND p.building_id = u.building_id JOIN v_nodes q ON q.id = u.b AND q.building_id = u.building_id), reached AS (SELECT building_id, id AS u, id AS v FROM v_nodes UNION SELECT r.building_id, r.u, k.b FROM reached r JOIN kn k ON k.building_id = r.building_id AND k.a = r.v), label AS (SELECT building_id, u AS id, min(v) AS component FROM reached GROUP BY 1, 2) "
+MODEL = with_views("v_levels", "v_spaces", "v_transitions", "v_nodes", "v_node_edges", "v_portals", "v_open", "v_open_edges")
+UND = ", und AS (SELECT building_id, a, b FROM v_open_edges UNION SELECT building_id, b, a FROM v_open_edges), kn AS (SELECT u.* FROM und u JOIN v_nodes p ON p.id = u.a AND p.building_id = u.building_id JOIN v_nodes q ON q.id = u.b AND q.building_id = u.building_id), reached AS (SELECT building_id, id AS u, id AS v FROM v_nodes UNION SELECT r.building_id, r.u, k.b FROM reached r JOIN kn k ON k.building_id = r.building_id AND k.a = r.v), label AS (SELECT building_id, u AS id, min(v) AS component FROM reached GROUP BY 1, 2) "
 EDGE = "a || '-' || b"
 
 
@@ -27,7 +27,7 @@ def lacks(code: str, severity: str, entity: str, table: str, column: str, known:
 
 def known_edges(spark: SparkSession, d: str) -> DataFrame:
     n = views.nodes(spark, d)
-    return views.node_edges(spark, d).join(n.select("building_id", F.col("id").alias("a")), ["building_id", "a"], "left_semi").join(n.select("building_id", F.col("id").alias("b")), ["building_id", "b"], "left_semi")
+    return views.open_edges(spark, d).join(n.select("building_id", F.col("id").alias("a")), ["building_id", "a"], "left_semi").join(n.select("building_id", F.col("id").alias("b")), ["building_id", "b"], "left_semi")
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -58,15 +58,15 @@ def v3(spark: SparkSession, d: str) -> DataFrame:
     return rules.negative_lengths(views.node_edges(spark, d))
 
 
-@query("v4", MODEL + ", lone AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY id) AS k FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_node_edges e WHERE e.building_id = n.building_id AND n.id IN (e.a, e.b))) " + issue("ISOLATED_NODE", "warning", "id", "lone WHERE k <= 100"))
+@query("v4", MODEL + ", lone AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY id) AS k FROM v_nodes n WHERE NOT EXISTS (SELECT 1 FROM v_open_edges e WHERE e.building_id = n.building_id AND n.id IN (e.a, e.b))) " + issue("ISOLATED_NODE", "warning", "id", "lone WHERE k <= 100"))
 def v4(spark: SparkSession, d: str) -> DataFrame:
-    return rules.isolated_nodes(views.nodes(spark, d), views.node_edges(spark, d))
+    return rules.isolated_nodes(views.nodes(spark, d), views.open_edges(spark, d))
 
 
-@query("v5", MODEL + issue("NO_NODES", "error", "building_id", "(SELECT DISTINCT building_id FROM v_levels) b WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE n.building_id = b.building_id AND n.kind = 'stair')"))
+@query("v5", MODEL + issue("NO_NODES", "error", "building_id", "(SELECT DISTINCT building_id FROM v_levels) b WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE n.building_id = b.building_id AND n.kind = 'stair' AND n.is_exit)"))
 def v5(spark: SparkSession, d: str) -> DataFrame:
-    """Buildings without a node of the stairs' graph."""
-    return rules.empty_graphs(views.levels(spark, d).select("building_id").distinct(), views.nodes(spark, d).where("kind = 'stair'"))
+    """Buildings without a node where a stair leads out."""
+    return rules.empty_graphs(views.levels(spark, d).select("building_id").distinct(), views.nodes(spark, d).where("kind = 'stair' and is_exit"))
 
 
 @query("v6", MODEL + UND + issue("DISCONNECTED_GRAPH", "warning", "building_id", "label GROUP BY building_id HAVING count(DISTINCT component) > 1"))
@@ -120,9 +120,9 @@ def v15(spark: SparkSession, d: str) -> DataFrame:
     return rules.no_exit(views.portals(spark, d))
 
 
-@query("v16", MODEL + issue("PORTAL_NO_NODE", "warning", "id", "v_portals x WHERE NOT EXISTS (SELECT 1 FROM v_node_edges k WHERE k.building_id = x.building_id AND k.portal_id = x.id)"))
+@query("v16", MODEL + issue("PORTAL_NO_NODE", "warning", "id", "v_portals x WHERE NOT EXISTS (SELECT 1 FROM v_open_edges k WHERE k.building_id = x.building_id AND k.portal_id = x.id)"))
 def v16(spark: SparkSession, d: str) -> DataFrame:
-    return rules.unmet(views.portals(spark, d), views.node_edges(spark, d), "PORTAL_NO_NODE", "portal_id")
+    return rules.unmet(views.portals(spark, d), views.open_edges(spark, d), "PORTAL_NO_NODE", "portal_id")
 
 
 @query("v17", MODEL + issue("PORTAL_DISCONNECTED", "warning", "id", "v_portals x WHERE NOT EXISTS (SELECT 1 FROM v_node_edges k WHERE k.building_id = x.building_id AND k.portal_id = x.id AND k.a <> k.b)"))
@@ -161,9 +161,9 @@ def v22(spark: SparkSession, d: str) -> DataFrame:
     return rules.issues(lost, "NODES_CANNOT_REACH_EXIT", "warning", "n")
 
 
-@query("v23", NAMED + issue("VERTICAL_NO_TRANSITION", "warning", "building_id", "(SELECT building_id FROM v_levels GROUP BY 1 HAVING count(*) > 1) b WHERE EXISTS (SELECT 1 FROM v_nodes n WHERE n.building_id = b.building_id AND kind IN ('stair', 'elevator')) AND NOT EXISTS (SELECT 1 FROM named t WHERE t.building_id = b.building_id AND from_level_id <> to_level_id AND from_id % 10 = 3)"))
+@query("v23", NAMED + issue("VERTICAL_NO_TRANSITION", "warning", "building_id", "(SELECT building_id FROM v_levels GROUP BY 1 HAVING count(*) > 1) b WHERE EXISTS (SELECT 1 FROM v_nodes n WHERE n.building_id = b.building_id AND kind IN ('stair', 'elevator')) AND NOT EXISTS (SELECT 1 FROM named t JOIN v_open o USING (building_id, from_id, to_id) WHERE t.building_id = b.building_id AND from_level_id <> to_level_id AND t.bidirectional AND from_id % 10 = 3)"))
 def v23(spark: SparkSession, d: str) -> DataFrame:
-    return rules.vertical_unused(views.levels(spark, d), views.nodes(spark, d), named_transitions(spark, d).where("from_id % 10 = 3"))
+    return rules.vertical_unused(views.levels(spark, d), views.nodes(spark, d), named_transitions(spark, d).join(views.open_transitions(spark, d).select("building_id", "from_id", "to_id"), ["building_id", "from_id", "to_id"], "left_semi").where("bidirectional and from_id % 10 = 3"))
 
 
 CELLS = with_views("v_cells")
@@ -214,14 +214,13 @@ def v31(spark: SparkSession, d: str) -> DataFrame:
     return rules.issues(gr3(spark, d).where("split"), "SURFACE_SPACE_SPLIT_COMPONENTS", "warning", "space_id")
 
 
-SEEN = TRANS + ", seen AS (SELECT building_id, id FROM v_spaces WHERE is_exit UNION SELECT a.building_id, a.a FROM seen s JOIN arcs a ON a.building_id = s.building_id AND a.b = s.id), lost AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY id) AS k FROM v_spaces x WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.building_id = x.building_id AND s.id = x.id)) "
+SEEN = with_views("v_spaces", "v_transitions", "v_open") + ", arcs AS (SELECT building_id, from_id AS a, to_id AS b FROM v_open UNION SELECT building_id, to_id, from_id FROM v_open WHERE bidirectional), seen AS (SELECT building_id, id FROM v_spaces WHERE is_exit UNION SELECT a.building_id, a.a FROM seen s JOIN arcs a ON a.building_id = s.building_id AND a.b = s.id), lost AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY id) AS k FROM v_spaces x WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.building_id = x.building_id AND s.id = x.id)) "
 
 
 @query("v35", SEEN + issue("SURFACE_SPACE_CANNOT_REACH_EXIT", "warning", "id", "lost WHERE k <= 25") + " UNION ALL " + issue("SURFACE_SPACES_CANNOT_REACH_EXIT", "warning", "count(*)", "lost GROUP BY building_id"))
 def v35(spark: SparkSession, d: str) -> DataFrame:
-    from .graphs import gr9
-
-    lost = views.spaces(spark, d).join(gr9(spark, d), ["building_id", "id"], "left_anti")
+    back = graph.space_arcs(views.open_transitions(spark, d)).select("building_id", F.col("b").alias("a"), F.col("a").alias("b"))
+    lost = views.spaces(spark, d).join(graph.reachable(views.spaces(spark, d).where("is_exit"), back), ["building_id", "id"], "left_anti")
     first = rules.Window.partitionBy("building_id").orderBy("id")
     named = lost.withColumn("k", F.row_number().over(first)).where("k <= 25")
     total = lost.groupBy("building_id").agg(F.count("*").alias("n"))

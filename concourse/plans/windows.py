@@ -137,9 +137,9 @@ def set1(spark: SparkSession, d: str) -> DataFrame:
     return both.where("id is not null").distinct()
 
 
-@query("set2", PORTALS + "SELECT building_id, id FROM v_spaces EXCEPT SELECT building_id, from_id FROM v_transitions")
+@query("set2", PORTALS + f", v_open AS ({views.SQL['v_open']}) " + "SELECT building_id, id FROM v_spaces EXCEPT SELECT building_id, from_id FROM v_open")
 def set2(spark: SparkSession, d: str) -> DataFrame:
-    return views.spaces(spark, d).select("building_id", "id").exceptAll(views.transitions(spark, d).select("building_id", F.col("from_id").alias("id")).distinct())
+    return views.spaces(spark, d).select("building_id", "id").exceptAll(views.open_transitions(spark, d).select("building_id", F.col("from_id").alias("id")).distinct())
 
 
 @query("set3", PORTALS + "SELECT building_id, from_id AS id FROM v_transitions INTERSECT SELECT building_id, from_space_id FROM v_portals")

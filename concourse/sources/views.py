@@ -85,6 +85,19 @@ def node_edges(spark: SparkSession, d: str) -> DataFrame:
     return t.select("building_id", a.alias("a"), F.when(a % 17 == 0, a).otherwise(b).alias("b"), ((a * 7 + b) % 9 - 1).cast("double").alias("distance_m"), F.when((a + b) % 4 == 0, F.concat(F.lit("d"), a.cast("string"))).alias("portal_id"))
 
 
+def open_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """The transitions between spaces of much the same weight; walls stand between the others, so some spaces are shut off and buildings fall apart."""
+    weight = lambda end: spaces(spark, d).select("building_id", F.col("id").alias(f"{end}_id"), F.col("weight").alias(f"w_{end}"))
+    met = transitions(spark, d).join(weight("from"), ["building_id", "from_id"]).join(weight("to"), ["building_id", "to_id"])
+    return met.where("abs(w_from - w_to) < 500").select("building_id", "from_id", "to_id", "bidirectional")
+
+
+def open_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The node edges of those transitions."""
+    kept = open_transitions(spark, d).select("building_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    return node_edges(spark, d).join(kept, ["building_id", "a", "b"], "left_semi")
+
+
 def portals(spark: SparkSession, d: str) -> DataFrame:
     """Doors of every third space to the next such space of its building; the last one has one side."""
     order = Window.partitionBy("building_id").orderBy("id")
@@ -160,6 +173,8 @@ STATUS = {"view": "moving", "click": "transfer", "error": "waiting", "signup": "
 SQL = {
     "v_nodes": "SELECT building_id, id, level_id, id % 30 AS space_id, CASE WHEN id % 5 = 0 THEN 'stair' WHEN id % 5 = 1 THEN 'elevator' ELSE 'walk' END AS kind, is_exit FROM v_spaces WHERE id % 13 <> 0",
     "v_node_edges": "SELECT building_id, from_id AS a, CASE WHEN from_id % 17 = 0 THEN from_id ELSE to_id END AS b, CAST((from_id * 7 + to_id) % 9 - 1 AS DOUBLE) AS distance_m, CASE WHEN (from_id + to_id) % 4 = 0 THEN 'd' || from_id END AS portal_id FROM v_transitions",
+    "v_open": "SELECT t.* FROM v_transitions t JOIN v_spaces p ON p.id = from_id JOIN v_spaces q ON q.id = to_id WHERE abs(p.weight - q.weight) < 500",
+    "v_open_edges": "SELECT e.* FROM v_node_edges e JOIN v_open o ON o.building_id = e.building_id AND o.from_id = e.a AND o.to_id = e.b",
     "v_portals": "SELECT 'd' || id AS id, building_id, id AS from_space_id, lead(id) OVER (PARTITION BY building_id ORDER BY id) AS to_space_id, level_id, round(weight / 10000, 3) AS width_m, is_exit FROM v_spaces WHERE id % 3 = 0",
     "v_edges": "SELECT l_suppkey % 20 AS building_id, 'o' || l_orderkey AS a, 'p' || l_partkey AS b, min(l_quantity) / 10 AS distance_m FROM lineitem GROUP BY 1, 2, 3",
     "v_levels": "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS building_id, 3.0::DOUBLE * (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS elevation_m FROM nation",
