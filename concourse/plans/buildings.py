@@ -482,3 +482,59 @@ def jn3(spark: SparkSession, d: str) -> DataFrame:
     ring = F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda k: F.struct((F.col("x3") + 0.5 + 0.45 * F.cos(2 * F.pi() * k / m)).alias("x"), (F.col("y1") + 0.5 + 0.45 * F.sin(2 * F.pi() * k / m)).alias("y")))
     o = c.where("id % 14 = 1").select("building_id", F.col("id").alias("obstacle_id"), F.when(n % 3 == 0, F.reverse(ring)).otherwise(ring).alias("ring"), (n % 2).cast("double").alias("z_min"), (n % 2 + 1).cast("double").alias("z_max"))
     return benchmarks.edges_through_obstacles(s, o).withColumn("overlap_m", F.round("overlap_m", 5))
+
+
+# ---- points on the surface, told apart by storey
+
+_PLACED = "ro AS (SELECT * FROM ct WHERE terrain = 'open'), po AS ({points})"
+# the triangles that hold a point, and the nearest point of each side of every triangle, at the triangle's height
+_NEAR = (
+    "su AS (SELECT p.id, p.building_id, p.px, p.py, p.pz, c.id AS cell, c.z, unnest([{'n': 0, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}, {'n': 1, 'x1': x2, 'y1': y2, 'x2': x3, 'y2': y3}, {'n': 2, 'x1': x3, 'y1': y3, 'x2': x1, 'y2': y1}]) AS s FROM po p JOIN ro c ON c.building_id = p.building_id {same}), "
+    "st2 AS (SELECT *, greatest(0, least(1, ((px-s.x1)*(s.x2-s.x1) + (py-s.y1)*(s.y2-s.y1)) / (pow(s.x2-s.x1, 2) + pow(s.y2-s.y1, 2)))) AS h FROM su), "
+    "nw AS (SELECT id, building_id, 0 AS outside, round(abs(z - pz), 9) AS far, cell, 0 AS n, px AS x, py AS y, z FROM (SELECT p.*, c.id AS cell, c.z, c.x1, c.y1, c.x2, c.y2, c.x3, c.y3 FROM po p JOIN ro c ON c.building_id = p.building_id {same}) WHERE " + _INSIDE.format("p")
+    + " UNION ALL SELECT id, building_id, 1, round(sqrt(pow(px - (s.x1 + h*(s.x2-s.x1)), 2) + pow(py - (s.y1 + h*(s.y2-s.y1)), 2) + pow(pz - z, 2)), 9), cell, s.n, s.x1 + h*(s.x2-s.x1), s.y1 + h*(s.y2-s.y1), z FROM st2)"
+)
+_HUNG = "SELECT id, building_id, 's' || (id % 2) || (CAST(floor(x) AS BIGINT) // 5) AS space_id, x AS px, y AS py, z + 0.8 * (id % 5) AS pz FROM v_requests"
+OVER = WITH_TABLES + ", " + _PLACED.format(points=_HUNG) + ", "
+
+
+def _hung(spark: SparkSession, d: str) -> DataFrame:
+    """Where requests start, up to 3.2 m above their storey, which is nearer to the next one."""
+    room = F.concat(F.lit("s"), F.expr("string(id % 2)"), F.expr("string(cast(floor(x) as long) div 5)"))
+    return views.requests(spark, d).select("building_id", "id", room.alias("space_id"), "x", "y", (F.col("z") + 0.8 * (F.col("id") % 5)).alias("z"))
+
+
+def _rooms(spark: SparkSession, d: str) -> DataFrame:
+    return graph.settle(views.storeys(spark, d).where("terrain = 'open'"))
+
+
+@query("jn12", OVER + _NEAR.replace("{same}", "AND c.space_id = p.space_id") + " SELECT building_id, id AS point_id, cell AS cell_id, round(x, 5) AS x, round(y, 5) AS y, z, round(far, 5) AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY outside, far, cell, n) AS k FROM nw WHERE far <= 3 + 1e-9) WHERE k = 1")
+def jn12(spark: SparkSession, d: str) -> DataFrame:
+    """Points put on the surface of their room, within 3 m; the storeys above and below are other rooms."""
+    found = surface.snapped(_hung(spark, d), _rooms(spark, d))
+    return found.select("building_id", "point_id", "cell_id", F.round("at.x", 5).alias("x"), F.round("at.y", 5).alias("y"), F.col("at.z").alias("z"), F.round("distance_m", 5).alias("distance_m"))
+
+
+@query("jn13", OVER + _NEAR.replace("{same}", "") + " SELECT building_id, id AS point_id, cell AS cell_id, round(far, 5) AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY far, cell, outside) AS k FROM nw) WHERE k = 1")
+def jn13(spark: SparkSession, d: str) -> DataFrame:
+    """The triangle nearest in space to each point, on whichever storey; points without a coordinate have none."""
+    hung = _hung(spark, d)
+    found = surface.nearest_cells(hung.unionByName(hung.withColumn("x", F.lit(None).cast("double"))), _rooms(spark, d))
+    return found.select("building_id", "point_id", "cell_id", F.round("distance_m", 5).alias("distance_m"))
+
+
+_BESIDE = "SELECT id || '/' || e AS id, building_id, CASE e WHEN 'from' THEN from_space_id ELSE to_space_id END AS space_id, x + 0.3 AS px, y AS py, z + 0.5 AS pz FROM v_storey_doors, (SELECT unnest(['from', 'to']) AS e)"
+
+
+@query(
+    "jn19",
+    WITH_TABLES + ", " + _PLACED.format(points=_BESIDE) + ", " + _NEAR.replace("{same}", "AND c.space_id = p.space_id")
+    + """, be AS (SELECT * FROM (SELECT nw.*, px, py, pz, row_number() OVER (PARTITION BY nw.id ORDER BY outside, far, cell, n) AS k FROM nw JOIN po ON po.id = nw.id WHERE far <= 3 + 1e-9) WHERE k = 1)
+    SELECT f.building_id, 'transition:' || split_part(f.id, '/', 1) AS id, round(f.x, 5) AS from_x, round(t.x, 5) AS to_x, round(f.far + t.far, 5) AS length_m FROM be f JOIN be t ON split_part(t.id, '/', 1) = split_part(f.id, '/', 1) WHERE f.id LIKE '%/from' AND t.id LIKE '%/to'""",
+)
+def jn19(spark: SparkSession, d: str) -> DataFrame:
+    """Transfers through doors that hang half a metre up and beside their wall, anchored on the surfaces of both rooms."""
+    doors = graph.settle(views.storey_doors(spark, d).withColumns({"x": F.col("x") + 0.3, "z": F.col("z") + 0.5}))
+    none = spark.createDataFrame([], "building_id long, id string, points array<struct<x:double,y:double,z:double>>")
+    found = hierarchy.transfers(hierarchy.door_transitions(doors), doors, none, _rooms(spark, d))
+    return found.select("building_id", "id", F.round("from_at.x", 5).alias("from_x"), F.round("to_at.x", 5).alias("to_x"), F.round("length_m", 5).alias("length_m"))

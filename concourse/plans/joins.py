@@ -190,8 +190,8 @@ SNAP = IN_SPACES + f""", c AS (SELECT p.building_id, p.id AS point_id, p.x, p.y,
     r AS (SELECT *, row_number() OVER (PARTITION BY building_id, point_id ORDER BY outside, away, cell_id, side) AS k FROM (SELECT * FROM i UNION ALL SELECT * FROM o)) """
 
 
-@query("jn12", SNAP + "SELECT building_id, point_id, round(sx, 6) + 0.0 AS x, round(sy, 6) + 0.0 AS y, cell_id, round(away, 6) + 0.0 AS distance_m FROM r WHERE k = 1 AND away <= 3 + 1e-9")
-def jn12(spark: SparkSession, d: str) -> DataFrame:
+@query("jn12_plane", SNAP + "SELECT building_id, point_id, round(sx, 6) + 0.0 AS x, round(sy, 6) + 0.0 AS y, cell_id, round(away, 6) + 0.0 AS distance_m FROM r WHERE k = 1 AND away <= 3 + 1e-9")
+def jn12_plane(spark: SparkSession, d: str) -> DataFrame:
     """Points put on the surface of their space, within 3 m."""
     found = joins.snap(in_spaces(spark, d), views.cells(spark, d), 3.0)
     return found.select("building_id", "point_id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "cell_id", r6(F.col("distance_m")).alias("distance_m"))
@@ -217,8 +217,8 @@ def jn14(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("building_id", "point_id", how.alias("found_by"), F.coalesce("in_cell", "at_side", "node").alias("found_id"))
 
 
-@query("jn13", SNAP.replace("USING (building_id, space_id)", "USING (building_id)") + "SELECT building_id, point_id, cell_id, round(away, 6) + 0.0 AS distance_m FROM r WHERE k = 1")
-def jn13(spark: SparkSession, d: str) -> DataFrame:
+@query("jn13_plane", SNAP.replace("USING (building_id, space_id)", "USING (building_id)") + "SELECT building_id, point_id, cell_id, round(away, 6) + 0.0 AS distance_m FROM r WHERE k = 1")
+def jn13_plane(spark: SparkSession, d: str) -> DataFrame:
     """The cell nearest to each point, whatever its space and however far."""
     found = joins.closest_cells(in_spaces(spark, d), views.cells(spark, d))
     return found.select("building_id", "point_id", "cell_id", r6(F.col("distance_m")).alias("distance_m"))
@@ -228,11 +228,11 @@ BOTH_SIDES = SNAP.replace(IN_SPACES, with_views("v_points", "v_cells") + """, p
 
 
 @query(
-    "jn19",
+    "jn19_plane",
     BOTH_SIDES + """SELECT f.building_id, f.point_id // 2 AS id, f.cell_id AS from_cell, t.cell_id AS to_cell, round(sqrt(pow(f.sx-p.x, 2) + pow(f.sy-p.y, 2) + p.z*p.z) + sqrt(pow(t.sx-p.x, 2) + pow(t.sy-p.y, 2) + p.z*p.z), 5) + 0.0 AS length_m
     FROM r f JOIN r t ON t.building_id = f.building_id AND t.point_id = f.point_id + 1 JOIN p ON p.building_id = f.building_id AND p.id = f.point_id WHERE f.point_id % 2 = 0 AND f.k = 1 AND t.k = 1 AND f.away <= 3 + 1e-9 AND t.away <= 3 + 1e-9""",
 )
-def jn19(spark: SparkSession, d: str) -> DataFrame:
+def jn19_plane(spark: SparkSession, d: str) -> DataFrame:
     """Transfers between a space and the next one, anchored on the surfaces of both."""
     p = in_spaces(spark, d).withColumnRenamed("space_id", "from_space_id")
     n = F.col("id") + 1
