@@ -61,7 +61,18 @@ def geo5(spark: SparkSession, d: str) -> DataFrame:
     return corners(spark, d).select("id", g.in_triangle_xy(p, F.col("p"), F.col("q"), F.col("r")).alias("inside"))
 
 
-@query("geo6")
+_SEG = lambda n, u, v: f"(SELECT {{'d': round(sqrt(pow(ox - x, 2) + pow(oy - y, 2) + pow(oz - z, 2)), 12), 'n': {n}, 'x': x, 'y': y, 'z': z}} FROM (SELECT {u}x + t * ({v}x-{u}x) AS x, {u}y + t * ({v}y-{u}y) AS y, {u}z + t * ({v}z-{u}z) AS z FROM (SELECT greatest(0, least(1, ((ox-{u}x)*({v}x-{u}x) + (oy-{u}y)*({v}y-{u}y) + (oz-{u}z)*({v}z-{u}z)) / (pow({v}x-{u}x, 2) + pow({v}y-{u}y, 2) + pow({v}z-{u}z, 2)))) AS t)))"
+_LEFT = lambda u, v: f"((({v}y-{u}y)*(fz-{u}z) - ({v}z-{u}z)*(fy-{u}y)) * nx + (({v}z-{u}z)*(fx-{u}x) - ({v}x-{u}x)*(fz-{u}z)) * ny + (({v}x-{u}x)*(fy-{u}y) - ({v}y-{u}y)*(fx-{u}x)) * nz >= 0)"
+
+
+@query(
+    "geo6",
+    CELLS + """, t AS (SELECT id, x1 - 0.7 AS ox, y1 + 0.4 AS oy, 0.5::DOUBLE AS oz, x1 AS ax, y1 AS ay, 0.0::DOUBLE AS az, x2 AS ex, y2 AS ey, CAST(id % 3 AS DOUBLE) AS ez, x3 AS cx, y3 AS cy, 0.0::DOUBLE AS cz FROM v_cells),
+    n AS (SELECT *, (ey-ay)*(cz-az) - (ez-az)*(cy-ay) AS nx, (ez-az)*(cx-ax) - (ex-ax)*(cz-az) AS ny, (ex-ax)*(cy-ay) - (ey-ay)*(cx-ax) AS nz FROM t),
+    k AS (SELECT *, ((ox-ax)*nx + (oy-ay)*ny + (oz-az)*nz) / (nx*nx + ny*ny + nz*nz) AS k FROM n), f AS (SELECT *, ox - k*nx AS fx, oy - k*ny AS fy, oz - k*nz AS fz FROM k),
+    """ + f"w AS (SELECT id, ox, oy, oz, CASE WHEN {_LEFT('a', 'e')} AND {_LEFT('e', 'c')} AND {_LEFT('c', 'a')} THEN {{'d': 0.0::DOUBLE, 'n': 0, 'x': fx, 'y': fy, 'z': fz}} ELSE least({_SEG(0, 'a', 'e')}, {_SEG(1, 'e', 'c')}, {_SEG(2, 'c', 'a')}) END AS p FROM f) "
+    + "SELECT id, round(p.x, 6) + 0.0 AS x, round(p.y, 6) + 0.0 AS y, round(p.z, 6) + 0.0 AS z, round(sqrt(pow(ox - p.x, 2) + pow(oy - p.y, 2) + pow(oz - p.z, 2)), 6) + 0.0 AS distance_m FROM w",
+)
 def geo6(spark: SparkSession, d: str) -> DataFrame:
     p = g.vec(F.col("x1") - 0.7, F.col("y1") + 0.4, F.lit(0.5))
     rows = corners(spark, d).select("id", p.alias("o"), g.closest_on_triangle(p, F.col("p"), F.col("q"), F.col("r")).alias("c"))
@@ -182,10 +193,10 @@ def gen2(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "gen3",
     CELLS + """, i AS (SELECT unnest(generate_series(1, 6)) AS i), j AS (SELECT unnest(generate_series(1, 6)) AS j)
-    SELECT id, i, j, round((i * x1 + j * x2 + (8 - i - j) * x3) / 8, 6) AS x, round((i * y1 + j * y2 + (8 - i - j) * y3) / 8, 6) AS y FROM v_cells, i, j WHERE i + j < 8 AND id % 10 = 0""",
+    SELECT id, i, j, round((i * x1 + j * x2 + (8 - i - j) * x3) / 8, 6) AS x, round((i * y1 + j * y2 + (8 - i - j) * y3) / 8, 6) AS y FROM v_cells, i, j WHERE i + j < 8""",
 )
 def gen3(spark: SparkSession, d: str) -> DataFrame:
-    return generators.lattice(corners(spark, d).where("id % 10 = 0"), 8).select("id", "i", "j", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+    return generators.lattice(corners(spark, d), 8).select("id", "i", "j", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
 @query("gen4")
@@ -193,10 +204,18 @@ def gen4(spark: SparkSession, d: str) -> DataFrame:
     return generators.population(corners(spark, d).where("terrain = 'open'"), 200, seed=7)
 
 
-@query("gen5")
+@query(
+    "gen5",
+    CELLS + """, i AS (SELECT unnest(generate_series(1, 6)) AS i), j AS (SELECT unnest(generate_series(1, 6)) AS j), sp AS (SELECT building_id, id, i, j, (i * x1 + j * x2 + (8 - i - j) * x3) / 8 AS x, (i * y1 + j * y2 + (8 - i - j) * y3) / 8 AS y FROM v_cells, i, j WHERE i + j < 8),
+    c AS (SELECT building_id, x, y, row_number() OVER (PARTITION BY building_id ORDER BY round(sqrt(x * x + y * y), 9), id, i, j) AS o FROM sp),
+    tk AS (SELECT building_id, CAST(1 AS BIGINT) AS pick, x, y, o, [{'x': x, 'y': y}] AS had FROM c WHERE o = 1 UNION ALL
+        SELECT t.building_id, t.pick + 1, arg_min(c.x, c.o), arg_min(c.y, c.o), min(c.o), list_append(any_value(t.had), {'x': arg_min(c.x, c.o), 'y': arg_min(c.y, c.o)}) FROM tk t JOIN c ON c.building_id = t.building_id AND c.o > t.o AND len(list_filter(t.had, lambda p: round(sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)), 9) < 1)) = 0 WHERE t.pick < 20 GROUP BY t.building_id, t.pick)
+    SELECT building_id, pick, x, y, max(pick) OVER (PARTITION BY building_id) < 20 AS short FROM tk""",
+)
 def gen5(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty spots of each building, a metre apart, from its corner on."""
     spots = generators.lattice(corners(spark, d), 8).select("building_id", "id", "i", "j", "x", "y")
-    return generators.thinned(spots.where("x < 6 and y < 6"), count=20, spacing=1.0)
+    return generators.thinned(spots, count=20, spacing=1.0)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evacuation
+from ..operators import evacuation, graph
 from ..registry import query
 from ..sources import views
 from ..sources.views import with_views
@@ -109,15 +109,13 @@ def win11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win12", TRANS + "SELECT building_id, from_id, to_id, row_number() OVER (ORDER BY building_id, from_id, to_id) AS position FROM v_transitions")
 def win12(spark: SparkSession, d: str) -> DataFrame:
-    """A global order: places within a building by a window, and the buildings before it by a running sum over their counts."""
-    t = views.transitions(spark, d).select("building_id", "from_id", "to_id")
-    sizes = t.groupBy("building_id").agg(F.count("*").alias("n")).groupBy().agg(F.array_sort(F.collect_list(F.struct("building_id", "n"))).alias("s")).first()["s"]
-    before, total = {}, 0
-    for r in sizes:
-        before[r["building_id"]], total = total, total + r["n"]
-    start = F.create_map(*[F.lit(v) for pair in before.items() for v in pair]) if before else F.lit(None).cast("map<int,int>")
-    own = F.row_number().over(Window.partitionBy("building_id").orderBy("from_id", "to_id"))
-    return t.select("*", (own + start[F.col("building_id")]).cast("long").alias("position"))
+    """A global order: rows are sorted into parts, which are written with the place of each row in its part; what lies before a part is a running sum over the parts' counts."""
+    t = views.transitions(spark, d).select("building_id", "from_id", "to_id").orderBy("building_id", "from_id", "to_id")
+    place = F.monotonically_increasing_id()
+    placed = graph.settle(t.select("*", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    return placed.join(before, "part").select("building_id", "from_id", "to_id", (F.col("before") + F.col("at") + 1).alias("position"))
 
 
 @query("win13", FRAMES + ", r AS (SELECT run_id, agent_id, frame_no, row_number() OVER (PARTITION BY run_id ORDER BY frame_no) AS k FROM v_frames WHERE status = 'waiting') SELECT run_id, agent_id, frame_no FROM r WHERE k <= 20")
