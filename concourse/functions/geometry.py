@@ -210,18 +210,24 @@ def off_plane(a: Column, b: Column, c: Column, *others: Column) -> Column:
 
 def closest_of_segments(a: Column, b: Column, c: Column, d: Column) -> Column:
     """struct<one, two>: where the segments a-b and c-d are closest; a segment without length is its first point."""
-    clamp = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    u, v, w = minus(b, a), minus(d, c), minus(a, c)
-    uu, vv, uv, uw, vw = dot(u, u), dot(v, v), dot(u, v), dot(u, w), dot(v, w)
-    point, line = uu > 1e-12, vv > 1e-12
-    cut = uu * vv - uv * uv
-    s = F.when(point & (F.abs(cut) > 1e-12), clamp((uv * vw - uw * vv) / cut)).otherwise(0.0)
-    free = F.when(line, (uv * s + vw) / vv).otherwise(0.0)
-    t = clamp(free)
-    # where the second point had to move to an end of its segment, the first follows it
-    s = F.when(~point, 0.0).when(line & (free == t), s).otherwise(clamp((uv * t - uw) / uu))
     along = lambda p, way, k: vec(p["x"] + way["x"] * k, p["y"] + way["y"] * k, p["z"] + way["z"] * k)
-    return F.struct(along(a, u, s).alias("one"), along(c, v, t).alias("two"))
+
+    def first(a: Column, c: Column, u: Column, v: Column, uu: Column, vv: Column, uv: Column, uw: Column, vw: Column) -> Column:
+        cut = uu * vv - uv * uv
+        s = F.when((uu > 1e-12) & (F.abs(cut) > 1e-12), clamp((uv * vw - uw * vv) / cut)).otherwise(0.0)
+        return bound(second, a, c, u, v, uu, vv, uv, uw, vw, s)
+
+    def second(a: Column, c: Column, u: Column, v: Column, uu: Column, vv: Column, uv: Column, uw: Column, vw: Column, s: Column) -> Column:
+        free = F.when(vv > 1e-12, (uv * s + vw) / vv).otherwise(0.0)
+        return bound(third, a, c, u, v, uu, vv, uv, uw, s, free, clamp(free))
+
+    def third(a: Column, c: Column, u: Column, v: Column, uu: Column, vv: Column, uv: Column, uw: Column, s: Column, free: Column, t: Column) -> Column:
+        # where the second point had to move to an end of its segment, the first follows it
+        moved = F.when(uu <= 1e-12, 0.0).when((vv > 1e-12) & (free == t), s).otherwise(clamp((uv * t - uw) / uu))
+        return F.struct(along(a, u, moved).alias("one"), along(c, v, t).alias("two"))
+
+    ways = lambda a, c, u, v, w: bound(first, a, c, u, v, dot(u, u), dot(v, v), dot(u, v), dot(u, w), dot(v, w))
+    return bound(lambda a, b, c, d: bound(ways, a, c, minus(b, a), minus(d, c), minus(a, c)), a, b, c, d)
 
 
 def point_at_elevation(points: Column, z: Column) -> Column:
