@@ -1,7 +1,8 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 Documents with the same shingle set are one class and take part once. Class signatures are banded; the members of a
-bucket are linked through pivots and finer buckets (components.py), so a large group makes a few pairs a member.
+bucket are linked through pivots (components.py), so a large group makes a few pairs a member; what pivots leave of a
+large bucket is screened in tiles by the same sequential comparison, without a row for each pair.
 Signature batches of a candidate pair are compared one after another and the pair is dropped once the posterior
 probability of a similarity at the threshold or above falls under the chosen miss probability; survivors are verified
 on full sets. Shingles have 64-bit names.
@@ -15,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import mix64, settle, tidy
 from .components import bucket_components, shared_buckets
-from .repeats import Names
 
 BANDS, ROWS = 32, 7  # at similarity 0.8 a pair shares no band with probability 0.0005, at 0.9 with 1e-9
 SIGNATURE = 128  # hashes that are kept for the comparison
@@ -32,6 +33,7 @@ _IS_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 CHUNK = 1 << 20  # characters that are cut into words at a time
+LANES = 64  # bytes up to which words are named eight bytes at a time
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
@@ -46,6 +48,24 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
         yield part
 
 
+def _named(block: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit names of the words from start to stop: their length and eight bytes at a time are mixed in; of words over LANES bytes, their XXH3."""
+    eights = np.lib.stride_tricks.sliding_window_view(np.r_[block, np.zeros(8, np.uint8)], 8)
+    size = stop - start
+    out = mix64(size.astype(np.uint64) + _STEP)
+    todo = np.flatnonzero(size <= LANES)
+    for at in range(0, LANES, 8):
+        todo = todo[size[todo] > at]
+        if not len(todo):
+            break
+        lane = eights[start[todo] + at].view("<u8").ravel()
+        spare = (8 * np.maximum(0, at + 8 - size[todo])).astype(np.uint64)
+        out[todo] = mix64((out[todo] + _STEP) ^ (lane << spare))
+    for i in np.flatnonzero(size > LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(block[start[i] : stop[i]].tobytes())
+    return out
+
+
 def _word_names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of data starts, and its 64-bit name; data is taken in blocks that end at white space."""
     starts, names, at = [], [], 0
@@ -55,7 +75,7 @@ def _word_names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         block = np.frombuffer(data, np.uint8, stop - at, at)
         edges = np.flatnonzero(np.diff(np.r_[True, _IS_BLANK[block], True].view(np.int8)))
         starts.append(edges[::2] + at)
-        names.append(Names(block).at(edges[::2], edges[1::2]))
+        names.append(_named(block, edges[::2], edges[1::2]))
         at = stop
     return (np.concatenate(starts), np.concatenate(names)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
@@ -170,6 +190,41 @@ def _posterior(threshold: float, miss: float):
     return run
 
 
+def _screen(signatures: DataFrame, percent: int, miss: float):
+    """For tiles of large buckets: the pairs of different components that the posterior doesn't drop."""
+    least = least_matches(percent / 100, miss, SIGNATURE, BATCH)
+
+    def tile(every: bool, group: pa.Table) -> pa.Table:
+        part, ids, n, c = (group.column(x).to_numpy() for x in ("t", "id", "n", "c"))
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        right = np.flatnonzero(part == hi)
+        first, rid, rn, rc = np.ascontiguousarray(sig[right, :BATCH]), ids[right], n[right], c[right]
+        pairs: list[np.ndarray] = []
+        for i in np.flatnonzero(part == lo).tolist():
+            same = (first == sig[i, :BATCH]).sum(axis=1)
+            fits = (same >= least[0]) & (rc != c[i]) & (100 * np.minimum(rn, n[i]) >= percent * np.maximum(rn, n[i]))
+            alive = np.flatnonzero(fits & (rid > ids[i]) if lo == hi else fits)
+            same = same[alive]
+            for k, bound in enumerate(least[1:], 1):
+                at = slice(k * BATCH, (k + 1) * BATCH)
+                same = same + (sig[right[alive], at] == sig[i, at]).sum(axis=1)
+                stay = same >= bound
+                alive, same = alive[stay], same[stay]
+            if not every and len(alive):  # the best of each other component
+                order = np.lexsort((rid[alive], -same, rc[alive]))
+                alive = alive[order][np.r_[True, np.diff(rc[alive][order]) != 0]]
+            pairs.append(np.stack([np.minimum(rid[alive], ids[i]), np.maximum(rid[alive], ids[i])]))
+        a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def run(tiles: DataFrame, every: bool) -> DataFrame:
+        full = tiles.join(signatures.select("id", "sig"), "id")
+        return full.groupBy("k", "lo", "hi").applyInArrow(lambda group: tile(every, group), "a long, b long")
+
+    return run
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +260,7 @@ def _classed(base: DataFrame, width: int, percent: int, miss: float) -> DataFram
     wanted = settle(members.select("id").distinct().join(classes.select("id", "low.doc_id", "low.h"), "id"))
     texts = base.join(wanted.select("id", F.col("doc_id").alias("d"), F.col("h").alias("e")), base.doc_id.eqNullSafe(F.col("d")) & (base.h == F.col("e"))).select("id", "text")
     sets = settle(texts.mapInArrow(_sets(width), "id long, names array<long>").dropDuplicates(["id"]))
-    label = bucket_components(members, signatures.select("id", "keys"), percent / 100, lambda pairs: _verified(pairs, signatures, sets, percent, miss))
+    label = bucket_components(members, signatures.select("id", "keys"), percent / 100, lambda pairs: _verified(pairs, signatures, sets, percent, miss), _screen(signatures, percent, miss))
     linked = settle(classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), signatures, sets, members, wanted, label)
     top = settle(linked.groupBy("component").agg(F.min("low").alias("top")))
     named = settle(linked.join(top, "component").select("f", "g", "n_shingles", "top"), classes, linked, top)

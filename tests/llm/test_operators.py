@@ -147,6 +147,67 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert {x["id"]: x["component"] for x in label.collect()} == {i: i // 3 * 3 for i in range(60)}
 
 
+def test_tiles_of_large_buckets_lose_no_link(spark, monkeypatch):
+    """Many pairs of near copies made from one template, so that buckets hold members of many components, against brute force."""
+    from concourse.llm import components
+
+    monkeypatch.setattr(components, "SMALL", 4)
+    monkeypatch.setattr(components, "TILE", 16)
+    shared, r, texts = prose(900, 60).split(), random.Random(8), []
+    for i in range(60):
+        own = [*shared, *prose(1000 + i, 30).split()]
+        other = list(own)
+        for at in r.sample(range(len(own)), 4):
+            other[at] = "changed"
+        texts += [" ".join(own), " ".join(other)]
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    top = list(range(len(texts)))
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in links:
+            top[i] = top[j] = min(top[i], top[j])
+    assert len(set(top)) > 20 and len(links) >= 50
+    for parts in (4, 11):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows = near_dedup.near_duplicates(table(spark, texts), width=2).collect()
+        assert {x["doc_id"]: x["component_id"] for x in rows} == dict(enumerate(top))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_pairs_in_buckets_of_thousands_are_all_linked(spark):
+    """4,000 pairs at band agreement 0.8^7, whose shared buckets hold up to some 2,000 members."""
+    from concourse.llm import components
+
+    r = np.random.default_rng(5)
+    pairs, bands = 4000, near_dedup.BANDS
+    one = r.integers(0, 4, (pairs, bands)) * 64 + np.arange(bands)
+    two = np.where(r.random((pairs, bands)) < 0.8**7, one, r.integers(4, 8, (pairs, bands)) * 64 + np.arange(bands))
+    sig = r.integers(0, 2**32, (pairs, near_dedup.SIGNATURE), np.uint32)
+    near = np.where(r.random(sig.shape) < 0.8, sig, r.integers(0, 2**32, sig.shape, np.uint32))
+    rows = [(2 * i + e, 100, k[i].tolist(), bytearray(s[i].tobytes())) for i in range(pairs) for e, k, s in ((0, one, sig), (1, two, near))]
+    keyed = spark.createDataFrame(rows, "id long, n long, keys array<long>, sig binary").repartition(8).cache()
+    members = components.shared_buckets(keyed.select("id", "n", "keys"))
+    assert members.groupBy("k").count().agg({"count": "max"}).first()[0] > 900
+    label = components.bucket_components(members, keyed.select("id", "keys"), 0.8, lambda p: p.where("floor(a / 2) = floor(b / 2)"), near_dedup._screen(keyed, 80, near_dedup.MISS))
+    linked = {x["id"] // 2 for x in label.collect()}
+    want = set(np.flatnonzero((one == two).any(axis=1)).tolist())
+    assert len(want - linked) == 0 and linked <= want
+
+
+def test_names_of_words_tell_mirrored_words_apart(spark):
+    """Two words of 1,024 letters, of which one has a and b exchanged by the Thue-Morse sequence, have equal sums of powers modulo 2^64."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert near_dedup.shingle_set(one, 2)[0] != near_dedup.shingle_set(two, 2)[0]
+    words = ["a", "a\0", "aaaaaaaa", "aaaaaaaa\0", "b" * 63, "b" * 64, "b" * 65, "é", "x" * 700]
+    alone = [near_dedup.shingle_set(w, 2)[0] for w in words]
+    assert len(set(alone)) == len(words)
+    within = near_dedup._word_names(" ".join(["zz", *words, "zz"]).encode())[1][1:-1]
+    assert [int(near_dedup._word_names(w.encode())[1][0]) for w in words] == within.tolist()
+    rows = near_dedup.near_duplicates(table(spark, [one, two, f"{one} x y", f"{two} x y"]), width=2).collect()
+    assert [x["kept"] for x in rows] == [True] * 4
+
+
 def test_posterior_bound_drops_few_true_pairs():
     least = near_dedup.least_matches(0.8, 1e-7, 128, 16)
     draws = np.random.default_rng(1).random((20000, 128)) < 0.8
