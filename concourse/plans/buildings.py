@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import benchmarks, elevators, graph, hierarchy, surface
+from ..operators import benchmarks, elevators, graph, hierarchy, openings, surface
 from ..registry import query
 from ..sources import views
 from ..sources.views import with_views
@@ -360,6 +360,25 @@ def jn5(spark: SparkSession, d: str) -> DataFrame:
     return surface.seam_links(apart, surface.shared_links(apart)).select("building_id", "a", "b")
 
 
+@query(
+    "jn6_storeys",
+    with_views("v_storey_doors", "v_storeys") + """, sq AS (SELECT p_partkey AS k, p_size, p_partkey // 400 AS building_id, p_partkey % 400 // 200 AS f, p_partkey % 20 AS c, p_partkey % 200 // 20 AS r FROM part),
+    ok AS (SELECT l.*, 's' || l.f || (l.c // 5) AS one, 's' || l.f || (l.c // 5 + 1) AS two FROM sq l JOIN v_storeys a ON a.id = l.k * 2 + 1 AND a.terrain = 'open' JOIN v_storeys b ON b.id = l.k * 2 + 2 AND b.terrain = 'open' WHERE c % 5 = 4 AND c < 19 AND p_size % 3 <> 0)
+    SELECT building_id, one AS from_space_id, two AS to_space_id, f AS level_id, min(k) * 2 + 1 AS a, min(k) * 2 + 2 AS b, 1.0::DOUBLE AS width_m, 0.05::DOUBLE AS gap_m, 'open:' || substr(sha1(f || '|' || one || '|' || two), 1, 16) AS id
+    FROM ok WHERE (building_id, one, two) NOT IN (SELECT (building_id, from_space_id, to_space_id) FROM v_storey_doors WHERE id LIKE '%-1') GROUP BY building_id, f, one, two""",
+)
+def jn6_storeys(spark: SparkSession, d: str) -> DataFrame:
+    """Open boundaries of storeys whose columns lie 5 cm apart, with walls beside the squares whose size is a multiple of three; rooms with a second door have a portal."""
+    apart = graph.settle(views.storeys(spark, d).withColumns({f"x{i}": F.col(f"x{i}") + 0.05 * F.col("x3") for i in (1, 2, 3)}))
+    n = F.col("p_partkey")
+    c, r, z = n % 20, F.expr("p_partkey % 200 div 20"), 3.0 * F.expr("p_partkey % 400 div 200")
+    x = (c + 1 + 0.05 * c).cast("double")
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (r + dy).cast("double").alias("y"))
+    walls = spark.read.parquet(f"{d}/part.parquet").where("p_size % 3 = 0 and p_partkey % 20 % 5 = 4").select(F.expr("p_partkey div 400").alias("building_id"), n.alias("obstacle_id"), F.array(corner(-0.02, 0.0), corner(0.07, 0.0), corner(0.07, 0.9), corner(-0.02, 0.9)).alias("ring"), z.alias("z_min"), (z + 2.5).alias("z_max"))
+    found = openings.open_portals(apart, views.storey_doors(spark, d).where("id like '%-1'"), walls)
+    return found.select("building_id", "id", "from_space_id", "to_space_id", "level_id", "a", "b", "width_m", "gap_m")
+
+
 PATHS = """, sg AS (SELECT req, grp, a FROM (SELECT se.req, se.grp, se.one AS a, row_number() OVER (PARTITION BY se.req ORDER BY round(sb.cost + se.cost, 9), se.one) AS k FROM se JOIN sb ON sb.grp = se.grp AND sb.req = se.req AND sb.a = se.one WHERE se.two IS NULL) WHERE k = 1),
     sp AS (SELECT x.grp, x.req, x.a, min(y.a) AS before FROM sb x JOIN ab c ON c.grp = x.grp AND c.b = x.a JOIN sb y ON y.grp = x.grp AND y.req = x.req AND y.a = c.a WHERE y.cost < x.cost AND round(y.cost + c.cost, 9) = x.cost GROUP BY ALL),
     sw AS (SELECT req, grp, 0 AS back, a FROM sg UNION ALL SELECT w.req, w.grp, w.back + 1, p.before FROM sw w JOIN sp p ON p.grp = w.grp AND p.req = w.req AND p.a = w.a),
