@@ -12,7 +12,7 @@ from ._shared import settle
 SMALL = 128  # members of a bucket that may all meet one another
 PIVOTS = 8  # pivots a round in larger buckets
 SPLIT = 8  # finer buckets for each member of a larger one
-TILE = 2048  # members of one side of a tile, where larger buckets are screened as a whole
+TILE, SIZES = 2048, 1 << 21  # members of one side of a tile, and the sum of their sizes, where larger buckets are screened as a whole
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -54,7 +54,7 @@ def shared_buckets(keyed: DataFrame) -> DataFrame:
     return settle(members.join(met, "id").select("k", "id", "n", "met"), members, met)
 
 
-def bucket_components(members: DataFrame, keyed: DataFrame, ratio: float, verify: Callable[[DataFrame], DataFrame], screen: Callable[[DataFrame, bool], DataFrame] | None = None) -> DataFrame:
+def bucket_components(members: DataFrame, keyed: DataFrame, ratio: float, verify: Callable[[DataFrame], DataFrame], screen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) for ids that have links: components of the verified pairs among members (k, id, n, met) of a bucket.
 
     verify keeps the true pairs of (a, b); a is a pivot and may be in many pairs, so b should be joined last. Pairs whose sizes n differ by more than the ratio can't link and aren't made.
@@ -63,9 +63,9 @@ def bucket_components(members: DataFrame, keyed: DataFrame, ratio: float, verify
     group of copies costs one pair a member, and buckets that then lie in one component are closed. What is left of a
     bucket of up to SMALL members meets in pairs.
     With screen, what is left of a larger one is cut into tiles (k, lo, hi, t, id, n, c): each two parts of about TILE
-    members meet in one task, and screen(tiles, every) names the pairs of different components that may be near, all of
-    them or the best of each member and other component. The best are verified first, then, in buckets that are still
-    open, all: no pair that shares a bucket is lost, but for those that screen itself drops.
+    members, or of sizes that sum up to about SIZES, meet in one task, and screen(tiles) gives true pairs (a, b) that
+    connect every two components c with a link in the tile. No pair that shares a bucket is lost, but for those that
+    screen itself drops, and no row is made for a pair that isn't a link.
     Without screen, a larger one is dealt again: two members stay together where they agree in a further key of their
     own (SPLIT of those are tried at each depth), and PIVOTS of its members meet the others a round, until the bucket is
     closed or small. Pairs that agree in no such further key are lost there, unless a smaller bucket holds them too.
@@ -82,14 +82,9 @@ def bucket_components(members: DataFrame, keyed: DataFrame, ratio: float, verify
             small = members.where(F.col("m") <= SMALL)
             two = small.select("k", F.col("id").alias("pid"), F.col("c").alias("pc"), F.col("n").alias("pn"))
             near = small.join(two, "k").where((F.col("pid") < F.col("id")) & (F.col("c") != F.col("pc")) & (F.least("n", "pn") >= ratio * F.greatest("n", "pn") - 1e-9))
-            pairs = near.select(F.col("pid").alias("a"), F.col("id").alias("b")).unionByName(screen(_tiles(members.where(F.col("m") > SMALL)), step > 2))
-            pairs = settle(pairs.distinct())
-            label = _merged(label, settle(verify(_dealt(pairs)), pairs))
-            if step > 2:
-                return label
-            members = settle(members.where(F.col("m") > SMALL), members)
-            step += 1
-            continue
+            pairs = settle(near.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct())
+            links = verify(_dealt(pairs)).unionByName(screen(_tiles(members.where(F.col("m") > SMALL))))
+            return _merged(label, settle(links, pairs))
         part = F.lit(0).cast("long") if step < 2 else F.when(F.col("m") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(PIVOTS)))
         chosen = settle(members.groupBy("k", part.alias("p")).agg(F.min(F.struct((-F.col("met")).alias("far"), "id", "c", "n")).alias("x")).select("k", F.col("x.id").alias("pid"), F.col("x.c").alias("pc"), F.col("x.n").alias("pn"), F.col("x.far").alias("far")))
         pairs = members.join(chosen, "k").where((F.col("c") != F.col("pc")) & (F.least("n", "pn") >= ratio * F.greatest("n", "pn") - 1e-9))
@@ -114,7 +109,8 @@ def _dealt(pairs: DataFrame) -> DataFrame:
 
 def _tiles(members: DataFrame) -> DataFrame:
     """(k, lo, hi, t, id, n, c): members of bucket k by parts t; each two parts, and each part with itself, make a tile."""
-    cut = members.withColumn("parts", F.ceil(F.col("m") / TILE).cast("int"))
+    whole = settle(members.groupBy("k").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / SIZES)).cast("int").alias("parts")))
+    cut = members.join(whole, "k")
     cut = cut.withColumn("t", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     each = cut.select("k", "id", "n", "c", "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("u"))
     return each.select("k", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "id", "n", "c")

@@ -190,37 +190,42 @@ def _posterior(threshold: float, miss: float):
     return run
 
 
-def _screen(signatures: DataFrame, percent: int, miss: float):
-    """For tiles of large buckets: the pairs of different components that the posterior doesn't drop."""
+def _screen(signatures: DataFrame, sets: DataFrame, percent: int, miss: float):
+    """For tiles of large buckets: links between their components. Pairs that the posterior doesn't drop are verified on full sets in the task, one link for each two components."""
     least = least_matches(percent / 100, miss, SIGNATURE, BATCH)
 
-    def tile(every: bool, group: pa.Table) -> pa.Table:
+    def tile(group: pa.Table) -> pa.Table:
         part, ids, n, c = (group.column(x).to_numpy() for x in ("t", "id", "n", "c"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        names = [x.values.to_numpy().view(np.uint64) for x in group.column("names")]
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         right = np.flatnonzero(part == hi)
-        first, rid, rn, rc = np.ascontiguousarray(sig[right, :BATCH]), ids[right], n[right], c[right]
-        pairs: list[np.ndarray] = []
+        first, rid, rn, c = np.ascontiguousarray(sig[right, :BATCH]), ids[right], n[right], c.copy()
+        links: list[tuple[int, int]] = []
         for i in np.flatnonzero(part == lo).tolist():
-            same = (first == sig[i, :BATCH]).sum(axis=1)
-            fits = (same >= least[0]) & (rc != c[i]) & (100 * np.minimum(rn, n[i]) >= percent * np.maximum(rn, n[i]))
-            alive = np.flatnonzero(fits & (rid > ids[i]) if lo == hi else fits)
-            same = same[alive]
-            for k, bound in enumerate(least[1:], 1):
-                at = slice(k * BATCH, (k + 1) * BATCH)
-                same = same + (sig[right[alive], at] == sig[i, at]).sum(axis=1)
+            other = (c[right] != c[i]) & (100 * np.minimum(rn, n[i]) >= percent * np.maximum(rn, n[i]))
+            alive = np.flatnonzero(other & (rid > ids[i]) if lo == hi else other)
+            same = (first[alive] == sig[i, :BATCH]).sum(axis=1)
+            for k, bound in enumerate(least):
+                if k:
+                    at = slice(k * BATCH, (k + 1) * BATCH)
+                    same = same + (sig[right[alive], at] == sig[i, at]).sum(axis=1)
                 stay = same >= bound
                 alive, same = alive[stay], same[stay]
-            if not every and len(alive):  # the best of each other component
-                order = np.lexsort((rid[alive], -same, rc[alive]))
-                alive = alive[order][np.r_[True, np.diff(rc[alive][order]) != 0]]
-            pairs.append(np.stack([np.minimum(rid[alive], ids[i]), np.maximum(rid[alive], ids[i])]))
-        a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+            for j in right[alive[np.argsort(-same, kind="stable")]].tolist():
+                if c[j] == c[i]:
+                    continue
+                at = np.searchsorted(names[i], names[j])
+                shared = int((names[i][np.minimum(at, len(names[i]) - 1)] == names[j]).sum())
+                if 100 * shared >= percent * (len(names[i]) + len(names[j]) - shared):
+                    links.append((ids[i], ids[j]))
+                    c[c == c[j]] = c[i]
+        a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    def run(tiles: DataFrame, every: bool) -> DataFrame:
-        full = tiles.join(signatures.select("id", "sig"), "id")
-        return full.groupBy("k", "lo", "hi").applyInArrow(lambda group: tile(every, group), "a long, b long")
+    def run(tiles: DataFrame) -> DataFrame:
+        full = tiles.join(signatures.select("id", "sig"), "id").join(sets, "id")
+        return full.groupBy("k", "lo", "hi").applyInArrow(tile, "a long, b long")
 
     return run
 
@@ -260,7 +265,7 @@ def _classed(base: DataFrame, width: int, percent: int, miss: float) -> DataFram
     wanted = settle(members.select("id").distinct().join(classes.select("id", "low.doc_id", "low.h"), "id"))
     texts = base.join(wanted.select("id", F.col("doc_id").alias("d"), F.col("h").alias("e")), base.doc_id.eqNullSafe(F.col("d")) & (base.h == F.col("e"))).select("id", "text")
     sets = settle(texts.mapInArrow(_sets(width), "id long, names array<long>").dropDuplicates(["id"]))
-    label = bucket_components(members, signatures.select("id", "keys"), percent / 100, lambda pairs: _verified(pairs, signatures, sets, percent, miss), _screen(signatures, percent, miss))
+    label = bucket_components(members, signatures.select("id", "keys"), percent / 100, lambda pairs: _verified(pairs, signatures, sets, percent, miss), _screen(signatures, sets, percent, miss))
     linked = settle(classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), signatures, sets, members, wanted, label)
     top = settle(linked.groupBy("component").agg(F.min("low").alias("top")))
     named = settle(linked.join(top, "component").select("f", "g", "n_shingles", "top"), classes, linked, top)

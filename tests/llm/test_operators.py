@@ -188,7 +188,9 @@ def test_pairs_in_buckets_of_thousands_are_all_linked(spark):
     keyed = spark.createDataFrame(rows, "id long, n long, keys array<long>, sig binary").repartition(8).cache()
     members = components.shared_buckets(keyed.select("id", "n", "keys"))
     assert members.groupBy("k").count().agg({"count": "max"}).first()[0] > 900
-    label = components.bucket_components(members, keyed.select("id", "keys"), 0.8, lambda p: p.where("floor(a / 2) = floor(b / 2)"), near_dedup._screen(keyed, 80, near_dedup.MISS))
+    # only the two of a pair share shingles
+    sets = keyed.selectExpr("id", "transform(sequence(0L, 99L), i -> floor(id / 2) * 100 + i) AS names")
+    label = components.bucket_components(members, keyed.select("id", "keys"), 0.8, lambda p: p.where("floor(a / 2) = floor(b / 2)"), near_dedup._screen(keyed, sets, 80, near_dedup.MISS))
     linked = {x["id"] // 2 for x in label.collect()}
     want = set(np.flatnonzero((one == two).any(axis=1)).tolist())
     assert len(want - linked) == 0 and linked <= want
