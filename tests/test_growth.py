@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from concourse import registry
+from concourse.operators import graph, joins
 
 
 @pytest.mark.parametrize("name", ["jn11", "jn12_plane", "jn14"])
@@ -12,3 +13,23 @@ def test_cells_dealt_to_squares_are_not_broadcast(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == str(registry.FILED)
+
+
+def test_rounds_of_a_search_are_short_in_dense_graphs(spark):
+    arcs = lambda pairs: spark.createDataFrame([(1, a, b, 1.0) for a, b in pairs], "building_id int, a int, b int, cost double")
+    dense, chain = arcs([(a, b) for a in range(70) for b in range(70)]), arcs([(a, a + 1) for a in range(70)])
+    assert graph._steps(dense, ["building_id"], 8) == 1 and graph._steps(chain, ["building_id"], 8) == 8 and graph._steps(chain.limit(0), ["building_id"], 8) == 8
+    start = spark.createDataFrame([(1, 0, 0, 0.0)], "building_id int, source int, id int, cost double")
+    assert {r["id"]: r["cost"] for r in graph.cheapest(start, chain.unionByName(arcs([(0, b) for b in range(1, 70, 9)]))).collect()}[70] == 7.0
+
+
+def test_neighbours_of_crowded_points_make_no_pairs_of_all(spark):
+    # a crowd within a thousandth, ten copies of one place, and a lone pair
+    rows = [(1, i, (i % 37) * 1e-4, (i // 37) * 1e-4, 0.0) for i in range(1000)] + [(1, 2000 + i, 9.0, 9.0, 0.0) for i in range(10)] + [(1, 3000, 20.0, 20.0, 0.0), (1, 3001, 21.5, 21.5, 0.0)]
+    p = spark.createDataFrame(rows, "building_id int, id int, x double, y double, z double")
+    got = {}
+    for r in joins.k_nearest(p, p, 3.0, 2).collect():
+        got.setdefault(r["left_id"], []).append((r["d"], r["right_id"]))
+    want = {i: sorted((((x - u) ** 2 + (y - v) ** 2 + 0.0) ** 0.5, j) for _, j, u, v, _ in rows if j != i and abs(x - u) <= 3 and abs(y - v) <= 3)[:2] for _, i, x, y, _ in rows if i % 50 == 0 or i > 1000}
+    assert all([j for _, j in sorted(got[i])] == [j for d, j in w if d <= 3] for i, w in want.items())
+    assert joins._halvings(p, 3.0) > 5
