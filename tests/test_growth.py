@@ -33,3 +33,11 @@ def test_neighbours_of_crowded_points_make_no_pairs_of_all(spark):
     want = {i: sorted((((x - u) ** 2 + (y - v) ** 2 + 0.0) ** 0.5, j) for _, j, u, v, _ in rows if j != i and abs(x - u) <= 3 and abs(y - v) <= 3)[:2] for _, i, x, y, _ in rows if i % 50 == 0 or i > 1000}
     assert all([j for _, j in sorted(got[i])] == [j for d, j in w if d <= 3] for i, w in want.items())
     assert joins._halvings(p, 3.0) > 5
+
+
+def test_costs_of_gr11_lead_to_every_node(spark, tmp_path):
+    # orders and parts of one building in a chain: o100 p1 o2 p2 o3 p3 o4 p4
+    line = [(100, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, 3), (4, 4)]
+    spark.createDataFrame([(o, p, 20, 10.0) for o, p in line], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["source"], r["id"]): r["cost"] for r in registry.QUERIES["gr11"](spark, str(tmp_path)).collect()}
+    assert got == {("o100", n): float(i) for i, n in enumerate(["o100", "p1", "o2", "p2", "o3", "p3", "o4", "p4"])}
