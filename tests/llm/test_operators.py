@@ -372,3 +372,29 @@ def test_text_after_empty_or_unclosed_elements_stays():
         assert [b[0] for b in html_text.blocks(f"<p>one</p>{tag}<p>two</p>")] == ["one", "two"], tag
     assert [b[0] for b in html_text.blocks("<p>one</p><svg/><p>two</p><svg><text>x</text></svg><p>three <math><mi>y</mi></math></p>")] == ["one", "two", "three y"]
     assert [b[0] for b in html_text.blocks("<p>one</p><script>var a = '<p>two</p>'")] == ["one"]
+
+
+def test_lines_of_large_buckets_lose_no_link(spark, monkeypatch):
+    """Pairs of near lines in one bucket of lines of many components, as their passage in common fills the sketch, against brute force; with a clause put in, too, which no comparison by parts follows."""
+    from concourse.llm import components
+
+    monkeypatch.setattr(components, "SMALL", 4)
+    monkeypatch.setattr(line_dedup, "TILE", 16)
+    monkeypatch.setattr(line_dedup, "PIVOTS", 2)
+    # the words of least hash of the lot, so that they are the sketch of each line
+    words = sorted({w for i in range(100) for w in prose(3000 + i, 20).split() if len(w) >= line_dedup.LONG})
+    order = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) & ((1L << 61) - 1) AS h").orderBy("h")
+    shared = [x["w"] for x in order.limit(5).collect()]
+    r, lines = random.Random(9), []
+    for i in range(30):
+        own = [*shared, *["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(40)]]
+        other = own[:10] + ["zz"] * 14 + own[10:] if i % 2 else [w if k % 9 else "yyyy" for k, w in enumerate(own, 4)]
+        lines += [" ".join(own), " ".join(other)]
+    top = list(range(len(lines)))
+    links = [(i, j) for j in range(len(lines)) for i in range(j) if edit_distance(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)]
+    for _ in lines:
+        for i, j in links:
+            top[i] = top[j] = min(top[i], top[j])
+    assert len(links) >= 25
+    rows = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(table(spark, lines)).collect()}
+    assert rows == {i: int(top[i] != i) for i in range(len(lines))}
