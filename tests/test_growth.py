@@ -82,3 +82,11 @@ def test_nodes_are_numbered_in_the_order_of_their_names(spark, tmp_path):
     spark.createDataFrame([(-1, 10**17, 20, 1.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/odd/lineitem.parquet")
     assert views.coded_edges(spark, f"{tmp_path}/odd") is None
     assert {(r["id"], r["component"]) for r in graphs.gr1(spark, f"{tmp_path}/odd").collect()} == {("o-1", "o-1"), (f"p{10**17}", "o-1")}
+
+
+def test_no_plan_of_components_joins_the_moves_over_and_over(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(20)] + [(2, 0, i) for i in range(1, 5)], "building_id long, a long, b long")
+    joined, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda t, *spent: joined.append(t._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or settle(t, *spent))
+    got = {(r["building_id"], r["id"]): r["component"] for r in graph.components(graphs.ends(edges), edges).collect()}
+    assert max(joined) <= 2 and len(got) == 26 and set(got.values()) == {0}
