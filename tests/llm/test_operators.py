@@ -276,6 +276,18 @@ def test_long_lines_link_by_their_parts_or_as_a_whole(spark):
     assert rows == {0: 0, 1: 1, 2: 0}
 
 
+def test_long_lines_out_of_step_are_compared_exactly(spark):
+    """Lines of over 512 characters with a clause put in near their start, or their first words cut: near, though their parts fall out of step."""
+    texts = []
+    for i in range(6):
+        words = prose(600 + i, 130).split()
+        other = words[:3] + prose(900 + i, 9).split() + words[3:] if i % 2 else words[9:]
+        texts += [" ".join(words), " ".join(other)]
+    assert min(map(len, texts)) > 512
+    rows = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert rows == {i: i % 2 for i in range(len(texts))}
+
+
 def test_the_short_test_of_a_line_agrees_with_its_normal_form(spark):
     lines = ["", " ", "a b c d e", "a b c d", "1 2 3 4 5", " 1 2 3 4", "a1b2c3d4e", "é,è;ü:ö ñ!", "x" * 5000, "1 " * 9, "--a b c d e--"]
     t = table(spark, lines).select(line_dedup.normalised(F.col("text")).alias("text")).select(line_dedup.has_words(F.col("text"), 5).alias("quick"), (F.size(F.split(F.col("text"), " ")) >= 5).alias("plain"))
