@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from concourse import registry
 from concourse.operators import evacuation, graph, joins, surface
@@ -116,3 +119,31 @@ def test_seams_are_looked_for_outside_the_join_of_cubes(spark):
     assert {(r["a"], r["b"]) for r in found.collect()} == {(0, 1), (1, 2)}
     joined = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert joined and not any("lambda" in line for line in joined)
+
+
+def test_all_ways_of_a_dense_graph_are_found_without_a_row_for_each_arc_tried(spark, monkeypatch):
+    """Costs and paths equal those of the search by joins, with sources of one building dealt to several tasks; only arcs and sources are shuffled."""
+    r = random.Random(5)
+    arcs = [(b, x, y, r.randint(1, 3)) for b in (1, 2) for x in range(40) for y in r.sample(range(40), 3) if x != y] + [(1, 90, 91, 1)]
+    arcs = spark.createDataFrame(arcs, "building_id long, a long, b long, cost int")
+    sources = spark.createDataFrame([(b, s) for b in (1, 2) for s in range(9)] + [(1, 90), (1, 500)], "building_id long, source long")
+    monkeypatch.setattr(graph, "BATCH", 4)
+    got = graph.cheapest_in_tasks(sources, arcs, paths=True)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    costs = arcs.withColumn("cost", F.col("cost").cast("double"))
+    best = graph.cheapest(sources.select("building_id", "source", F.col("source").alias("id"), F.lit(0.0).alias("cost")), costs)
+    rows = {(x["building_id"], x["source"], x["id"]): x for x in got.collect()}
+    assert {k: float(x["cost"]) for k, x in rows.items()} == {(x["building_id"], x["source"], x["id"]): x["cost"] for x in best.collect()}
+    for x in graph.predecessors(best, costs).collect():
+        one, before = rows[x["building_id"], x["source"], x["id"]], rows[x["building_id"], x["source"], x["before"]]
+        assert one["path"] == f"{before['path']}>{x['id']}"
+    assert rows[1, 500, 500]["path"] == "500" and rows[1, 90, 91]["path"] == "90>91"
+
+
+def test_shuffle_files_of_a_state_go_as_it_is_written(spark, monkeypatch):
+    seen, key = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(spark.conf.get(key, "false")), write(self, *a, **k))[1])
+    before = spark.conf.get(key, "false")
+    graph.settle(spark.range(9).groupBy((F.col("id") % 2).alias("k")).count())
+    assert seen == ["true"] and spark.conf.get(key, "false") == before
