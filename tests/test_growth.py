@@ -157,3 +157,10 @@ def test_agents_choose_among_all_exits_without_a_row_for_each(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, evacuation.assign_in_turn(c, caps).collect()))
     spread = spark.createDataFrame([(1, a, float(a % 7)) for a in range(50)], "building_id long, agent_id long, weight double")
     assert evacuation.assign_by_weight(spread, spark.createDataFrame([(2, 1, 1.0, 1.0)], "building_id long, exit_id long, weight double, capacity double")).isEmpty()
+
+
+def test_gr11_searches_only_what_its_sources_reach(spark, monkeypatch):
+    seen, search = [], graph.cheapest
+    monkeypatch.setattr(graph, "cheapest", lambda sources, arcs, *a, **k: (seen.append(arcs.count()), search(sources, arcs, *a, **k))[1])
+    registry.QUERIES["gr11"](spark, "/root/testdata/sf0.01")
+    assert 0 < seen[0] < views.edges(spark, "/root/testdata/sf0.01").count() / 2
