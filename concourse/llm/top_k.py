@@ -120,7 +120,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     def met(state: DataFrame) -> DataFrame:
         packed = _packed(state.repartition(parts, "vec_id"), QUERY_BLOCK, 2).toDF("dim", "q_ids", "q_m", "q_c0", "q_c1")
         packed = packed.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-        return packed.join(blocks, ["slot", "dim"])
+        # a copy of each query block for each slot: its size can't be told from the file of the state, and would go through the driver if broadcast
+        return packed.hint("merge").join(blocks.hint("merge"), ["slot", "dim"])
 
     while bits > 0:
         step = min(STEP, bits)

@@ -332,6 +332,12 @@ def test_top_k_equals_brute_force(spark):
     assert top_k.top_k(few.where("vec_id = 0"), few).count() == 2 and top_k.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_blocks_of_queries_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "vec_id long, embedding array<float>")
+    plan = top_k.top_k(rows.where("vec_id % 5 = 0"), rows)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_media_round_trip(spark):
     texts = [*ODD, prose(1, 4000)]
     rows = media.stored_features(media.store_texts(table(spark, texts))).collect()
